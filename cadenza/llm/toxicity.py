@@ -9,6 +9,7 @@ needs one number per bucket, which is what executors receive: a fixed size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,10 +44,12 @@ class SubwordModel:
         return out + self.shift
 
 
-def fit_subword_model(texts, toxic: np.ndarray, buckets: int = 1 << 18, dim: int = 8, sizes: tuple[int, ...] = (3, 4, 5), epochs: int = 12, rate: float = 0.5, batch: int = 64, seed: int = 7) -> SubwordModel:
+def fit_subword_model(texts, toxic: np.ndarray, buckets: int = 1 << 18, dim: int = 8, sizes: tuple[int, ...] = (3, 4, 5), epochs: int = 6, rate: float = 0.3, batch: int = 64, seed: int = 7, least_docs: int = 3, decay: float = 8e-4) -> SubwordModel:
     """Train embeddings and softmax together by Adagrad on class-balanced cross-entropy.
 
-    ``texts`` is an Arrow string column. With one class only, or no rows, the model is constant at
+    Features of fewer than ``least_docs`` texts are left out and touched embeddings decay, both
+    against learning texts by heart. A fifth of the texts is kept from training and sets scale and
+    shift of the logit (Platt scaling), so that a score is a probability. ``texts`` is an Arrow string column. With one class only, or no rows, the model is constant at
     the share of toxic rows (0.1 without rows).
     """
     toxic = np.asarray(toxic, np.int64)
@@ -55,15 +58,17 @@ def fit_subword_model(texts, toxic: np.ndarray, buckets: int = 1 << 18, dim: int
         share = min(max(share, 0.01), 0.99)
         return SubwordModel(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))), sizes)
     indptr, index, value = _bags(texts, sizes, buckets - 1)
-    used, code = np.unique(index, return_inverse=True)
+    used, code, docs_with = np.unique(index, return_inverse=True, return_counts=True)
+    value = np.where(docs_with[code] >= least_docs, value, 0).astype(np.float32)
     rng = np.random.RandomState(seed)
     emb = ((rng.rand(len(used), dim) - 0.5) / dim).astype(np.float32)
     out = ((rng.rand(2, dim) - 0.5) / dim).astype(np.float32)
     bias = np.zeros(2, np.float32)
     g_emb, g_out, g_bias = np.full(len(used), 1e-8, np.float32), np.full((2, dim), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     weight = np.where(toxic == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    held = _calibration_part(toxic, rng)
     for _ in range(epochs):
-        order = rng.permutation(len(toxic))
+        order = rng.permutation(np.flatnonzero(~held))
         for lo in range(0, len(order), batch):
             docs = order[lo : lo + batch]
             spans = [np.arange(indptr[d], indptr[d + 1]) for d in docs]
@@ -91,11 +96,41 @@ def fit_subword_model(texts, toxic: np.ndarray, buckets: int = 1 << 18, dim: int
             cells, inverse = np.unique(c, return_inverse=True)
             push = grad_hidden[who] * v[:, None]
             each = np.stack([np.bincount(inverse, push[:, j], len(cells)) for j in range(dim)], 1).astype(np.float32)
+            each += decay * emb[cells]
             g_emb[cells] += (each * each).mean(1)
             emb[cells] -= rate * each / np.sqrt(g_emb[cells])[:, None]
     scalar = np.zeros(buckets, np.float32)
     scalar[used] = emb @ (out[1] - out[0])
-    return SubwordModel(scalar, float(bias[1] - bias[0]), sizes)
+    shift = float(bias[1] - bias[0])
+    if held.any():
+        per_row = np.add.reduceat(np.append(scalar[index] * value, 0), indptr[:-1]) * (np.diff(indptr) > 0)
+        scale, shift = _platt(per_row[held], shift, toxic[held], math.sqrt((1 - share) / share))
+        scalar *= scale
+    return SubwordModel(scalar, shift, sizes)
+
+
+def _calibration_part(toxic: np.ndarray, rng: np.random.RandomState) -> np.ndarray:
+    """A fifth of each class, or nothing where a class has fewer than 20 texts."""
+    held = np.zeros(len(toxic), bool)
+    if np.bincount(toxic, minlength=2).min() >= 20:
+        for c in (0, 1):
+            rows = rng.permutation(np.flatnonzero(toxic == c))
+            held[rows[: len(rows) // 5]] = True
+    return held
+
+
+def _platt(mean: np.ndarray, shift: float, toxic: np.ndarray, weight: float, steps: int = 50) -> tuple[float, float]:
+    """Scale and shift of the logit that fit the rows best, by Newton steps with a weak prior."""
+    x = np.stack([mean + shift, np.ones(len(mean))], 1)
+    w = np.where(toxic == 1, weight, 1.0)
+    at, prior = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        slope = x.T @ (w * (p - toxic)) + 0.1 * (at - prior)
+        curve = (x * (w * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        at = at - np.clip(np.linalg.solve(curve, slope), -1, 1)
+    scale = max(float(at[0]), 1e-3)
+    return scale, scale * shift + float(at[1])
 
 
 def _bags(texts, sizes, mask) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +170,7 @@ def toxicity_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    max_docs: int = 4000,
+    max_docs: int = 6000,
     max_bytes: int = 16_384,
     **training,
 ) -> DataFrame:

@@ -8,8 +8,9 @@ memory is bounded and a lost task is simply run again. A piece that fits nowhere
 
 from __future__ import annotations
 
-import heapq
+import functools
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,40 +26,75 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Sequences of one task are numbered from the task's number times this.
 STRIDE = 1 << 32
 
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Fixed values of byte-level BPE: printable Latin-1 bytes stand for themselves, the others for U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: A comma or full stop at the end of a word; a space before it changes no token.
+_TAIL = re.compile(rb"(?<=[a-z])([,.])(?=[ \n]|$)")
 
 
 class WordTokenizer:
-    """Token ids of whole texts as little-endian bytes, by a cache of white-space separated words.
+    """Token ids of whole texts as little-endian bytes, by a cache of the words between white space.
 
-    Exact for tokenizers that drop white space and never join across it. A text with control
-    characters that only Python counts as white space goes to the tokenizer whole. The cache is
-    emptied at ``most`` words.
+    Exact for tokenizers that lower-case, drop white space and never join across it. A-Z are lowered
+    first, which doubles the use of the cache. Texts that may hold a special token go to the
+    tokenizer whole. The cache has two generations of ``most`` words each; frequent words move on to
+    the younger one.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
         self.most = most
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = []
-        for lo in range(0, len(texts), 64):
-            split = [None if _ODD_SPACE.search(t) else t.split() for t in texts[lo : lo + 64]]
-            new = [w for w in set().union(*(s for s in split if s)) if w not in known]
-            for i in range(0, len(new), 2048):
-                for w, e in zip(new[i : i + 2048], self.tokenizer.encode_batch_fast(new[i : i + 2048], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            for t, s in zip(texts[lo : lo + 64], split, strict=True):
-                ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(known.__getitem__, s))
-                out.append(ids + self.end)
-        return out
+        self.young = _Generation(self.tokenizer, {})
+
+    def encode(self, text: str) -> bytes:
+        raw = text.encode("utf-8", "replace")
+        if b"<|" in raw:
+            return _bytes(self.tokenizer, text) + self.end
+        if len(self.young) > self.most:
+            self.young = _Generation(self.tokenizer, dict(self.young))
+        return b"".join(map(self.young.__getitem__, _TAIL.sub(rb" \1", raw.lower()).split())) + self.end
+
+
+class _Generation(dict):
+    """Words to ids; looks into an older generation before it asks the tokenizer."""
+
+    def __init__(self, tokenizer, older: dict[bytes, bytes]):
+        super().__init__()
+        self.tokenizer, self.model, self.older = tokenizer, tokenizer.model, older
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.ids(word.decode())
+        self[word] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        """Words of letters only go straight to the merges; the tokenizer takes the rest apart."""
+        plain = text
+        if not text.isascii():
+            plain = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+        if plain[-1] in ",." and plain[:-1].isalpha():
+            return self[plain[:-1].encode()] + self[plain[-1].encode()]
+        if not plain.isalpha():
+            return _bytes(self.tokenizer, text)
+        if not plain.isascii():
+            plain = "".join(map(BYTE_LETTERS.__getitem__, plain.encode()))
+        return np.array([t.id for t in self.model.tokenize(plain)], "<u4").tobytes()
+
+
+def _bytes(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@functools.lru_cache(maxsize=2)
+def word_tokenizer(path: str, end_id: int) -> WordTokenizer:
+    """One per Python worker, so that its cache outlives a task."""
+    return WordTokenizer(path, end_id)
 
 
 def pack(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], np.ndarray]:
@@ -74,43 +110,25 @@ def pack(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) ->
             starts.append(s)
             sizes.append(min(capacity, int(n) - s))
     count = -(-int(np.sum(lengths)) // capacity)
-    cost, used = np.zeros(count), np.zeros(count, np.int64)
-    queue = [(0.0, q) for q in range(count)]
+    cost, room = np.zeros(count), np.full(count, capacity, np.int64)
     out = []
 
     def put(i: int, q: int, shift: int, n: int) -> None:
-        out.append((docs[i], starts[i] + shift, n, q, int(used[q])))
-        used[q] += n
+        out.append((docs[i], starts[i] + shift, n, q, capacity - int(room[q])))
+        room[q] -= n
         cost[q] += linear * n + quadratic * n * n
 
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        n, aside, done = sizes[i], [], False
-        while queue and len(aside) < 64:
-            c, q = heapq.heappop(queue)
-            if capacity - used[q] >= n:
-                put(i, q, 0, n)
-                if used[q] < capacity:
-                    heapq.heappush(queue, (cost[q], q))
-                done = True
-                break
-            aside.append((c, q))
-        for x in aside:
-            heapq.heappush(queue, x)
-        if not done:
-            room = capacity - used
-            fits = np.flatnonzero(room >= n)
-            if len(fits):
-                q = int(fits[np.argmin(cost[fits])])
-                put(i, q, 0, n)
-                done = True
-            shift = 0
-            while not done and shift < n:
-                q = int(np.argmax(capacity - used))
-                part = min(n - shift, int(capacity - used[q]))
-                put(i, q, shift, part)
-                shift += part
-            queue = [(cost[q], q) for q in np.flatnonzero(used < capacity).tolist()]
-            heapq.heapify(queue)
+        n, shift = sizes[i], 0
+        q = int(np.argmin(np.where(room >= n, cost, np.inf)))
+        if room[q] >= n:
+            put(i, q, 0, n)
+            continue
+        while shift < n:  # fits nowhere: cut
+            q = int(np.argmax(room))
+            part = min(n - shift, int(room[q]))
+            put(i, q, shift, part)
+            shift += part
     return out, cost
 
 
@@ -137,7 +155,7 @@ def packed_pieces(
     arrow_batches(spark, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path, end_id)
+        tokenizer = word_tokenizer(tokenizer_path, end_id)
         base = TaskContext.get().partitionId() * STRIDE
         held: list[tuple[int | None, bytes]] = []
         total = 0
@@ -158,10 +176,9 @@ def packed_pieces(
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
-            for lo in range(0, len(texts), 64):
-                for name, tokens in zip(ids[lo : lo + 64], tokenizer.encode(texts[lo : lo + 64]), strict=True):
-                    held.append((name, tokens))
-                    total += len(tokens) // 4
+            for name, text in zip(ids, texts, strict=True):
+                held.append((name, tokenizer.encode(text)))
+                total += len(held[-1][1]) // 4
                 if total >= group_tokens:
                     yield flush()
         if held:

@@ -10,10 +10,12 @@ and a pair is verified only if the two prefixes share min(l, l') shingles.
 Passes: (1) counts: every document adds its lowest hashed shingles to distributed counts, of which
 the ``frequent_max`` largest become the frequent list, a fixed bound; the list only sets the order,
 so results never depend on it. (2) signatures: sizes, prefix and a 128-bit sum of the whole set;
-equal sets fold into one representative. (3) prefix shingles meet in lists; a list of more than
-``block`` documents is dealt out as pairs of blocks, so that no task holds it whole. (4) the sets
-of documents that are on a list are computed again from whole texts and verified exactly; of the
-links found, each group passes on a spanning forest. (5) components.
+equal sets fold into one representative. (3) prefix shingles meet in lists; representatives with too
+few shared ones go at once. A list of more than ``block`` documents is dealt out as pairs of blocks,
+so that no task holds it whole. Each list counts shared prefix shingles by pair and passes on its
+groups of candidates, one row per member. (4) the sets of candidates are computed again from whole
+texts and verified exactly; of the links found, each group passes on a spanning forest. (5)
+components.
 """
 
 from __future__ import annotations
@@ -49,12 +51,12 @@ class Order:
         return grams, counts
 
 
-def prefix_length(counts: np.ndarray, n: int, num: int, den: int, cost: int, longest: int) -> tuple[int, int]:
-    """(prefix length, l): l grows by one for every ``cost`` of estimated candidates."""
+def prefix_length(counts: np.ndarray, n: int, num: int, den: int, cost: int, least: int, longest: int) -> tuple[int, int]:
+    """(prefix length, l): l is ``least`` and one more for every ``cost`` of estimated candidates."""
     t = -(-n * num // den)
     shortest = n - t + 1
     spent = int((counts[:shortest] - 1).sum())
-    more = 1 + min(longest - 1, spent // cost)
+    more = min(longest, least + spent // cost)
     more = min(more, t)
     return n - t + more, more
 
@@ -89,14 +91,14 @@ def _count_rows(k: int, least: int, percent: int):
     return run
 
 
-def _signature_rows(k: int, num: int, den: int, cost: int, longest: int, order):
+def _signature_rows(k: int, num: int, den: int, cost: int, least: int, longest: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = Order(*order.value)
         for batch in batches:
             sizes, one, two, prefixes, ells = [], [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 arranged, counts = frequent.arrange(s)
-                p, ell = prefix_length(counts, len(s), num, den, cost, longest) if len(s) else (0, 0)
+                p, ell = prefix_length(counts, len(s), num, den, cost, least, longest) if len(s) else (0, 0)
                 sizes.append(len(s))
                 one.append(s.sum(dtype=np.uint64))
                 two.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
@@ -113,30 +115,37 @@ def _signature_rows(k: int, num: int, den: int, cost: int, longest: int, order):
 def _set_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], ["id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], ["rep", "grams"])
 
     return run
 
 
-def links_within(sets: list[np.ndarray], prefixes: list[np.ndarray], ells: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links between the sets of one group, by position.
+def candidate_groups(shared: list[np.ndarray], ells: list[int], sizes: list[int], num: int, den: int) -> list[list[int]]:
+    """Groups of positions that are tied by pairs which share min(l, l') prefix shingles and fit in size."""
+    size, ell = np.array(sizes), np.array(ells)
+    fits = den * np.minimum.outer(size, size) >= num * np.maximum.outer(size, size)
+    ok = np.triu((_products(shared) >= np.minimum.outer(ell, ell)) & fits, 1)
+    root = _forest(len(shared), zip(*np.nonzero(ok), strict=True))[0]
+    groups: dict[int, list[int]] = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, []).append(i)
+    return [g for g in groups.values() if len(g) > 1]
 
-    A pair is verified if its prefixes share min(l, l') shingles; sizes alone rule out others.
-    """
+
+def links_within(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links between the sets of one group, by position."""
     m = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    if m == 2:
-        return [(0, 1)] if _linked(sets[0], sets[1], num, den) else []
-    shared = _products(prefixes)
-    need = np.minimum.outer(np.array(ells), np.array(ells))
-    fits = den * np.minimum.outer(sizes, sizes) >= num * np.maximum.outer(sizes, sizes)
-    todo = np.triu((shared >= need) & fits, 1)
-    if todo.sum() > 4 * m:
-        inter = _products(sets)
-        ok = todo & (den * inter >= num * (np.add.outer(sizes, sizes) - inter))
-        pairs = zip(*np.nonzero(ok), strict=True)
+    if m <= 6:
+        pairs = [(i, j) for i in range(m) for j in range(i + 1, m) if _linked(sets[i], sets[j], num, den)]
     else:
-        pairs = ((i, j) for i, j in zip(*np.nonzero(todo), strict=True) if _linked(sets[i], sets[j], num, den))
+        sizes = np.array([len(s) for s in sets])
+        inter = _products(sets)
+        pairs = zip(*np.nonzero(np.triu(den * inter >= num * (np.add.outer(sizes, sizes) - inter), 1)), strict=True)
+    return _forest(m, pairs)[1]
+
+
+def _forest(m: int, pairs) -> tuple[list[int], list[tuple[int, int]]]:
+    """Root of every position, and the pairs that joined two trees."""
     root = list(range(m))
 
     def find(x: int) -> int:
@@ -151,7 +160,7 @@ def links_within(sets: list[np.ndarray], prefixes: list[np.ndarray], ells: list[
         if a != b:
             root[max(a, b)] = min(a, b)
             forest.append((int(i), int(j)))
-    return forest
+    return [find(i) for i in range(m)], forest
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -184,42 +193,56 @@ def _products(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def _verify(num: int, den: int):
+def _by_list(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of each list; rows come sorted by list (the first column) and may run over batches."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() if not pa.types.is_list(c.type) else _arrays(c) for c in batch.columns), strict=True):
+            if row[0] != key:
+                if len(rows) > 1:
+                    yield rows
+                key, rows = row[0], []
+            rows.append(row)
+    if len(rows) > 1:
+        yield rows
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _group_rows(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by list; a list may run over the end of a batch."""
-        key, rows = None, []
-        out_a, out_b = [], []
-
-        def close():
-            if len(rows) > 1:
-                ids = [r[0] for r in rows]
-                for i, j in links_within([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], num, den):
-                    out_a.append(ids[i])
-                    out_b.append(ids[j])
-
-        def emit():
-            batch = pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-            out_a.clear()
-            out_b.clear()
-            return batch
+        out = []
+        for rows in _by_list(batches):
+            ids = [r[1] for r in rows]
+            out += [[ids[i] for i in g] for g in candidate_groups([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], num, den)]
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["members"])
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["members"])
+
+    return run
 
-        for batch in batches:
-            prefixes = batch.column(3)
-            flat = prefixes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            at = np.concatenate([[0], np.cumsum(prefixes.value_lengths().to_numpy(zero_copy_only=False))])
-            for i, (k, d, g, e) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(4).to_pylist(), strict=True)):
-                if k != key:
-                    close()
-                    key, rows = k, []
-                rows.append((d, np.frombuffer(g.as_buffer(), np.uint64), flat[at[i] : at[i + 1]], e))
-            if len(out_a) > 10_000:
-                yield emit()
-        close()
-        yield emit()
+
+def _link_rows(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for rows in _by_list(batches):
+            out += [(rows[i][1], rows[j][1]) for i, j in links_within([np.frombuffer(r[2], np.uint64) for r in rows], num, den)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _spread(lists: DataFrame, reps: DataFrame, *columns: str) -> DataFrame:
+    """A row for each member of each list with columns of ``reps``, in runs by list."""
+    rows = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep")).join(reps, "rep")
+    return rows.select("list", "rep", *columns).repartition("list").sortWithinPartitions("list", "rep")
+
+
 def ngram_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -230,6 +253,7 @@ def ngram_components(
     frequent_max: int = 262_144,
     frequent_least: int = 4,
     cost: int = 256,
+    least: int = 4,
     longest: int = 8,
     block: int = 256,
     broadcast_rows: int = 2_000_000,
@@ -248,30 +272,32 @@ def ngram_components(
     counted = rows.select("text").mapInArrow(_count_rows(k, 96, 20), "gram long, n long")
     frequent = counted.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent_least).orderBy(F.desc("n"), "gram").limit(frequent_max).toArrow()
     order = spark.sparkContext.broadcast((frequent.column("gram").to_numpy().view(np.uint64), frequent.column("n").to_numpy()))
-    signed = rows.mapInArrow(_signature_rows(k, num, den, cost, longest, order), "id long, n long, sum_a long, sum_b long, prefix array<long>, ell int")
+    signed = rows.mapInArrow(_signature_rows(k, num, den, cost, least, longest, order), "id long, n long, sum_a long, sum_b long, prefix array<long>, ell int")
     signed = stored(signed, "ngram-signatures")
 
     same = ["n", "sum_a", "sum_b"]
     reps = signed.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("ell").alias("ell"))
     reps = stored(reps, "ngram-representatives")
     index = reps.select("rep", F.explode("prefix").alias("gram"))
-    sizes = index.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
-    listed = index.join(sizes, "gram")
+    often = index.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
+    # the partner of a set of n shingles has at least n * num / den of them, so this bounds min(l, l')
+    need = F.least(F.col("ell"), F.greatest(F.lit(1), F.least(F.lit(least), F.ceil(F.ceil(F.col("n") * num / den) * num / den).cast("int"))))
+    shared = index.join(often, "gram").groupBy("rep").agg(F.collect_list(F.struct("gram", "m")).alias("grams"))
+    shared = shared.join(reps.select("rep", "ell", "n"), "rep").filter(F.size("grams") >= need)
+    shared = stored(shared.select("rep", "ell", "n", "grams"), "ngram-shared")
+    listed = shared.select("rep", F.explode("grams").alias("g")).select("rep", "g.gram", "g.m")
     blocks = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     listed = listed.select("gram", "rep", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     listed = listed.groupBy("gram", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.array_sort(F.collect_list("rep")).alias("members"))
     lists = stored(listed.filter(F.size("members") > 1).select("members").distinct(), "ngram-lists")
+    traits = shared.select("rep", F.col("grams.gram").alias("grams"), "ell", "n")
+    groups = stored(_spread(lists, traits, "grams", "ell", "n").mapInArrow(_group_rows(num, den), "members array<long>").distinct(), "ngram-groups")
 
-    on_list = lists.select(F.explode("members").alias("rep")).distinct()
-    wanted = stored(on_list.join(reps.select("rep", "prefix", "ell"), "rep"), "ngram-candidates")
-    ids = wanted.select(F.col("rep").alias("id"))
-    ids = F.broadcast(ids) if small_enough(ids, broadcast_rows) else ids
-    sets = rows.join(ids, "id", "left_semi").mapInArrow(_set_rows(k), "id long, grams binary").dropDuplicates(["id", "grams"])
-    members = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep"))
-    members = members.join(wanted, "rep").join(sets, F.col("rep") == F.col("id")).select("list", "rep", "grams", "prefix", "ell")
-    members = members.repartition("list").sortWithinPartitions("list", "rep")
-    edges = stored(members.mapInArrow(_verify(num, den), "a long, b long"), "ngram-links")
+    ids = stored(groups.select(F.explode("members").alias("id")).distinct(), "ngram-candidates")
+    near = F.broadcast(ids) if small_enough(ids, broadcast_rows) else ids
+    sets = rows.join(near, "id", "left_semi").mapInArrow(_set_rows(k), "rep long, grams binary").dropDuplicates(["rep", "grams"])
+    edges = stored(_spread(groups, sets, "grams").mapInArrow(_link_rows(num, den), "a long, b long"), "ngram-links")
     # rows that share an id but not a text tie their sets together
     roots = connected_components(edges)
 

@@ -13,7 +13,8 @@ so results never depend on it. (2) signatures: sizes, prefix and a 128-bit sum o
 equal sets fold into one representative. (3) prefix shingles meet in lists; representatives with too
 few shared ones go at once. A list of more than ``block`` documents is dealt out as pairs of blocks,
 so that no task holds it whole. Each list counts shared prefix shingles by pair and passes on its
-groups of candidates, one row per member. (4) the sets of candidates are computed again from whole
+groups of candidates, one row per member; a pair that meets in several lists counts in the list of
+its first common shingle only. (4) the sets of candidates are computed again from whole
 texts and verified exactly; of the links found, each group passes on a spanning forest. (5)
 components.
 """
@@ -120,11 +121,18 @@ def _set_rows(k: int):
     return run
 
 
-def candidate_groups(shared: list[np.ndarray], ells: list[int], sizes: list[int], num: int, den: int) -> list[list[int]]:
-    """Groups of positions that are tied by pairs which share min(l, l') prefix shingles and fit in size."""
-    size, ell = np.array(sizes), np.array(ells)
+def candidate_groups(shared: list[np.ndarray], ells: list[int], sizes: list[int], blocks: list[int], gram: int, x: int, y: int, num: int, den: int) -> list[list[int]]:
+    """Groups of positions that are tied by candidate pairs of the list of ``gram``.
+
+    A pair is a candidate if it shares min(l, l') prefix shingles, fits in size, meets in this pair of
+    blocks ``x, y`` by right, and has no common shingle before ``gram``.
+    """
+    size, ell, at = np.array(sizes), np.array(ells), np.array(blocks)
     fits = den * np.minimum.outer(size, size) >= num * np.maximum.outer(size, size)
-    ok = np.triu((_products(shared) >= np.minimum.outer(ell, ell)) & fits, 1)
+    here = (np.minimum.outer(at, at) == x) & (np.maximum.outer(at, at) == y)
+    ok = np.triu((_products(shared) >= np.minimum.outer(ell, ell)) & fits & here, 1)
+    if ok.any():
+        ok &= _products([s[s.view(np.int64) < gram] for s in shared]) == 0
     root = _forest(len(shared), zip(*np.nonzero(ok), strict=True))[0]
     groups: dict[int, list[int]] = {}
     for i, r in enumerate(root):
@@ -218,7 +226,7 @@ def _group_rows(num: int, den: int):
         out = []
         for rows in _by_list(batches):
             ids = [r[1] for r in rows]
-            out += [[ids[i] for i in g] for g in candidate_groups([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], num, den)]
+            out += [[ids[i] for i in g] for g in candidate_groups(*([r[c] for r in rows] for c in (2, 3, 4, 5)), *rows[0][6:9], num, den)]
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["members"])
                 out = []
@@ -237,9 +245,9 @@ def _link_rows(num: int, den: int):
     return run
 
 
-def _spread(lists: DataFrame, reps: DataFrame, *columns: str) -> DataFrame:
+def _spread(lists: DataFrame, reps: DataFrame, *columns) -> DataFrame:
     """A row for each member of each list with columns of ``reps``, in runs by list."""
-    rows = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep")).join(reps, "rep")
+    rows = lists.withColumn("list", F.xxhash64("members")).withColumn("rep", F.explode("members")).join(reps, "rep")
     return rows.select("list", "rep", *columns).repartition("list").sortWithinPartitions("list", "rep")
 
 
@@ -269,7 +277,7 @@ def ngram_components(
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    counted = rows.select("text").mapInArrow(_count_rows(k, 96, 20), "gram long, n long")
+    counted = rows.select("text").mapInArrow(_count_rows(k, 64, min(100, -(-150 * (den - num) // den))), "gram long, n long")
     frequent = counted.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent_least).orderBy(F.desc("n"), "gram").limit(frequent_max).toArrow()
     order = spark.sparkContext.broadcast((frequent.column("gram").to_numpy().view(np.uint64), frequent.column("n").to_numpy()))
     signed = rows.mapInArrow(_signature_rows(k, num, den, cost, least, longest, order), "id long, n long, sum_a long, sum_b long, prefix array<long>, ell int")
@@ -288,11 +296,13 @@ def ngram_components(
     listed = shared.select("rep", F.explode("grams").alias("g")).select("rep", "g.gram", "g.m")
     blocks = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    listed = listed.select("gram", "rep", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    listed = listed.groupBy("gram", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.array_sort(F.collect_list("rep")).alias("members"))
-    lists = stored(listed.filter(F.size("members") > 1).select("members").distinct(), "ngram-lists")
+    listed = listed.select("gram", "rep", blocks.alias("blocks"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    listed = listed.groupBy("gram", "blocks", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.array_sort(F.collect_list("rep")).alias("members"))
+    lists = listed.filter(F.size("members") > 1).groupBy("members").agg(F.min(F.struct("gram", "x", "y", "blocks")).alias("of"))
+    lists = stored(lists.select("members", "of.*"), "ngram-lists")
     traits = shared.select("rep", F.col("grams.gram").alias("grams"), "ell", "n")
-    groups = stored(_spread(lists, traits, "grams", "ell", "n").mapInArrow(_group_rows(num, den), "members array<long>").distinct(), "ngram-groups")
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
+    groups = stored(_spread(lists, traits, "grams", "ell", "n", mine, "gram", "x", "y").mapInArrow(_group_rows(num, den), "members array<long>").distinct(), "ngram-groups")
 
     ids = stored(groups.select(F.explode("members").alias("id")).distinct(), "ngram-candidates")
     near = F.broadcast(ids) if small_enough(ids, broadcast_rows) else ids

@@ -51,7 +51,7 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2.0,
     seed: str = "mix",
-    bin_rows: int = 20_000,
+    bin_rows: int = 1500,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -70,7 +70,7 @@ def mix_sources(
     rows = stored(rows.withColumn("_key", key), "mix-sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     targets = source_targets(sums.drop("_rows"), weights, share, most).withColumnRenamed("source", "_source")
-    bins = F.greatest(F.lit(1), F.ceil(F.col("_rows") / bin_rows)).cast("long")
+    bins = F.least(F.lit(1 << 20), F.greatest(F.lit(1), F.ceil(F.col("_rows") / bin_rows))).cast("long")
     plan = sums.select("source", bins.alias("_bins")).join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     budget = F.floor(F.col("target") + 1e-9).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")

@@ -284,20 +284,22 @@ def ngram_components(
     signed = stored(signed, "ngram-signatures")
 
     same = ["n", "sum_a", "sum_b"]
-    reps = signed.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("ell").alias("ell"))
+    reps = signed.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.first("ell").alias("ell"))
     reps = stored(reps, "ngram-representatives")
-    index = reps.select("rep", F.explode("prefix").alias("gram"))
+    # rows that repeat an id and a text come out twice here; sets of shingles and of members take care of it
+    whose = reps.select(*same, F.col("rep").alias("id"))
+    index = signed.join(whose, [*same, "id"], "left_semi").select(F.col("id").alias("rep"), F.explode("prefix").alias("gram"))
     often = index.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
     # the partner of a set of n shingles has at least n * num / den of them, so this bounds min(l, l')
     need = F.least(F.col("ell"), F.greatest(F.lit(1), F.least(F.lit(least), F.ceil(F.ceil(F.col("n") * num / den) * num / den).cast("int"))))
-    shared = index.join(often, "gram").groupBy("rep").agg(F.collect_list(F.struct("gram", "m")).alias("grams"))
+    shared = index.join(often, "gram").groupBy("rep").agg(F.collect_set(F.struct("gram", "m")).alias("grams"))
     shared = shared.join(reps.select("rep", "ell", "n"), "rep").filter(F.size("grams") >= need)
     shared = stored(shared.select("rep", "ell", "n", "grams"), "ngram-shared")
     listed = shared.select("rep", F.explode("grams").alias("g")).select("rep", "g.gram", "g.m")
     blocks = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     listed = listed.select("gram", "rep", blocks.alias("blocks"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    listed = listed.groupBy("gram", "blocks", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.array_sort(F.collect_list("rep")).alias("members"))
+    listed = listed.groupBy("gram", "blocks", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.array_sort(F.collect_set("rep")).alias("members"))
     lists = listed.filter(F.size("members") > 1).groupBy("members").agg(F.min(F.struct("gram", "x", "y", "blocks")).alias("of"))
     lists = stored(lists.select("members", "of.*"), "ngram-lists")
     traits = shared.select("rep", F.col("grams.gram").alias("grams"), "ell", "n")

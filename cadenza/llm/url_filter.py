@@ -33,7 +33,7 @@ def covering_patterns(url):
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?", 1)
     labels = F.split(host, r"\.")
-    first = F.element_at(F.split(path, "/"), 2)
+    first = F.try_element_at(F.split(path, "/"), F.lit(2))
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     deep = F.when(F.coalesce(first, F.lit("")) != "", F.transform(domains, lambda d: F.concat(d, F.lit("/"), F.lower(first)))).otherwise(F.array().cast("array<string>"))
     every = F.concat(deep, domains)

@@ -308,7 +308,9 @@ def ngram_components(
 
     ids = stored(groups.select(F.explode("members").alias("id")).distinct(), "ngram-candidates")
     near = F.broadcast(ids) if small_enough(ids, broadcast_rows) else ids
-    sets = rows.join(near, "id", "left_semi").mapInArrow(_set_rows(k), "rep long, grams binary").dropDuplicates(["rep", "grams"])
+    sets = rows.join(near, "id", "left_semi").mapInArrow(_set_rows(k), "rep long, grams binary")
+    # dealt by rep alone, which serves the dropping of repeats and the join: whole sets move once less
+    sets = sets.repartition("rep").dropDuplicates(["rep", "grams"])
     edges = stored(_spread(groups, sets, "grams").mapInArrow(_link_rows(num, den), "a long, b long"), "ngram-links")
     # rows that share an id but not a text tie their sets together
     roots = connected_components(edges)

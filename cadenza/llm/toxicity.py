@@ -58,8 +58,13 @@ def fit_subword_model(texts, toxic: np.ndarray, buckets: int = 1 << 18, dim: int
         share = min(max(share, 0.01), 0.99)
         return SubwordModel(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))), sizes)
     indptr, index, value = _bags(texts, sizes, buckets - 1)
-    used, code, docs_with = np.unique(index, return_inverse=True, return_counts=True)
-    value = np.where(docs_with[code] >= least_docs, value, 0).astype(np.float32)
+    docs_with = np.bincount(index, minlength=buckets)
+    used = np.flatnonzero(docs_with)
+    value *= (docs_with >= least_docs)[index]
+    name = np.zeros(buckets, np.int32)
+    name[used] = np.arange(len(used))
+    code = name[index]
+    del index
     rng = np.random.RandomState(seed)
     emb = ((rng.rand(len(used), dim) - 0.5) / dim).astype(np.float32)
     out = ((rng.rand(2, dim) - 0.5) / dim).astype(np.float32)
@@ -100,11 +105,13 @@ def fit_subword_model(texts, toxic: np.ndarray, buckets: int = 1 << 18, dim: int
             g_emb[cells] += (each * each).mean(1)
             emb[cells] -= rate * each / np.sqrt(g_emb[cells])[:, None]
     scalar = np.zeros(buckets, np.float32)
-    scalar[used] = emb @ (out[1] - out[0])
+    slope = emb @ (out[1] - out[0])
+    scalar[used] = slope
     shift = float(bias[1] - bias[0])
     if held.any():
-        per_row = np.add.reduceat(np.append(scalar[index] * value, 0), indptr[:-1]) * (np.diff(indptr) > 0)
-        scale, shift = _platt(per_row[held], shift, toxic[held], math.sqrt((1 - share) / share))
+        spans = [slice(indptr[d], indptr[d + 1]) for d in np.flatnonzero(held)]
+        mean = np.array([(slope[code[s]] * value[s]).sum() for s in spans])
+        scale, shift = _platt(mean, shift, toxic[held], math.sqrt((1 - share) / share))
         scalar *= scale
     return SubwordModel(scalar, shift, sizes)
 
@@ -137,7 +144,7 @@ def _bags(texts, sizes, mask) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """CSR of the feature shares of each text."""
     buf, offsets = utf8(texts)
     counts, index, value = [], [], []
-    for a, b in pieces(offsets, 1 << 20):
+    for a, b in pieces(offsets, 1 << 18):
         part = offsets[a : b + 1]
         keys = [row.astype(np.int64) * (mask + 1) + bucket for row, bucket in subword_features(buf[part[0] : part[-1]], part - part[0], sizes, mask)]
         cells, n = np.unique(np.concatenate(keys), return_counts=True)
@@ -146,7 +153,10 @@ def _bags(texts, sizes, mask) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts.append(np.bincount(row, minlength=b - a))
         index.append((cells % (mask + 1)).astype(np.int32))
         value.append((n / total[row]).astype(np.float32))
-    return np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(index), np.concatenate(value)
+    # one list at a time, as the driver holds both
+    whole = np.concatenate(index)
+    del index
+    return np.concatenate([[0], np.cumsum(np.concatenate(counts))]), whole, np.concatenate(value)
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int, max_bytes: int, id_col: str, text_col: str, label_col: str) -> pa.Table:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .levels import peak_limited
+from ..functions.rng import uniform
+from .levels import peak_limited, snr_mixed
 
 
 def hz_quantised(hz: Column, step: float) -> Column:
@@ -52,3 +53,35 @@ def band_passed(df: DataFrame, keys: list[str], low: float, high: float) -> Data
     if low >= high:
         raise ValueError("low must be below high")
     return peak_limited(low_passed(high_passed(df, keys, low), keys, high), keys)
+
+
+def rate_changed(df: DataFrame, keys: list[str], old: int, new: int, zeros: int = 24, rolloff: float = 0.945) -> DataFrame:
+    """``keys, t, x`` at rate ``new`` instead of ``old``, by windowed-sinc interpolation; ends are held.
+
+    A signal of n samples gets n * new // old. The sinc has ``zeros`` crossings on either side under
+    a squared cosine, and its weights add up to 1 at each output. Equal rates leave the signal. Work
+    is the outputs times the crossings; rows meet on ``keys, t``, so a long signal spreads.
+    """
+    if old == new:
+        return df.select(*keys, "t", "x")
+    band = min(old, new) * rolloff
+    reach = zeros * old / band
+    place = F.col("_t") * F.lit(old) / F.lit(new)
+    slots = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.floor(F.col("_n") * new / old) > 0)
+    slots = slots.select("*", F.explode(F.sequence(F.lit(0), (F.floor(F.col("_n") * new / old) - 1).cast("int"))).alias("_t"))
+    slots = slots.select("*", F.explode(F.sequence(F.ceil(place - reach).cast("int"), F.floor(place + reach).cast("int"))).alias("_i"))
+    a = (F.col("_i") - place) * (math.pi * band / old)
+    weight = F.when(a == 0, 1.0).otherwise(F.sin(a) / a) * F.pow(F.cos(a / (2 * zeros)), 2)
+    slots = slots.select(*keys, "_t", F.least(F.greatest("_i", F.lit(0)), F.col("_n") - 1).cast("int").alias("t"), weight.alias("_w"))
+    return slots.join(df.select(*keys, "t", "x"), [*keys, "t"]).groupBy(*keys, F.col("_t").alias("t")).agg((F.sum(F.col("_w") * F.col("x")) / F.sum("_w")).alias("x"))
+
+
+def gaussian(seed: int, *keys: Column) -> Column:
+    """Standard normal draw of a key, from two hashed uniforms. Draws depend on seed and key only."""
+    return F.sqrt(-2 * F.log(F.greatest(uniform(seed, *keys), F.lit(1e-9)))) * F.cos(2 * math.pi * uniform(seed + 1, *keys))
+
+
+def noise_added(df: DataFrame, keys: list[str], snr: float, seed: int) -> DataFrame:
+    """``y``: the signal and white noise at ``snr`` dB. The noise is seeded by ``keys`` and ``t``."""
+    noise = df.select(*keys, "t", gaussian(seed, *map(F.col, keys), F.col("t")).alias("x"))
+    return snr_mixed(df, noise, keys, snr)

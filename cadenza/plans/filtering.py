@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rng import uniform_sql
 from ..operators import filters
 from ..sources.tables import load, signals
 from .catalogue import SIGNALS, query, r6
@@ -39,3 +40,18 @@ def high_pass(spark, sf_dir):
   p AS (SELECT *, max(abs(y)) OVER (PARTITION BY signal_id) AS p FROM hi) SELECT signal_id, t, round(CASE WHEN p > 1 THEN y / p ELSE y END, 6) AS x FROM p""")
 def band_pass(spark, sf_dir):
     return filters.band_passed(signals(spark, sf_dir), KEY, 0.1, 0.4).select("signal_id", "t", r6("x", "x"))
+
+
+@query(f"""WITH {SIGNALS}, n AS (SELECT signal_id, count(*) AS n FROM sg GROUP BY 1), o AS (SELECT signal_id, n, unnest(range(n * 2 // 3)) AS t FROM n),
+  s AS (SELECT *, t * 3 / 2.0::DOUBLE AS p, unnest(range(ceil(t * 1.5::DOUBLE - 72 / 1.89::DOUBLE)::BIGINT, floor(t * 1.5::DOUBLE + 72 / 1.89::DOUBLE)::BIGINT + 1)) AS i FROM o),
+  a AS (SELECT *, (i - p) * pi() * 1.89::DOUBLE / 3 AS a FROM s), w AS (SELECT *, CASE WHEN a = 0 THEN 1.0::DOUBLE ELSE sin(a) / a END * power(cos(a / 48), 2) AS w FROM a)
+  SELECT w.signal_id, w.t::INT AS t, round(sum(w * x) / sum(w), 6) AS x FROM w JOIN sg ON sg.signal_id = w.signal_id AND sg.t = least(greatest(i, 0), n - 1) GROUP BY ALL""")
+def rate_change(spark, sf_dir):
+    return filters.rate_changed(signals(spark, sf_dir), KEY, 3, 2).select("signal_id", "t", r6("x", "x"))
+
+
+@query(f"""WITH {SIGNALS}, b AS (SELECT signal_id, t, x, sqrt(-2 * ln(greatest({uniform_sql(11, 'signal_id', 't')}, 1e-9))) * cos(2 * pi() * {uniform_sql(12, 'signal_id', 't')}) AS n FROM sg),
+  g AS (SELECT signal_id, sqrt(power(10.0::DOUBLE, (10 * log10(avg(x * x) + 1e-8) - 10 * log10(avg(n * n) + 1e-8) - 15) / 10)) AS g FROM b GROUP BY 1)
+  SELECT signal_id, t, round(x + g * n, 6) AS y FROM b JOIN g USING (signal_id)""")
+def white_noise(spark, sf_dir):
+    return filters.noise_added(signals(spark, sf_dir).select("signal_id", "t", "x"), KEY, 15.0, 11).select("signal_id", "t", r6("y", "y"))

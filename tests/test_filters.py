@@ -33,3 +33,21 @@ def test_band_pass_is_limited_and_checked(spark):
     assert max(map(abs, _got(filters.band_passed(df, ["k"], 0.05, 0.4), 1))) <= 1 + 1e-12
     with pytest.raises(ValueError):
         filters.band_passed(df, ["k"], 0.4, 0.1)
+
+
+def test_rate_change_keeps_constants_lengths_and_slow_waves(spark):
+    df = spark.createDataFrame([(1, t, math.sin(t / 20)) for t in range(400)] + [(2, t, 7.0) for t in range(5)] + [(3, 0, 1.0)], "k int, t int, x double")
+    out = filters.rate_changed(df, ["k"], 3, 2)
+    assert [len(_got(out, k)) for k in (1, 2, 3)] == [266, 3, 0]
+    assert _got(out, 2) == pytest.approx([7.0] * 3)
+    wave = _got(out, 1)
+    assert wave[60:200] == pytest.approx([math.sin(t * 1.5 / 20) for t in range(60, 200)], abs=1e-3)
+    assert _got(filters.rate_changed(df, ["k"], 2, 2), 2) == [7.0] * 5
+    assert len(_got(filters.rate_changed(df, ["k"], 2, 3), 2)) == 7
+
+
+def test_noise_has_the_ratio_asked_for(spark):
+    df = spark.createDataFrame(ROWS, "k int, t int, x double")
+    rows = filters.noise_added(df, ["k"], 10.0, 5).filter("k = 1").collect()
+    level = lambda v: sum(a * a for a in v) / len(v)
+    assert 10 * math.log10(level([r.x for r in rows]) / level([r.y - r.x for r in rows])) == pytest.approx(10.0, abs=1e-4)

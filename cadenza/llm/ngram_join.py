@@ -299,8 +299,9 @@ def ngram_components(
     blocks = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     listed = listed.select("gram", "rep", blocks.alias("blocks"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    listed = listed.groupBy("gram", "blocks", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.array_sort(F.collect_set("rep")).alias("members"))
-    lists = listed.filter(F.size("members") > 1).groupBy("members").agg(F.min(F.struct("gram", "x", "y", "blocks")).alias("of"))
+    listed = listed.groupBy("gram", "blocks", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.array_sort(F.collect_set("rep")).alias("members"), F.min("mine").alias("low"), F.max("mine").alias("high"))
+    # two blocks of which one is empty have the members of the other one's own list, which is to stand for its pairs
+    lists = listed.filter((F.size("members") > 1) & (F.col("low") == F.col("x")) & (F.col("high") == F.col("y"))).groupBy("members").agg(F.min(F.struct("gram", "x", "y", "blocks")).alias("of"))
     lists = stored(lists.select("members", "of.*"), "ngram-lists")
     traits = shared.select("rep", F.col("grams.gram").alias("grams"), "ell", "n")
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import ann, chat, exact_dedup, mixing, ngram_join, packing, sharding, toxicity, url_filter, warc
+from cadenza.llm import ann, chat, exact_dedup, mixing, ngram_join, packing, sharding, textkernels, toxicity, url_filter, warc
 from cadenza.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, keep_id string, id string, kept int"
@@ -56,6 +56,22 @@ def test_ngram_components(spark):
     assert ngram_join.ngram_components(documents(spark, [])).count() == 0
 
 
+def test_hot_shingle_of_which_only_a_pair_in_one_block_is_left(spark):
+    words = [f"w{i}" for i in range(2000)]
+    by = sorted((int(s[0]), w) for s, w in zip(textkernels.shingle_sets(pa.array(words), 1), words, strict=True))
+    words = [w for h, w in by if h < 1 << 63]  # the first one comes first in signed order as well
+    fresh = (words[i : i + 30] for i in range(1, len(words) - 30, 30))
+    single = lambda: " ".join([words[0], *next(fresh)])
+    near = single()
+    blocks = spark.range(100).select("id", F.pmod(F.xxhash64("id"), F.lit(6)).alias("b")).collect()
+    for block in (0, 3, 5):
+        a, b = [r.id for r in blocks if r.b == block][:2]
+        docs = [(a, f"{near} {words[-1]}"), (b, f"{near} {words[-2]}")] + [(1000 + i, single()) for i in range(10)]
+        found = ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string"), k=1, frequent_least=1000, block=2)
+        assert {r.doc_id: r.component_id for r in found.collect()} == {i: min(i, a) if i == b else i for i, _ in docs}
+        fresh = (words[i : i + 30] for i in range(31, len(words) - 30, 30))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in connected_components(edges).collect()}

@@ -122,7 +122,28 @@ def _split_by_text(rows: DataFrame, result: DataFrame, bad: DataFrame, digest) -
     return result.join(bad, KEY, "left_anti").select(*KEY, "_id", "_out", "keep_id", "group_size").unionByName(mended)
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that repeat an earlier text; columns unchanged."""
-    keep = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_keep")), "left_semi")
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+    """``docs`` without the rows that repeat an earlier text; columns unchanged.
+
+    One row is left for each text, the one of smallest id, null ids last. Of rows that are equal in
+    id and text, the first by all columns stays. An id says which row stays only if it is not null
+    and not repeated; rows of other ids, few as a rule, are told apart by text as well.
+    """
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    found = exact_dedup(docs, id_col, text_col, broadcast_rows=broadcast_rows).select(id_.alias("_keep"), "kept", F.col("text_sha256").alias("_text"))
+    ids = found.groupBy("_keep").agg(F.count("*").alias("n"), F.count_if("kept").alias("k")).filter("k > 0")
+    once = ids.filter("n = 1 and _keep is not null").select("_keep")
+    plain = docs.join(once, id_ == F.col("_keep"), "left_semi")
+    again = stored(ids.filter("n > 1 or _keep is null").select("_keep"), "dedup-repeated-ids")
+    if again.isEmpty():
+        return plain
+    repeated = again.filter("_keep is not null")
+    if small_enough(repeated, broadcast_rows):
+        repeated = F.broadcast(repeated)
+    rows = docs.filter(id_.isNull()).unionByName(docs.join(repeated, id_ == F.col("_keep"), "left_semi"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # repeats are combined before the shuffle, so that a group of them is one row for each task
+    rows = rows.groupBy(id_.alias("_id"), F.sha2(folded(text), 256).alias("_sha")).agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    kept = found.filter("kept").select("_keep", "_text").distinct()
+    rows = rows.join(kept, (F.col("_sha") == F.col("_text")) & F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return plain.unionByName(rows.select("_row.*"))

@@ -65,9 +65,21 @@ def mix_sources(
     and size are alike. Null is a source like any other. Extra columns are ignored. No rows give no
     rows. Keys come from MD5, so reruns agree on any cluster.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
+    rows = _sized(docs, seed, id_col, text_col, source_col)
+    return _taken(rows, weights, share, most, bin_rows).select(
+        F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken"), "epochs", "rest"
+    )
+
+
+def _sized(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
+    """``_id, source, size, _key`` and ``more`` for every row of ``docs``, stored."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), *more)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit("null"))))
-    rows = stored(rows.withColumn("_key", key), "mix-sizes")
+    return stored(rows.withColumn("_key", key), "mix-sizes")
+
+
+def _taken(rows: DataFrame, weights: Sequence[float], share: float, most: float, bin_rows: int, *ties: str) -> DataFrame:
+    """``rows`` of ``_sized`` with ``source_size, target, epochs, rest``; ``ties`` order rows equal in key, id and size."""
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     targets = source_targets(sums.drop("_rows"), weights, share, most).withColumnRenamed("source", "_source")
     bins = F.least(F.lit(1 << 20), F.greatest(F.lit(1), F.ceil(F.col("_rows") / bin_rows))).cast("long")
@@ -82,23 +94,32 @@ def mix_sources(
     whole = binned.groupBy("source", "_bin").agg(F.sum("size").alias("_sum"))
     whole = whole.withColumn("_before", F.sum("_sum").over(W.partitionBy("source").orderBy("_bin")) - F.col("_sum")).select(F.col("source").alias("_source"), F.col("_bin").alias("_b"), "_before")
     binned = binned.join(whole, binned["source"].eqNullSafe(whole["_source"]) & (F.col("_bin") == F.col("_b"))).drop("_source", "_b")
-    order = W.partitionBy("source", "_bin").orderBy("_key", F.col("_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("source", "_bin").orderBy("_key", F.col("_id").asc_nulls_last(), "size", *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
     end = F.col("_before") + F.sum("size").over(order)
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - (F.col("_end") - F.col("size"))))
-    return binned.withColumn("_end", end).withColumn("rest", rest.cast("long")).select(
-        F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken"), "epochs", "rest"
-    )
+    return binned.withColumn("_end", end).withColumn("rest", rest.cast("long"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: str = "mix",
+    bin_rows: int = 1500,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """``docs`` as the mix takes them: rows repeated or left out; columns unchanged.
 
     Whole documents only: the one document of a source that the cut falls in is taken whole. Rows
-    without words cost nothing and stay once. ``id_col`` must be unique, as it is after dedup.
+    without words cost nothing and stay once. Each row is taken by itself, under a number that is
+    stored with it: ids may be null or repeated.
     """
-    mixed = mix_sources(docs, id_col=id_col, **options)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = _sized(docs, seed, id_col, text_col, source_col, F.monotonically_increasing_id().alias("_row"), whole)
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs") + (F.col("rest") > 0).cast("int")).cast("int")
-    mixed = mixed.select(F.col(id_col).alias("_mixed"), times.alias("_times")).filter("_times > 0")
-    joined = docs.join(mixed, F.col(f"`{id_col}`").eqNullSafe(F.col("_mixed")))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], copies).drop("_copy")
+    mixed = _taken(rows.drop("_doc"), weights, share, most, bin_rows, "_row").select(F.col("_row").alias("_mixed"), times.alias("_times")).filter("_times > 0")
+    joined = rows.select("_row", "_doc").join(mixed, F.col("_row") == F.col("_mixed"))
+    return joined.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")

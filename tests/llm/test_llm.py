@@ -91,6 +91,34 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix_sources(documents(spark, [])).count() == 0
 
 
+REPEATS = [(1, "a b", "x"), (1, "a b", "x"), (1, "a  b", "y"), (2, "a b", "x"), (2, "c d e", "x"), (None, "a b", "x"), (None, "n o", "x"), (None, "n o", "x"), (None, "p", None), (3, "p q", "y"), (3, "r s", "y"), (None, None, "x"), (4, "z", "y")]
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_one_row_of_each_text_is_kept(spark, most):
+    docs = spark.createDataFrame(REPEATS, "doc_id long, text string, source string")
+    kept = exact_dedup.kept_documents(docs, broadcast_rows=most)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id or -1), " ".join((r.text or "").split())) for r in kept.collect())
+    assert got == [(-1, ""), (-1, "n o"), (-1, "p"), (1, "a b"), (2, "c d e"), (3, "p q"), (3, "r s"), (4, "z")]
+    assert exact_dedup.kept_documents(docs.limit(0)).count() == 0
+
+
+def test_mixed_documents_takes_each_row_by_itself(spark):
+    rows = [(None if i % 2 else 7, f"t{i}" + " w" * (i % 3), f"s{i % 2}", i) for i in range(60)] + [(i, None, None, i) for i in (90, 91)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    mixed = mixing.mixed_documents(docs, bin_rows=10)
+    assert mixed.columns == docs.columns
+    times = {}
+    for r in mixed.collect():
+        times[tuple(r)] = times.get(tuple(r), 0) + 1
+    assert set(times) <= set(rows) and max(times.values()) <= 2 and times[90, None, None, 90] == times[91, None, None, 91] == 1
+    words = lambda source: [(len(r[1].split()), times.get(r, 0)) for r in rows if r[2] == source]
+    targets = {source: target for source, target in mixing.mix_sources(docs).join(docs.select("source", F.col("doc_id").alias("d")).distinct(), F.col("doc_id").eqNullSafe(F.col("d"))).select("source", "target").distinct().collect()}
+    for source in ("s0", "s1"):
+        assert 0 <= sum(n * t for n, t in words(source)) - int(targets[source]) < 3
+
+
 def test_packing_round_trip(spark):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers

@@ -22,6 +22,6 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str, codebooks: int = 9, frames: int = 100) -> DataFrame:
-    """``item, codebook, frame``: positions of token grids, one grid per customer below 50."""
-    items = load(spark, sf_dir, "customer").filter("c_custkey < 50").select(F.col("c_custkey").alias("item"))
+    """``item, codebook, frame``: positions of token grids, one grid per customer."""
+    items = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"))
     return items.select("item", F.explode(F.sequence(F.lit(0), F.lit(codebooks - 1))).alias("codebook")).select("*", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("frame"))

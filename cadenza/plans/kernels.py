@@ -142,7 +142,7 @@ def residual_vq(spark, sf_dir):
 
 @query(f"WITH {VEC} SELECT l_orderkey AS item, l_linenumber AS line, l_partkey % 1024 AS code, round(list_sum(coalesce(v, [0.0::DOUBLE])), 6) AS total FROM lineitem LEFT JOIN ev ON ev.vec_id = l_partkey % 1024 WHERE l_linenumber = 1")
 def code_lookup(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 1024).alias("code"))
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 1024).alias("code"))
     book = _vectors(spark, sf_dir).filter("vec_id < 1024")  # a codebook: 1024 rows at most
     found = rows.join(F.broadcast(book), F.col("code") == F.col("vec_id"), "left")
     return found.select("item", "line", "code", r6(F.coalesce(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), F.lit(0.0)), "total"))

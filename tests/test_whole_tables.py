@@ -21,3 +21,8 @@ def whole(name, table, cut):
 def test_masks_cover_every_customer(spark, name):
     got = sorted(tuple(r) for r in registered.queries()[name](spark, SF_DIR).collect())
     assert got == whole(name, "customer", " WHERE c_custkey < 50")
+
+
+def test_code_lookup_covers_every_line(spark):
+    got = sorted(tuple(r) for r in registered.queries()["code_lookup"](spark, SF_DIR).collect())
+    assert got == whole("code_lookup", "lineitem", " WHERE l_linenumber = 1")

@@ -18,12 +18,14 @@ from .common import small_enough
 def intervals(entries: DataFrame) -> DataFrame:
     """``pattern, action, since, until`` from ``pattern, action, at``; the last ``until`` is null.
 
-    Patterns are compared in lower case. Entries with a null pattern, action or time are void. Of
+    Patterns are compared in lower case, without a scheme and slashes at the end; one with a query
+    matches nothing. Entries with a null pattern, action or time are void. Of
     entries of one pattern and time, the greatest action by name counts ("block" after "allow");
     repeated entries count once.
     """
     usable = entries.filter("pattern is not null and action is not null and at is not null")
-    dated = usable.groupBy(F.lower("pattern").alias("pattern"), F.col("at").alias("since")).agg(F.max("action").alias("action"))
+    bare = F.regexp_replace(F.lower("pattern"), r"^[a-z][a-z0-9+.-]*://|/+$", "")
+    dated = usable.groupBy(bare.alias("pattern"), F.col("at").alias("since")).agg(F.max("action").alias("action"))
     until = F.lead("since").over(W.partitionBy("pattern").orderBy("since"))
     return dated.select("pattern", "action", "since", until.alias("until"))
 
@@ -33,9 +35,12 @@ def covering_patterns(url):
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?", 1)
     labels = F.split(host, r"\.")
-    first = F.try_element_at(F.split(path, "/"), F.lit(2))
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    deep = F.when(F.coalesce(first, F.lit("")) != "", F.transform(domains, lambda d: F.concat(d, F.lit("/"), F.lower(first)))).otherwise(F.array().cast("array<string>"))
+    parts = F.filter(F.split(F.lower(path), "/"), lambda part: part != "")
+    none = F.array().cast("array<string>")
+    # each path with one part less than the one before, the whole path first
+    paths = F.when(F.size(parts) > 0, F.transform(F.sequence(F.size(parts), F.lit(1)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))).otherwise(none)
+    deep = F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda p: F.concat(d, p))))
     every = F.concat(deep, domains)
     return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(every))
 

@@ -209,6 +209,14 @@ def test_url_filter_as_of(spark):
         assert {r.page_id: r.allowed for r in url_filter.decide(captures, entries, broadcast_rows=most).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True, 6: True}
 
 
+def test_url_filter_by_directories_and_whole_urls(spark):
+    entries = spark.createDataFrame([("h.org", "allow", 1), ("h.org/a", "allow", 1), ("h.org/A/b", "block", 1), ("https://h.org/a/b/c.html", "allow", 1), ("p.net/x/y/", "block", 1)], "pattern string, action string, at int")
+    urls = ["http://h.org/a/b", "http://h.org/a/B/d?q=/a", "http://h.org/a/b/c.html#x", "http://h.org/a/bb", "http://h.org//a/b/", "https://w.p.net/x/y/z", "http://p.net/x", "http://h.org/b/a/b"]
+    captures = spark.createDataFrame([(i, u, 5) for i, u in enumerate(urls)], "page_id int, url string, fetched int")
+    got = {r.page_id: (r.allowed, r.pattern) for r in url_filter.decide(captures, entries).collect()}
+    assert got == {0: (False, "h.org/a/b"), 1: (False, "h.org/a/b"), 2: (True, "h.org/a/b/c.html"), 3: (True, "h.org/a"), 4: (False, "h.org/a/b"), 5: (False, "p.net/x/y"), 6: (True, None), 7: (True, "h.org")}
+
+
 def test_preference_pairs(spark):
     schema = "pair_id long, turn long, role string, text string, chosen string"
     chosen = spark.createDataFrame([(1, 0, "user", "hi", "x"), (1, 1, "assistant", "yes", "x"), (2, 0, None, None, "x")], schema)

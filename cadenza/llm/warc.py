@@ -148,7 +148,7 @@ def converted_archives(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """``name, content``: WARC files with a record for each row of ``pages``, by way of ARC files.
 
     Of records with equal payloads of at least 100 bytes, the one with the smallest id is a response
-    and the others revisit it; a null id never is the one referred to while there is another. Null
+    and the others revisit it; records of null ids are responses, and the one referred to never is one of them. Null
     html is an empty payload, a null URL becomes ``urn:none``. Rows that repeat the id of the
     response are responses themselves. Extra columns are ignored. No rows give no archives.
     """
@@ -169,9 +169,10 @@ def converted_archives(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     seen = stored(rows.mapInArrow(digests, "id long, digest binary, size long"), "warc-digests").filter(F.col("size") >= REVISIT_LEAST)
     first = seen.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
-    revisits = seen.join(first, "digest").filter("id <> refers_to").select("id", "refers_to").distinct()
+    revisits = seen.join(first, "digest").filter("id <> refers_to").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers_to").distinct()
     # an id may be repeated with another payload: the reference holds for the payload it was found for
-    joined = rows.join(revisits.groupBy(F.col("id").alias("_id")).agg(F.min("refers_to").alias("refers_to")), F.col("id") == F.col("_id"), "left").drop("_id")
+    digest = F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256))
+    joined = rows.join(revisits, (F.col("id") == F.col("_id")) & (digest == F.col("_digest")), "left").drop("_id", "_digest")
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0

@@ -166,6 +166,14 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_a_recrawled_page_revisits_by_payload(spark):
+    one, two = "x" * 100, "y" * 100
+    pages = spark.createDataFrame([(1, "u", one), (2, "u", one), (2, "u", two), (3, "u", two), (None, "u", one)], "page_id long, url string, html string")
+    got = {(r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    a, b = (hashlib.sha256(t.encode()).hexdigest() for t in (one, two))
+    assert got == {(1, a, "response", None), (2, a, "revisit", 1), (2, b, "response", None), (3, b, "revisit", 2), (None, a, "response", None)}
+
+
 def test_toxicity_generalises_to_misspellings(spark):
     rng = np.random.RandomState(0)
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(200)]

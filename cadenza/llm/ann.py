@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, stored
+from .common import bounded_batches, stored
 
 EDGE = "id long, other long, d float"
 
@@ -47,7 +47,7 @@ def usable_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def start_graph(nodes: DataFrame, k: int, tables: int, block: int, seed: int) -> DataFrame:
     """Neighbours found within blocks of ``tables`` random orders; ``EDGE`` rows, repeats included."""
-    arrow_batches(nodes.sparkSession, 4096)
+    bounded_batches(nodes.sparkSession)
     out = None
     for t in range(tables):
         def code(batches: Iterator[pa.RecordBatch], t=t) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,14 +17,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one set here."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder of its own; on a cluster, where no
+    local folder would do, this raises ValueError.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = _local_dir(spark.sparkContext.applicationId)
     return path.rstrip("/")
 
 
+@functools.cache
+def _local_dir(application: str) -> str:
+    path = tempfile.mkdtemp(prefix=f"{application}-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a scan of it.
 
@@ -32,9 +48,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole documents small; long texts count by the row."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Have Arrow batches of the session end at about ``most`` bytes, unless it has a bound already.
+
+    Batches are counted in rows otherwise, and whole texts differ in size by orders of magnitude.
+    Results are lazy, so the bound stays; it changes no result of this or any other operator.
+    """
+    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,6 +15,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     are renamed and those within a node go. Priorities are random, so chains shrink by a constant
     share each round and the number of rounds is logarithmic. Only tables in the shared folder are
     carried from round to round; the driver sees one count. Self loops and repeated edges are fine.
+    A hub's edges meet its one step in a join, which adaptive execution splits where it is skewed.
     """
     nodes = stored(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "cc-nodes")
     moved = nodes.select("id", F.col("id").alias("at"))
@@ -32,3 +33,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         turn += 1
     smallest = moved.groupBy("at").agg(F.min("id").alias("component"))
     return moved.join(smallest, "at").select("id", "component")
+
+
+def extended_components(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, component`` as of ``connected_components``, of the edges behind ``known`` and ``edges(a, b)``.
+
+    Only what joins two known components, or is new, goes through the rounds.
+    """
+    name = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_at"))
+    named = edges.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    named = named.select(F.coalesce("a_at", "a").alias("a"), F.coalesce("b_at", "b").alias("b"))
+    more = connected_components(named).select(F.col("id").alias("at"), F.col("component").alias("to"))
+    merged = known.join(more, F.col("component") == F.col("at"), "full").select(F.coalesce("id", "at").alias("id"), F.coalesce("to", "component").alias("component"))
+    return stored(merged, "cc-extended")

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded, small_enough, stored
+from .common import folded, free_name, small_enough, stored
 
 KEY = ["_h", "_len", "_sha"]
 
@@ -130,20 +130,22 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and not repeated; rows of other ids, few as a rule, are told apart by text as well.
     """
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    found = exact_dedup(docs, id_col, text_col, broadcast_rows=broadcast_rows).select(id_.alias("_keep"), "kept", F.col("text_sha256").alias("_text"))
-    ids = found.groupBy("_keep").agg(F.count("*").alias("n"), F.count_if("kept").alias("k")).filter("k > 0")
-    once = ids.filter("n = 1 and _keep is not null").select("_keep")
-    plain = docs.join(once, id_ == F.col("_keep"), "left_semi")
-    again = stored(ids.filter("n > 1 or _keep is null").select("_keep"), "dedup-repeated-ids")
+    name = free_name(docs, "_keep")
+    keep = F.col(name)
+    found = exact_dedup(docs, id_col, text_col, broadcast_rows=broadcast_rows).select(id_.alias(name), "kept", F.col("text_sha256").alias("_sha"))
+    ids = found.groupBy(name).agg(F.count("*").alias("n"), F.count_if("kept").alias("k")).filter("k > 0")
+    once = ids.filter((F.col("n") == 1) & keep.isNotNull()).select(name)
+    plain = docs.join(once, id_ == keep, "left_semi")
+    again = stored(ids.filter((F.col("n") > 1) | keep.isNull()).select(name), "dedup-repeated-ids")
     if again.isEmpty():
         return plain
-    repeated = again.filter("_keep is not null")
+    repeated = again.filter(keep.isNotNull())
     if small_enough(repeated, broadcast_rows):
         repeated = F.broadcast(repeated)
-    rows = docs.filter(id_.isNull()).unionByName(docs.join(repeated, id_ == F.col("_keep"), "left_semi"))
+    rows = docs.filter(id_.isNull()).unionByName(docs.join(repeated, id_ == keep, "left_semi"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     # repeats are combined before the shuffle, so that a group of them is one row for each task
     rows = rows.groupBy(id_.alias("_id"), F.sha2(folded(text), 256).alias("_sha")).agg(F.min_by(row, F.to_json(row)).alias("_row"))
-    kept = found.filter("kept").select("_keep", "_text").distinct()
-    rows = rows.join(kept, (F.col("_sha") == F.col("_text")) & F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
+    kept = found.filter("kept").select(name, F.col("_sha").alias("_text")).distinct()
+    rows = rows.join(kept, (F.col("_sha") == F.col("_text")) & F.col("_id").eqNullSafe(keep), "left_semi")
     return plain.unionByName(rows.select("_row.*"))

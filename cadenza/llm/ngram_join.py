@@ -10,13 +10,21 @@ and a pair is verified only if the two prefixes share min(l, l') shingles.
 Passes: (1) counts: every document adds its lowest hashed shingles to distributed counts, of which
 the ``frequent_max`` largest become the frequent list, a fixed bound; the list only sets the order,
 so results never depend on it. (2) signatures: sizes, prefix and a 128-bit sum of the whole set;
-equal sets fold into one representative. (3) prefix shingles meet in lists; representatives with too
-few shared ones go at once. A list of more than ``block`` documents is dealt out as pairs of blocks,
-so that no task holds it whole. Each list counts shared prefix shingles by pair and passes on its
-groups of candidates, one row per member; a pair that meets in several lists counts in the list of
-its first common shingle only. (4) the sets of candidates are computed again from whole
-texts and verified exactly; of the links found, each group passes on a spanning forest. (5)
-components.
+equal sets fold into one class. (3) classes meet in the lists of their prefix shingles; those with
+too few shared ones go at once. Every list is dealt into chunks of about ``block`` classes, each class
+into one. A chunk counts shared prefix shingles by pair and passes on its groups of candidates; a
+pair counts in the list of its first common shingle only. (4) the sets of candidates are computed
+again from whole texts and verified exactly; of the links found, each group passes on a spanning
+forest, and components follow.
+
+Lists of more than one chunk still lack the pairs across chunks. Only pairs of different components
+matter, so lists whose classes are all in one component are done. The others are dealt again, at
+random, and the members of a list with most links so far join all of its chunks: a text that many are
+near copies of finds them at once. That goes on as long as it at least halves what lies outside the
+largest component of its list: a group of g near copies grows together within two or three deals,
+each of which moves every member once. At last all pairs across components that remain, and no others, are compared by pairs of blocks:
+the members of a list's largest component meet the rest, never each other. That is exact, and its
+work grows with a list's members times those that link with none of them, as candidates do.
 """
 
 from __future__ import annotations
@@ -26,10 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, small_enough, stored
-from .components import connected_components
+from .common import bounded_batches, free_name, small_enough, stored
+from .components import connected_components, extended_components
 from .textkernels import mix, shingle_sets
 
 
@@ -101,8 +110,9 @@ def _signature_rows(k: int, num: int, den: int, cost: int, least: int, longest:
                 arranged, counts = frequent.arrange(s)
                 p, ell = prefix_length(counts, len(s), num, den, cost, least, longest) if len(s) else (0, 0)
                 sizes.append(len(s))
-                one.append(s.sum(dtype=np.uint64))
-                two.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+                a, b = _sums(s)
+                one.append(a)
+                two.append(b)
                 prefixes.append(arranged[:p])
                 ells.append(ell)
             yield pa.RecordBatch.from_arrays(
@@ -113,24 +123,39 @@ def _signature_rows(k: int, num: int, den: int, cost: int, least: int, longest:
     return run
 
 
+def _sums(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that stand for a whole set."""
+    return s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+
+
 def _set_rows(k: int):
+    """``rep, grams`` of the rows ``rep, sum_a, sum_b, text`` whose set is the class's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], ["rep", "grams"])
+            one, two = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (1, 2))
+            reps, sets = [], []
+            for rep, a, b, s in zip(batch.column(0).to_pylist(), one, two, shingle_sets(batch.column(3), k), strict=True):
+                if _sums(s) == (a, b):
+                    reps.append(rep)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.binary())], ["rep", "grams"])
 
     return run
 
 
-def candidate_groups(shared: list[np.ndarray], ells: list[int], sizes: list[int], blocks: list[int], gram: int, x: int, y: int, num: int, den: int) -> list[list[int]]:
+def candidate_groups(shared: list[np.ndarray], ells: list[int], sizes: list[int], sides: list[int], parts: list[int], gram: int, num: int, den: int) -> list[list[int]]:
     """Groups of positions that are tied by candidate pairs of the list of ``gram``.
 
-    A pair is a candidate if it shares min(l, l') prefix shingles, fits in size, meets in this pair of
-    blocks ``x, y`` by right, and has no common shingle before ``gram``.
+    A pair is a candidate if it shares min(l, l') prefix shingles, fits in size, is of two components
+    (``parts``) and not of one side (``sides``; -1 meets all), and has no common shingle before ``gram``.
     """
-    size, ell, at = np.array(sizes), np.array(ells), np.array(blocks)
-    fits = den * np.minimum.outer(size, size) >= num * np.maximum.outer(size, size)
-    here = (np.minimum.outer(at, at) == x) & (np.maximum.outer(at, at) == y)
-    ok = np.triu((_products(shared) >= np.minimum.outer(ell, ell)) & fits & here, 1)
+    size, ell, side, part = (np.array(x) for x in (sizes, ells, sides, parts))
+    ok = den * np.minimum.outer(size, size) >= num * np.maximum.outer(size, size)
+    ok &= np.not_equal.outer(part, part) & (np.not_equal.outer(side, side) | (side < 0))
+    ok = np.triu(ok, 1)
+    if ok.any():
+        ok &= _products(shared) >= np.minimum.outer(ell, ell)
     if ok.any():
         ok &= _products([s[s.view(np.int64) < gram] for s in shared]) == 0
     root = _forest(len(shared), zip(*np.nonzero(ok), strict=True))[0]
@@ -201,15 +226,15 @@ def _products(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def _by_list(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of each list; rows come sorted by list (the first column) and may run over batches."""
+def _by_list(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """Rows of each list; rows come sorted by list (the first ``width`` columns) and may run over batches."""
     key, rows = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() if not pa.types.is_list(c.type) else _arrays(c) for c in batch.columns), strict=True):
-            if row[0] != key:
+            if row[:width] != key:
                 if len(rows) > 1:
                     yield rows
-                key, rows = row[0], []
+                key, rows = row[:width], []
             rows.append(row)
     if len(rows) > 1:
         yield rows
@@ -222,11 +247,13 @@ def _arrays(column: pa.ListArray) -> list[np.ndarray]:
 
 
 def _group_rows(num: int, den: int):
+    """Groups of candidates from rows ``gram, x, y, rep, grams, ell, n, side, part`` in runs by list."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for rows in _by_list(batches):
-            ids = [r[1] for r in rows]
-            out += [[ids[i] for i in g] for g in candidate_groups(*([r[c] for r in rows] for c in (2, 3, 4, 5)), *rows[0][6:9], num, den)]
+        for rows in _by_list(batches, 3):
+            ids = [r[3] for r in rows]
+            out += [[ids[i] for i in g] for g in candidate_groups(*([r[c] for r in rows] for c in (4, 5, 6, 7, 8)), rows[0][0], num, den)]
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["members"])
                 out = []
@@ -238,20 +265,35 @@ def _group_rows(num: int, den: int):
 def _link_rows(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for rows in _by_list(batches):
+        for rows in _by_list(batches, 1):
             out += [(rows[i][1], rows[j][1]) for i, j in links_within([np.frombuffer(r[2], np.uint64) for r in rows], num, den)]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _spread(lists: DataFrame, reps: DataFrame, *columns) -> DataFrame:
-    """A row for each member of each list with columns of ``reps``, in runs by list."""
-    rows = lists.withColumn("list", F.xxhash64("members")).withColumn("rep", F.explode("members")).join(reps, "rep")
-    return rows.select("list", "rep", *columns).repartition("list").sortWithinPartitions("list", "rep")
+#: What tells classes of equal sets apart.
+SAME = ["n", "sum_a", "sum_b"]
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``id_col, n_shingles, component_id`` for every row of ``docs``; ``options`` as in ``classes``.
+
+    Two documents link when ``den * |A & B| >= num * |A | B|`` for their shingle sets; the component
+    is the smallest id reachable by links. Null, empty and wordless texts have no shingles and are
+    their own component. Ids are integers; a null id is reported with null component and links
+    nothing. Each row is a document of its own: rows that repeat an id may be of several components.
+    Other columns are ignored and may have any name. No rows give no rows.
+    """
+    signed, found = classes(docs, id_col, text_col, **options)
+    # rows without a class go past the join: there may be many of them, all of one key
+    classed = F.col("id").isNotNull() & (F.col("n") > 0)
+    named = signed.filter(classed).join(found.select(*SAME, "least_id"), SAME).select("id", "n", "least_id")
+    alone = signed.filter(~classed).select("id", "n", F.col("id").alias("least_id"))
+    return named.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least_id").alias("component_id"))
 
 
-def ngram_components(
+def classes(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -264,18 +306,17 @@ def ngram_components(
     least: int = 4,
     longest: int = 8,
     block: int = 256,
-    broadcast_rows: int = 2_000_000,
-) -> DataFrame:
-    """``id_col, n_shingles, component_id`` for every row of ``docs``.
-
-    Two documents link when ``den * |A & B| >= num * |A | B|`` for their shingle sets; the component
-    is the smallest id reachable by links. Null, empty and wordless texts have no shingles and are
-    their own component. Ids are integers; a null id is reported with null component and links
-    nothing. Rows that repeat an id get a row each; differing texts under one id tie their
-    components together. Other columns are ignored. No rows give no rows.
+    deals: int = 8,
+    broadcast_rows: int = 500_000,
+) -> tuple[DataFrame, DataFrame]:
+    """Signatures ``id, n, sum_a, sum_b`` of all rows, and the classes of equal sets.
+
+    Classes have ``n, sum_a, sum_b, first_id, least_id``, the smallest id of the class and of its
+    component, and ``first``: whether the class is the one of its component that is kept, of those with
+    the smallest id the first by sums.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
+    bounded_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     counted = rows.select("text").mapInArrow(_count_rows(k, 64, min(100, -(-150 * (den - num) // den))), "gram long, n long")
     frequent = counted.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent_least).orderBy(F.desc("n"), "gram").limit(frequent_max).toArrow()
@@ -283,46 +324,142 @@ def ngram_components(
     signed = rows.mapInArrow(_signature_rows(k, num, den, cost, least, longest, order), "id long, n long, sum_a long, sum_b long, prefix array<long>, ell int")
     signed = stored(signed, "ngram-signatures")
 
-    same = ["n", "sum_a", "sum_b"]
-    reps = signed.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.first("ell").alias("ell"))
-    reps = stored(reps, "ngram-representatives")
-    # rows that repeat an id and a text come out twice here; sets of shingles and of members take care of it
-    whose = reps.select(*same, F.col("rep").alias("id"))
-    index = signed.join(whose, [*same, "id"], "left_semi").select(F.col("id").alias("rep"), F.explode("prefix").alias("gram"))
+    # the prefix follows from the set, so any row's will do
+    kinds = signed.filter("n > 0 and id is not null").groupBy(*SAME).agg(F.min("id").alias("first_id"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
+    kinds = stored(kinds.withColumn("rep", F.monotonically_increasing_id()), "ngram-classes")
+    index = kinds.select("rep", F.explode("prefix").alias("gram"))
     often = index.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
     # the partner of a set of n shingles has at least n * num / den of them, so this bounds min(l, l')
     need = F.least(F.col("ell"), F.greatest(F.lit(1), F.least(F.lit(least), F.ceil(F.ceil(F.col("n") * num / den) * num / den).cast("int"))))
     shared = index.join(often, "gram").groupBy("rep").agg(F.collect_set(F.struct("gram", "m")).alias("grams"))
-    shared = shared.join(reps.select("rep", "ell", "n"), "rep").filter(F.size("grams") >= need)
+    shared = shared.join(kinds.select("rep", "ell", "n"), "rep").filter(F.size("grams") >= need)
     shared = stored(shared.select("rep", "ell", "n", "grams"), "ngram-shared")
-    listed = shared.select("rep", F.explode("grams").alias("g")).select("rep", "g.gram", "g.m")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    listed = listed.select("gram", "rep", blocks.alias("blocks"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    listed = listed.groupBy("gram", "blocks", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).agg(F.array_sort(F.collect_set("rep")).alias("members"), F.min("mine").alias("low"), F.max("mine").alias("high"))
-    # two blocks of which one is empty have the members of the other one's own list, which is to stand for its pairs
-    lists = listed.filter((F.size("members") > 1) & (F.col("low") == F.col("x")) & (F.col("high") == F.col("y"))).groupBy("members").agg(F.min(F.struct("gram", "x", "y", "blocks")).alias("of"))
-    lists = stored(lists.select("members", "of.*"), "ngram-lists")
     traits = shared.select("rep", F.col("grams.gram").alias("grams"), "ell", "n")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
-    groups = stored(_spread(lists, traits, "grams", "ell", "n", mine, "gram", "x", "y").mapInArrow(_group_rows(num, den), "members array<long>").distinct(), "ngram-groups")
-
-    ids = stored(groups.select(F.explode("members").alias("id")).distinct(), "ngram-candidates")
-    near = F.broadcast(ids) if small_enough(ids, broadcast_rows) else ids
-    sets = rows.join(near, "id", "left_semi").mapInArrow(_set_rows(k), "rep long, grams binary")
-    # dealt by rep alone, which serves the dropping of repeats and the join: whole sets move once less
-    sets = sets.repartition("rep").dropDuplicates(["rep", "grams"])
-    edges = stored(_spread(groups, sets, "grams").mapInArrow(_link_rows(num, den), "a long, b long"), "ngram-links")
-    # rows that share an id but not a text tie their sets together
-    roots = connected_components(edges)
-
-    named = reps.select(*same, "rep").join(roots, F.col("rep") == F.col("id"), "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    named = stored(named, "ngram-components")
-    return signed.join(named, same, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component, the one of smallest id; columns unchanged."""
-    found = ngram_components(docs, id_col, text_col, **options)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+
+    def links(lists: DataFrame, parts: DataFrame | None) -> DataFrame:
+        """Links found among rows ``gram, x, y, rep, side`` of lists; classes of one of ``parts`` need none."""
+        members = lists.join(traits, "rep")
+        if parts is not None:
+            members = members.join(parts, members["rep"] == parts["id"], "left")
+        part = F.col("rep") if parts is None else F.coalesce("component", "rep")
+        members = members.select("gram", "x", "y", "rep", "grams", "ell", "n", "side", part.alias("part"))
+        members = members.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y", "rep")
+        groups = stored(members.mapInArrow(_group_rows(num, den), "members array<long>").distinct(), "ngram-groups")
+        near = stored(groups.select(F.explode("members").alias("rep")).distinct().join(kinds.select("rep", "first_id", "sum_a", "sum_b"), "rep"), "ngram-candidates")
+        wanted = F.broadcast(near) if small_enough(near, broadcast_rows) else near
+        texts = rows.join(wanted, F.col("id") == F.col("first_id")).select("rep", "sum_a", "sum_b", "text")
+        # dealt by rep alone, which serves the dropping of repeats and the join: whole sets move once less
+        sets = texts.mapInArrow(_set_rows(k), "rep long, grams binary").repartition("rep").dropDuplicates(["rep", "grams"])
+        grouped = groups.select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep")).join(sets, "rep")
+        grouped = grouped.select("list", "rep", "grams").repartition("list").sortWithinPartitions("list", "rep")
+        return stored(grouped.mapInArrow(_link_rows(num, den), "a long, b long"), "ngram-links")
+
+    listed = shared.select("rep", F.explode("grams").alias("g")).select("rep", "g.gram", "g.m")
+    edges = links(_dealt(listed, 0, block), None)
+    parts = connected_components(edges)
+    hot = listed.filter(F.col("m") > block)
+    if not hot.isEmpty():
+        parts = _across(stored(hot, "ngram-hot"), edges, parts, links, block, deals)
+
+    at = kinds.select(*SAME, "rep", "first_id").join(parts, F.col("rep") == F.col("id"), "left").select(*SAME, "rep", "first_id", F.coalesce("component", "rep").alias("component"))
+    at = stored(at, "ngram-components")
+    best = at.groupBy(F.col("component").alias("_c")).agg(F.min(F.struct("first_id", "sum_a", "sum_b", "rep")).alias("best"))
+    found = at.join(best, F.col("component") == F.col("_c")).select(*SAME, "first_id", F.col("best.first_id").alias("least_id"), (F.col("rep") == F.col("best.rep")).alias("first"))
+    return signed.select("id", *SAME), stored(found, "ngram-found")
+
+
+def _dealt(listed: DataFrame, turn: int, block: int, part: str | None = None, everywhere: DataFrame | None = None) -> DataFrame:
+    """Rows ``gram, x, y, rep, side`` of lists: chunks of about ``block`` classes, each class in one.
+
+    The rows of ``everywhere``, a bounded share of a chunk, join all chunks of their lists.
+
+    Chunks of the same members stand for the pairs of all of them once, in the list of the smallest
+    shingle: the others' pairs have that one in common, which comes first. Chunks within one ``part`` go.
+    """
+    chunks = F.ceil(F.col("m") / block).cast("int")
+    rows = listed.withColumn("x", F.pmod(F.xxhash64(F.lit(turn), "rep"), chunks).cast("int"))
+    if everywhere is not None:
+        rows = rows.unionByName(everywhere.withColumn("x", F.explode(F.sequence(F.lit(0), chunks - 1))))
+    lists = rows.groupBy("gram", "x").agg(F.array_sort(F.collect_set("rep")).alias("members"), *([F.min(part).alias("lo"), F.max(part).alias("hi")] if part is not None else []))
+    lists = lists.filter("size(members) > 1" + (" and lo <> hi" if part is not None else ""))
+    lists = lists.groupBy("members").agg(F.min(F.struct("gram", "x")).alias("of"))
+    return lists.select("of.gram", "of.x", F.col("of.x").alias("y"), F.explode("members").alias("rep"), F.lit(-1).alias("side"))
+
+
+def _across(hot: DataFrame, edges: DataFrame, parts: DataFrame, links, block: int, deals: int) -> DataFrame:
+    """Components once lists of more than one chunk, rows ``rep, gram, m`` of ``hot``, are compared whole."""
+    turn, before = 0, None
+    while True:
+        turn += 1
+        named = hot.join(parts, F.col("rep") == F.col("id"), "left").select("rep", "gram", "m", F.coalesce("component", "rep").alias("part"))
+        each = named.groupBy("gram", "part").agg(F.count("*").alias("c"))
+        lists = each.groupBy("gram").agg(F.max(F.struct("c", "part")).alias("main"), F.sum("c").alias("all"))
+        lists = stored(lists.select("gram", F.col("main.part").alias("main"), F.col("main.c").alias("inside"), (F.col("all") - F.col("main.c")).alias("outside")).filter("outside > 0"), "ngram-open")
+        left = lists.agg(F.sum("outside")).first()[0] or 0
+        if not left:
+            return parts
+        if turn > deals or (before is not None and 2 * left > before):
+            return extended_components(parts, links(_blocks(named.join(lists, "gram"), block), parts))
+        before = left
+        open_ = named.join(lists.select("gram"), "gram", "left_semi")
+        found = links(_dealt(open_, turn, block, "part", _most_linked(open_, edges, block // 4)), parts)
+        parts, edges = extended_components(parts, found), edges.unionByName(found)
+
+
+def _most_linked(named: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """The ``most`` members of every list that occur most often in ``edges``."""
+    ends = edges.select(F.col("a").alias("end")).union(edges.select("b")).groupBy("end").agg(F.count("*").alias("links"))
+    order = W.partitionBy("gram").orderBy(F.desc("links"), "rep")
+    return named.join(ends, F.col("rep") == F.col("end")).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).select(*named.columns)
+
+
+def _blocks(named: DataFrame, block: int) -> DataFrame:
+    """Rows ``gram, x, y, rep, side`` of all pairs of blocks, but for those within the largest component.
+
+    The largest component of a list is its blocks 0, 1, ... and the rest the blocks after these.
+    """
+    inner, outer = (F.ceil(F.col(c) / block).cast("int") for c in ("inside", "outside"))
+    inside = F.col("part") == F.col("main")
+    own = F.pmod(F.xxhash64("rep"), F.when(inside, inner).otherwise(outer)).cast("int") + F.when(inside, 0).otherwise(inner)
+    first = F.when(inside, inner).otherwise(0)  # a block of the largest component meets the others only
+    rows = named.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(first, inner + outer - 1)))
+    x, y = F.least("_own", "_other"), F.greatest("_own", "_other")
+    side = F.when(F.col("_own") == F.col("_other"), -1).otherwise((F.col("_own") == y).cast("int"))
+    return rows.select("gram", x.alias("x"), y.alias("y"), "rep", side.alias("side"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, **options) -> DataFrame:
+    """``docs`` with one row of each component, one of smallest id; columns unchanged.
+
+    Rows without words and rows of null ids all stay. Where an id is repeated, its rows are told
+    apart by their sets, and of rows equal in id and set the first by all columns stays.
+    """
+    signed, found = classes(docs, id_col, text_col, k=k, **options)
+    id_ = F.col(f"`{id_col}`")
+    keeps = found.filter("first").select(*SAME, F.col("first_id").alias("kept"))
+    stays = (F.col("n") == 0) | F.col("kept").isNotNull()
+    told = signed.filter("id is not null").join(keeps.withColumn("id", F.col("kept")), [*SAME, "id"], "left")
+    ids = stored(told.groupBy("id").agg(F.count("*").alias("rows"), F.count_if(stays).alias("stay")).filter("rows > 1 or stay = 0"), "ngram-ids")
+    gone = ids.select(F.col("id").alias(free_name(docs, "_gone")))
+    plain = docs.join(gone, id_.cast("long") == gone[gone.columns[0]], "left_anti")
+    again = ids.filter("stay > 0").select("id")
+    if again.isEmpty():
+        return plain
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(id_.cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), row.alias("row")).join(again, "id", "left_semi")
+    rows = rows.mapInArrow(_told_rows(k), rows.select("id", "row").schema.add("n", "long").add("sum_a", "long").add("sum_b", "long"))
+    empty = rows.filter("n = 0").select("row.*")
+    # repeats are combined before the shuffle, so that a group of them is one row for each task
+    one = rows.filter("n > 0").groupBy("id", *SAME).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    one = one.join(keeps.withColumnRenamed("kept", "id"), [*SAME, "id"], "left_semi").select("row.*")
+    return plain.unionByName(empty).unionByName(one)
+
+
+def _told_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(len(s), *_sums(s)) for s in shingle_sets(batch.column(1), k)]
+            sums = [_signed(np.array([s[c] for s in sets], np.uint64)) for c in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s[0] for s in sets], pa.int64()), *sums], ["id", "row", *SAME])
+
+    return run

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import bounded_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double"
 #: Sequences of one task are numbered from the task's number times this.
@@ -152,7 +152,7 @@ def packed_pieces(
     rows give no rows.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
+    bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(tokenizer_path, end_id)

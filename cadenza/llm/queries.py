@@ -10,7 +10,8 @@ from .common import table
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    """Whether crc32(doc_id as text) leaves 1 by 3; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import bounded_batches, free_name
 from .textkernels import pieces, subword_features, utf8
 
 
@@ -184,7 +184,9 @@ def toxicity_scores(
     max_bytes: int = 16_384,
     **training,
 ) -> DataFrame:
-    """All columns of ``docs`` and ``_score``, the probability that the text is toxic.
+    """All columns of ``docs`` and, last, ``_score``: the probability that the text is toxic.
+
+    Where ``docs`` has a column of that name, underscores are added to the score's name.
 
     The model sees labelled texts only (``usable`` filters ``labels``); ids, languages and sources
     are never inputs. Null and empty texts have no features and get the score of the bias. Every
@@ -194,20 +196,22 @@ def toxicity_scores(
     sample = fit_sample(docs, labels, F.lit(True) if usable is None else usable, max_docs, max_bytes, id_col, text_col, label_col)
     model = fit_subword_model(sample.column("text"), sample.column("toxic").to_numpy(), **training)
     shared = spark.sparkContext.broadcast(model)
-    arrow_batches(spark)
+    bounded_batches(spark)
     names = docs.columns
     position = names.index(text_col)
+    score_col = free_name(docs, "_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             logit = shared.value.logits(batch.column(position))
             score = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, score_col])
 
-    schema = docs.withColumn("_score", F.lit(0.0)).schema
+    schema = docs.withColumn(score_col, F.lit(0.0)).schema
     return docs.mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """``docs`` without the texts scored at ``threshold`` or more; columns unchanged."""
-    return toxicity_scores(docs, labels, **options).filter(F.col("_score") < threshold).select(*[f"`{c}`" for c in docs.columns])
+    scored = toxicity_scores(docs, labels, **options)
+    return scored.filter(F.col(scored.columns[-1]) < threshold).select(*[f"`{c}`" for c in docs.columns])

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, stored
+from .common import bounded_batches, stored
 
 V1 = b"URL IP-address Archive-date Content-type Archive-length"
 V2 = b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
@@ -153,7 +153,7 @@ def converted_archives(pages: DataFrame, id_col: str = "page_id", url_col: str =
     response are responses themselves. Extra columns are ignored. No rows give no archives.
     """
     spark = pages.sparkSession
-    arrow_batches(spark, 1000)
+    bounded_batches(spark)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,7 @@ READ_SCHEMA = "page_id long, record_id string, date string, url string, record_t
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records of WARC files ``(name, content)``, columns as in ``READ_SCHEMA``; digests are checked."""
-    arrow_batches(archives.sparkSession, 16)
+    bounded_batches(archives.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("date", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])

@@ -72,6 +72,94 @@ def test_hot_shingle_of_which_only_a_pair_in_one_block_is_left(spark):
         fresh = (words[i : i + 30] for i in range(31, len(words) - 30, 30))
 
 
+def brute_components(rows, k, num, den):
+    """Component of each row (id, text), every row a document of its own."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for _, t in rows]
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in words]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and rows[i][0] is not None and rows[j][0] is not None and den * min(len(a), len(b)) >= num * max(len(a), len(b)) and den * len(a & b) >= num * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = d if d is None else min(d, least.get(find(i), d))
+    return [least[find(i)] for i in range(len(rows))], [len(s) for s in sets]
+
+
+def near_copies(rng, count, words=120, vocabulary=4000, edits=3, styles=True):
+    """``count`` texts: a base text, and others, each the base text with a few words replaced; a fifth of them in a style that links with the other rarely."""
+    base = [f"v{rng.randint(vocabulary)}" for _ in range(words)]
+    other = base[: words * 3 // 4] + [f"v{rng.randint(vocabulary)}" for _ in range(words - words * 3 // 4)]
+    texts = [" ".join(base)]
+    for i in range(1, count):
+        text = list(other if styles and i % 5 == 0 else base)
+        for at in rng.choice(words, rng.randint(1, edits + 1), replace=False):
+            text[at] = f"e{rng.randint(10**6)}"
+        texts.append(" ".join(text))
+    return texts
+
+
+@pytest.mark.parametrize("block,deals", [(256, 8), (16, 8), (16, 0)])
+def test_large_group_of_near_copies(spark, block, deals):
+    rng = np.random.RandomState(5)
+    texts = near_copies(rng, 300) + [" ".join(f"v{rng.randint(4000)}" for _ in range(80)) for _ in range(60)]
+    # a passage that texts share which are no copies of each other
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts += [passage + " " + " ".join(f"v{rng.randint(4000)}" for _ in range(rng.randint(8, 40))) for _ in range(60)]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)) * 3 + 1, texts, strict=True)]
+    want, sizes = brute_components(rows, 5, 80, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), block=block, deals=deals).collect()}
+    assert got == {d: (n, c) for (d, _), n, c in zip(rows, sizes, want, strict=True)}
+    assert 100 < len(set(want)) < 250  # copies of one style in one component, single texts, and some of the passage
+
+
+def test_work_for_near_copies_grows_with_their_number(spark, monkeypatch):
+    """Members of chunks, counted over all lists and deals: twice the copies, about twice the members."""
+    moved = []
+    for count in (150, 300):
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        seen = spark.sparkContext.accumulator(0)
+        plain = ngram_join._group_rows
+
+        def counted(num, den, plain=plain, seen=seen):
+            def run(batches):
+                def through():
+                    for batch in batches:
+                        seen.add(batch.num_rows)
+                        yield batch
+
+                yield from plain(num, den)(through())
+
+            return run
+
+        with monkeypatch.context() as m:
+            m.setattr(ngram_join, "_group_rows", counted)
+            rows = list(enumerate(near_copies(np.random.RandomState(7), count, edits=2, styles=False)))
+            assert ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), block=8).count() == count
+        moved.append(seen.value)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert moved[1] < 3 * moved[0]
+
+
+def test_one_of_each_keeps_one_row_of_a_group(spark):
+    near = lambda i: BASE.replace(f"w{i} ", "x ")
+    rows = [(5, BASE, 1), (3, near(50), 2), (3, near(55), 3), (3, near(50), 2), (3, "other words of no one else", 4), (None, BASE, 5), (8, "", 6), (8, None, 7), (8, near(57), 8), (9, "one two", 9), (9, "ONE\ttwo", 10), (2, "one two", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int")
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    left = sorted(r._gone for r in got.collect())
+    assert left in ([2, 4, 5, 6, 7, 11], [3, 4, 5, 6, 7, 11])
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in connected_components(edges).collect()}
@@ -234,3 +322,20 @@ def test_preference_pairs(spark):
     s = got[1].rejected_spans[0]
     assert got[1].rejected[s.start : s.end] == "no!<|end|>" and got[2].chosen == got[2].rejected == "" and got[3].n_common == 0
     assert chat.preference_pairs(chosen.limit(0), rejected.limit(0)).count() == 0
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _keep string, _text string, _gone string, _score double, _row long, _doc string, _mixed int, _times int, _copy int, _sha string, id long, n long, rep long, size long, kept boolean, label string"
+
+
+def test_stages_take_columns_of_any_name(spark):
+    rows = [(i, t, "en", f"s{i % 2}", None, "a", "b", "c", 0.5, i, "d", 1, 2, 3, "e", 7, 8, 9, 10, True, "f") for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int")
+    stages = [lambda d: toxicity.without_toxic(d, labels, threshold=2.0), exact_dedup.kept_documents, ngram_join.one_of_each, lambda d: mixing.mixed_documents(d, bin_rows=4)]
+    for stage in stages:
+        got = stage(docs)
+        assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+        assert {tuple(r) for r in got.collect()} <= set(rows)
+        assert stage(docs.limit(0)).count() == 0
+    assert toxicity.toxicity_scores(docs, labels).columns[-1] == "_score_"
+    assert len(stages[0](docs).collect()) == len(rows)

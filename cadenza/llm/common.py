@@ -48,7 +48,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Have Arrow batches of the session end at about ``most`` bytes, unless it has a bound already.
 
     Batches are counted in rows otherwise, and whole texts differ in size by orders of magnitude.

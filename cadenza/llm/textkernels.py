@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once (a single longer text is one piece), which bounds temporaries.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

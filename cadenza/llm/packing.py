@@ -42,7 +42,7 @@ class WordTokenizer:
     the younger one.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 500_000):
+    def __init__(self, path: str, end_id: int, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -15,7 +15,8 @@ too few shared ones go at once. Every list is dealt into chunks of about ``block
 into one. A chunk counts shared prefix shingles by pair and passes on its groups of candidates; a
 pair counts in the list of its first common shingle only. (4) the sets of candidates are computed
 again from whole texts and verified exactly; of the links found, each group passes on a spanning
-forest, and components follow.
+forest, and components follow. A pair that has its first common shingle at places i and j of its sets
+shares at most min(n - i, n' - j); where that is too little, in a list or in a pair, it goes unverified.
 
 Lists of more than one chunk still lack the pairs across chunks. Only pairs of different components
 matter, so lists whose classes are all in one component are done. The others are dealt again, at
@@ -144,20 +145,26 @@ def _set_rows(k: int):
     return run
 
 
-def candidate_groups(shared: list[np.ndarray], ells: list[int], sizes: list[int], sides: list[int], parts: list[int], gram: int, num: int, den: int) -> list[list[int]]:
-    """Groups of positions that are tied by candidate pairs of the list of ``gram``.
+def candidate_groups(shared: list[np.ndarray], places: list[np.ndarray], ells: list[int], sizes: list[int], at: list[int], sides: list[int], parts: list[int], num: int, den: int) -> list[list[int]]:
+    """Groups of positions that are tied by candidate pairs of one list.
 
-    A pair is a candidate if it shares min(l, l') prefix shingles, fits in size, is of two components
-    (``parts``) and not of one side (``sides``; -1 meets all), and has no common shingle before ``gram``.
+    ``shared`` has the members' prefix shingles in the common order, ``places`` their places in the
+    whole sets and ``at`` the place of the list's shingle. A pair is a candidate if it shares min(l, l')
+    prefix shingles, is of two components (``parts``) and not of one side (``sides``; -1 meets all), has
+    no common shingle before the list's, and may still share as many as the similarity asks for.
     """
     size, ell, side, part = (np.array(x) for x in (sizes, ells, sides, parts))
-    ok = den * np.minimum.outer(size, size) >= num * np.maximum.outer(size, size)
+    rest = size - np.array(at)  # nothing before the list's shingle is shared
+    asked = num * np.add.outer(size, size)
+    ok = (num + den) * np.minimum.outer(rest, rest) >= asked
     ok &= np.not_equal.outer(part, part) & (np.not_equal.outer(side, side) | (side < 0))
     ok = np.triu(ok, 1)
     if ok.any():
-        ok &= _products(shared) >= np.minimum.outer(ell, ell)
+        both = _products(shared)
+        beyond = -(-size * num // den) - ell  # what lies after the prefix
+        ok &= (both >= np.minimum.outer(ell, ell)) & ((num + den) * (both + np.maximum.outer(beyond, beyond)) >= asked)
     if ok.any():
-        ok &= _products([s[s.view(np.int64) < gram] for s in shared]) == 0
+        ok &= _products([s[: np.searchsorted(p, i)] for s, p, i in zip(shared, places, at, strict=True)]) == 0
     root = _forest(len(shared), zip(*np.nonzero(ok), strict=True))[0]
     groups: dict[int, list[int]] = {}
     for i, r in enumerate(root):
@@ -241,19 +248,20 @@ def _by_list(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tup
 
 
 def _arrays(column: pa.ListArray) -> list[np.ndarray]:
-    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = flat.view(np.uint64) if flat.dtype == np.int64 else flat
     at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
     return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _group_rows(num: int, den: int):
-    """Groups of candidates from rows ``gram, x, y, rep, grams, ell, n, side, part`` in runs by list."""
+    """Groups of candidates from rows ``gram, x, y, rep, grams, places, ell, n, place, side, part`` in runs by list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for rows in _by_list(batches, 3):
             ids = [r[3] for r in rows]
-            out += [[ids[i] for i in g] for g in candidate_groups(*([r[c] for r in rows] for c in (4, 5, 6, 7, 8)), rows[0][0], num, den)]
+            out += [[ids[i] for i in g] for g in candidate_groups(*([r[c] for r in rows] for c in range(4, 11)), num, den)]
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["members"])
                 out = []
@@ -327,22 +335,24 @@ def classes(
     # the prefix follows from the set, so any row's will do
     kinds = signed.filter("n > 0 and id is not null").groupBy(*SAME).agg(F.min("id").alias("first_id"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
     kinds = stored(kinds.withColumn("rep", F.monotonically_increasing_id()), "ngram-classes")
-    index = kinds.select("rep", F.explode("prefix").alias("gram"))
-    often = index.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
+    index = kinds.select("rep", "n", F.posexplode("prefix").alias("place", "gram"))
+    # a pair's first common shingle leaves as many behind it as the similarity asks for, in both sets
+    opens = (F.col("n") - F.col("place")) * den >= F.col("n") * num
+    often = index.groupBy("gram").agg(F.count("*").alias("all"), F.count_if(opens).alias("m"), F.min(F.when(opens, F.col("n"))).alias("low")).filter("all > 1").drop("all")
     # the partner of a set of n shingles has at least n * num / den of them, so this bounds min(l, l')
     need = F.least(F.col("ell"), F.greatest(F.lit(1), F.least(F.lit(least), F.ceil(F.ceil(F.col("n") * num / den) * num / den).cast("int"))))
-    shared = index.join(often, "gram").groupBy("rep").agg(F.collect_set(F.struct("gram", "m")).alias("grams"))
+    shared = index.join(often, "gram").groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("place", "gram", "m", "low"))).alias("grams"))
     shared = shared.join(kinds.select("rep", "ell", "n"), "rep").filter(F.size("grams") >= need)
     shared = stored(shared.select("rep", "ell", "n", "grams"), "ngram-shared")
-    traits = shared.select("rep", F.col("grams.gram").alias("grams"), "ell", "n")
+    traits = shared.select("rep", F.col("grams.gram").alias("grams"), F.col("grams.place").alias("places"), "ell", "n")
 
     def links(lists: DataFrame, parts: DataFrame | None) -> DataFrame:
-        """Links found among rows ``gram, x, y, rep, side`` of lists; classes of one of ``parts`` need none."""
+        """Links found among rows ``gram, x, y, rep, place, side`` of lists; classes of one of ``parts`` need none."""
         members = lists.join(traits, "rep")
         if parts is not None:
             members = members.join(parts, members["rep"] == parts["id"], "left")
         part = F.col("rep") if parts is None else F.coalesce("component", "rep")
-        members = members.select("gram", "x", "y", "rep", "grams", "ell", "n", "side", part.alias("part"))
+        members = members.select("gram", "x", "y", "rep", "grams", "places", "ell", "n", "place", "side", part.alias("part"))
         members = members.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y", "rep")
         groups = stored(members.mapInArrow(_group_rows(num, den), "members array<long>").distinct(), "ngram-groups")
         near = stored(groups.select(F.explode("members").alias("rep")).distinct().join(kinds.select("rep", "first_id", "sum_a", "sum_b"), "rep"), "ngram-candidates")
@@ -354,7 +364,9 @@ def classes(
         grouped = grouped.select("list", "rep", "grams").repartition("list").sortWithinPartitions("list", "rep")
         return stored(grouped.mapInArrow(_link_rows(num, den), "a long, b long"), "ngram-links")
 
-    listed = shared.select("rep", F.explode("grams").alias("g")).select("rep", "g.gram", "g.m")
+    # the largest partner that what is left of a set allows; a list without one so small has none for it
+    most = F.floor((F.col("n") - F.col("place")) * (num + den) / num) - F.col("n")
+    listed = shared.select("rep", "n", F.explode("grams").alias("g")).select("rep", "n", "g.*").filter(opens & (F.col("m") > 1)).withColumn("most", most).filter("most >= low").drop("low")
     edges = links(_dealt(listed, 0, block), None)
     parts = connected_components(edges)
     hot = listed.filter(F.col("m") > block)
@@ -369,32 +381,33 @@ def classes(
 
 
 def _dealt(listed: DataFrame, turn: int, block: int, part: str | None = None, everywhere: DataFrame | None = None) -> DataFrame:
-    """Rows ``gram, x, y, rep, side`` of lists: chunks of about ``block`` classes, each class in one.
+    """Rows ``gram, x, y, rep, place, side`` of lists: chunks of about ``block`` classes, each class in one.
 
-    The rows of ``everywhere``, a bounded share of a chunk, join all chunks of their lists.
-
-    Chunks of the same members stand for the pairs of all of them once, in the list of the smallest
-    shingle: the others' pairs have that one in common, which comes first. Chunks within one ``part`` go.
+    The rows of ``everywhere``, a bounded share of a chunk, join all chunks of their lists. Chunks of
+    the same members stand for the pairs of all of them once, in the list of the first shingle by the
+    common order (that is, by its place in any member): all members share it, so no pair's first
+    common shingle is a later one. Chunks within one ``part`` go.
     """
     chunks = F.ceil(F.col("m") / block).cast("int")
     rows = listed.withColumn("x", F.pmod(F.xxhash64(F.lit(turn), "rep"), chunks).cast("int"))
     if everywhere is not None:
         rows = rows.unionByName(everywhere.withColumn("x", F.explode(F.sequence(F.lit(0), chunks - 1))))
-    lists = rows.groupBy("gram", "x").agg(F.array_sort(F.collect_set("rep")).alias("members"), *([F.min(part).alias("lo"), F.max(part).alias("hi")] if part is not None else []))
+    lists = rows.groupBy("gram", "x").agg(F.array_sort(F.collect_set(F.struct("rep", "place"))).alias("members"), *([F.min(part).alias("lo"), F.max(part).alias("hi")] if part is not None else []))
     lists = lists.filter("size(members) > 1" + (" and lo <> hi" if part is not None else ""))
-    lists = lists.groupBy("members").agg(F.min(F.struct("gram", "x")).alias("of"))
-    return lists.select("of.gram", "of.x", F.col("of.x").alias("y"), F.explode("members").alias("rep"), F.lit(-1).alias("side"))
+    lists = lists.groupBy(F.col("members.rep").alias("reps")).agg(F.min(F.struct(F.col("members")[0]["place"].alias("first"), "gram", "x", F.col("members.place").alias("places"))).alias("of"))
+    lists = lists.select("of.gram", "of.x", F.explode(F.arrays_zip("reps", "of.places")).alias("m"))
+    return lists.select("gram", "x", F.col("x").alias("y"), F.col("m.reps").alias("rep"), F.col("m.places").alias("place"), F.lit(-1).alias("side"))
 
 
 def _across(hot: DataFrame, edges: DataFrame, parts: DataFrame, links, block: int, deals: int) -> DataFrame:
-    """Components once lists of more than one chunk, rows ``rep, gram, m`` of ``hot``, are compared whole."""
+    """Components once lists of more than one chunk, rows ``rep, n, place, gram, m, most`` of ``hot``, are compared whole."""
     turn, before = 0, None
     while True:
         turn += 1
-        named = hot.join(parts, F.col("rep") == F.col("id"), "left").select("rep", "gram", "m", F.coalesce("component", "rep").alias("part"))
+        named = hot.join(parts, F.col("rep") == F.col("id"), "left").select(*hot.columns, F.coalesce("component", "rep").alias("part"))
         each = named.groupBy("gram", "part").agg(F.count("*").alias("c"))
         lists = each.groupBy("gram").agg(F.max(F.struct("c", "part")).alias("main"), F.sum("c").alias("all"))
-        lists = stored(lists.select("gram", F.col("main.part").alias("main"), F.col("main.c").alias("inside"), (F.col("all") - F.col("main.c")).alias("outside")).filter("outside > 0"), "ngram-open")
+        lists = stored(lists.select("gram", F.col("main.part").alias("main"), (F.col("all") - F.col("main.c")).alias("outside")).filter("outside > 0"), "ngram-open")
         left = lists.agg(F.sum("outside")).first()[0] or 0
         if not left:
             return parts
@@ -414,18 +427,30 @@ def _most_linked(named: DataFrame, edges: DataFrame, most: int) -> DataFrame:
 
 
 def _blocks(named: DataFrame, block: int) -> DataFrame:
-    """Rows ``gram, x, y, rep, side`` of all pairs of blocks, but for those within the largest component.
+    """Rows ``gram, x, y, rep, place, side`` of all pairs of blocks, but for those within the largest component.
 
     The largest component of a list is its blocks 0, 1, ... and the rest the blocks after these.
+    Members that are too large for all others, or all others for them, meet none.
     """
-    inner, outer = (F.ceil(F.col(c) / block).cast("int") for c in ("inside", "outside"))
-    inside = F.col("part") == F.col("main")
-    own = F.pmod(F.xxhash64("rep"), F.when(inside, inner).otherwise(outer)).cast("int") + F.when(inside, 0).otherwise(inner)
-    first = F.when(inside, inner).otherwise(0)  # a block of the largest component meets the others only
-    rows = named.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(first, inner + outer - 1)))
+    named = stored(named.withColumn("inside", F.col("part") == F.col("main")), "ngram-open-members")
+    inside = F.col("inside")
+    low = lambda where, name: F.min(F.when(where, F.col("n"))).alias(f"{name}_low")
+    high = lambda where, name: F.max(F.when(where, F.col("most"))).alias(f"{name}_high")
+    bounds = named.groupBy("gram").agg(low(inside, "in"), high(inside, "in"), low(~inside, "out"), high(~inside, "out"))
+    fits = lambda name: (F.col("most") >= F.col(f"{name}_low")) & (F.col("n") <= F.col(f"{name}_high"))
+    rows = named.join(bounds, "gram").withColumn("_in", ~inside & fits("in")).withColumn("_out", fits("out")).filter("_in or _out")
+    counts = rows.groupBy("gram").agg(F.count_if(inside).alias("_a"), F.count_if(~inside).alias("_b"))
+    inner, outer = (F.ceil(F.col(c) / block).cast("int") for c in ("_a", "_b"))
+    rows = rows.join(counts, "gram").withColumn("_inner", inner).withColumn("_outer", outer)
+    own = F.pmod(F.xxhash64("rep"), F.when(inside, F.col("_inner")).otherwise(F.col("_outer"))).cast("int") + F.when(inside, 0).otherwise(F.col("_inner"))
+    within = lambda a, n: F.when(n > 0, F.sequence(a, a + n - 1)).otherwise(F.array().cast("array<int>"))
+    # a block of the largest component meets the others only
+    none = F.array().cast("array<int>")
+    others = F.concat(F.when(F.col("_in"), within(F.lit(0), F.col("_inner"))).otherwise(none), F.when(F.col("_out"), within(F.col("_inner"), F.col("_outer"))).otherwise(none))
+    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(others))
     x, y = F.least("_own", "_other"), F.greatest("_own", "_other")
     side = F.when(F.col("_own") == F.col("_other"), -1).otherwise((F.col("_own") == y).cast("int"))
-    return rows.select("gram", x.alias("x"), y.alias("y"), "rep", side.alias("side"))
+    return rows.select("gram", x.alias("x"), y.alias("y"), "rep", "place", side.alias("side"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, **options) -> DataFrame:

@@ -46,11 +46,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures are all pages, fetched in 2024 on a day that the id decides. The list has, for every
-    host and parent domain that occurs, entries on days that the MD5 of the pattern decides."""
+    """Captures are all pages, fetched in 2024 on a day that the id decides. The list has, for every host
+    and parent domain that occurs, alone and with each leading directory, entries on days that the MD5
+    of the pattern decides."""
     pages = table(spark, sf_dir, "pages")
     captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 365).cast("int")).alias("fetched"))
-    patterns = pages.select(F.explode(url_filter.covering_patterns(F.col("url"))).alias("pattern")).filter(~F.col("pattern").contains("/")).distinct()
+    patterns = pages.select(F.explode(url_filter.covering_patterns(F.col("url"))).alias("pattern")).distinct()
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), (F.conv(F.substring(F.md5("pattern"), 4 * n + 1, 4), 16, 10).cast("int") % 365))
     flip = F.substring(F.md5("pattern"), 32, 1) < "8"
     entries = None
@@ -91,6 +92,16 @@ ORACLES = {
           CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN first < page_id THEN first END AS refers_to
         FROM p LEFT JOIN g ON p.h = g.h""",
+    "op4_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r(id, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.v = e.a)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id)
+        JOIN (SELECT id, min(v) AS component_id FROM r GROUP BY id) c ON c.id = d.doc_id""",
     "op5_source_mix": r"""
         WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
             md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
@@ -110,8 +121,11 @@ ORACLES = {
     "op8_url_filter": r"""
         WITH u AS (SELECT page_id, url, (DATE '2024-01-01' + (page_id % 365)::INT)::DATE AS fetched,
             lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM pages),
-        d AS (SELECT page_id, fetched, i, array_to_string(list_slice(string_split(host, '.'), i, NULL), '.') AS pattern
-            FROM (SELECT *, unnest(range(1, greatest(2, len(string_split(host, '.'))))) AS i FROM u WHERE coalesce(host, '') <> '')),
+        v AS (SELECT *, unnest(range(1, greatest(2, len(string_split(host, '.'))))) AS k,
+            list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1)), '/'), lambda x: x <> '') AS parts FROM u WHERE coalesce(host, '') <> ''),
+        y AS (SELECT page_id, fetched, k, parts, array_to_string(list_slice(string_split(host, '.'), k, len(string_split(host, '.'))), '.') AS domain FROM v),
+        d AS (SELECT page_id, fetched, 1000000000 + k AS i, domain AS pattern FROM y
+            UNION ALL SELECT page_id, fetched, 100000 * k - n, domain || '/' || array_to_string(list_slice(parts, 1, n), '/') FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM y)),
         p AS (SELECT DISTINCT pattern, md5(pattern) AS m FROM d),
         e AS (SELECT pattern, action, (DATE '2024-01-01' + (('0x' || substr(m, 4 * n + 1, 4))::INT % 365))::DATE AS since
             FROM p, (VALUES (0, 'block'), (1, 'allow'), (2, 'block')) v(n, action) WHERE n = 0 OR substr(m, 32, 1) < '8'),

@@ -6,7 +6,7 @@ version 1 has ``URL IP-address Archive-date Content-type Archive-length``, versi
 then exactly the declared bytes, then a newline. The converter takes headers apart by the file's
 own version, reads payloads by declared length (never by searching for the next header) and makes up
 what WARC needs: record ids (from the digest of the ARC header and content, so reruns agree),
-timestamps, types and digests. Archives travel as rows (name, content) in Parquet, whose commit
+timestamps, types and digests, and for revisits the record they refer to. Archives travel as rows (name, content) in Parquet, whose commit
 protocol survives lost executors; ``content`` is a file as other tools read it, one gzip member per
 record in WARC.
 """
@@ -18,16 +18,21 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, small_enough, stored
 
 V1 = b"URL IP-address Archive-date Content-type Archive-length"
 V2 = b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
+#: Characters of a URL that stay as they are; the others are written as %XX for each byte of UTF-8.
+PRINTABLE = "".join(map(chr, range(0x21, 0x7F)))
+#: Header fields that both versions have and that do not depend on the place in a file: a record's id comes from these.
+LASTING = ("URL", "IP-address", "Archive-date", "Content-type")
 #: Payloads below this many bytes are never revisits.
 REVISIT_LEAST = 100
 
@@ -41,7 +46,7 @@ def arc_file(records: list[tuple[int | None, str | None, bytes]], version: int,
     size = len(out[0])
     for key, url, payload in records:
         http = b"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: %s\r\n\r\n" % (b"" if key is None else b"%d" % key)
-        place = "".join(c if "!" <= c <= "~" else f"%{c.encode('utf-8', 'replace').hex()}" for c in url or "") or "urn:none"
+        place = quote(url or "", safe=PRINTABLE, errors="replace") or "urn:none"
         date = (datetime(2001, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=(key or 0) % 10**8)).strftime("%Y%m%d%H%M%S")
         line = f"{place} 192.0.2.{(key or 0) % 254 + 1} {date} text/html".encode()
         if version == 2:
@@ -91,20 +96,27 @@ def http_parts(content: bytes) -> tuple[dict[str, str], bytes]:
     return {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines)}, content[end + 4 :]
 
 
-def warc_record(header: dict[str, str], content: bytes, refers_to: int | None) -> bytes:
-    """The WARC record that an ARC record becomes; ``refers_to`` makes it a revisit."""
-    fields, payload = http_parts(content)
-    kind = "response" if refers_to is None else "revisit"
+def record_identity(header: dict[str, str], content: bytes) -> tuple[str, str, str]:
+    """Record id, target URI and date of the WARC record that an ARC record becomes, alike for both versions."""
+    told = "\n".join(f"{k}:{header[k]}" for k in LASTING).encode()
+    digest = hashlib.sha256(told + b"\n" + content).digest()
     when = datetime.strptime(header["Archive-date"][:14], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
-    identity = hashlib.sha256("\n".join(f"{k}:{v}" for k, v in header.items() if k not in ("Offset", "Filename")).encode() + content).digest()
-    block = content if refers_to is None else content[: len(content) - len(payload)]
+    return f"<urn:uuid:{uuid.UUID(bytes=digest[:16], version=5)}>", header["URL"], when
+
+
+def warc_record(header: dict[str, str], content: bytes, original: tuple[int, str, str, str] | None) -> bytes:
+    """The WARC record that an ARC record becomes; ``original`` (page, record id, URI, date) makes it a revisit."""
+    fields, payload = http_parts(content)
+    identity, uri, when = record_identity(header, content)
+    block = content if original is None else content[: len(content) - len(payload)]
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.UUID(bytes=identity[:16], version=5)}>", f"WARC-Date: {when}",
-        f"WARC-Target-URI: {header['URL']}", f"WARC-IP-Address: {header['IP-address']}", f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}",
+        "WARC/1.1", f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {identity}", f"WARC-Date: {when}",
+        f"WARC-Target-URI: {uri}", f"WARC-IP-Address: {header['IP-address']}", f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"X-Payload-Length: {len(payload)}", f"X-Page-Id: {fields.get('x-page-id', '')}",
     ]
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+    if original is not None:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {original[1]}"]
+        head += [f"WARC-Refers-To-Target-URI: {original[2]}", f"WARC-Refers-To-Date: {original[3]}", f"X-Refers-To-Page: {original[0]}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -114,12 +126,23 @@ def gzip_member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
+def gzip_members(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """Each member unpacked. A member is fed ``step`` bytes at a time, so nothing behind it is copied."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        opener, parts = zlib.decompressobj(31), []
+        while not opener.eof:
+            if at >= len(view):
+                raise ValueError("the last member is cut off")
+            parts.append(opener.decompress(view[at : at + step]))
+            at = min(at + step, len(view))
+        at -= len(opener.unused_data)
+        yield b"".join(parts)
+
+
 def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each gzip member; checks declared length and block digest."""
-    while content:
-        opener = zlib.decompressobj(31)
-        data = opener.decompress(content)
-        content = opener.unused_data
+    for data in gzip_members(content):
         end = data.index(b"\r\n\r\n")
         lines = data[:end].decode().split("\r\n")
         if lines[0] != "WARC/1.1":
@@ -144,32 +167,37 @@ def _legacy(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[list[i
             rows, size, version = [], 0, version + 1
 
 
-def converted_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def converted_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 500_000) -> DataFrame:
     """``name, content``: WARC files with a record for each row of ``pages``, by way of ARC files.
 
     Of records with equal payloads of at least 100 bytes, the one with the smallest id is a response
     and the others revisit it; records of null ids are responses, and the one referred to never is one of them. Null
     html is an empty payload, a null URL becomes ``urn:none``. Rows that repeat the id of the
-    response are responses themselves. Extra columns are ignored. No rows give no archives.
+    response with its payload are responses themselves; with another payload they stand by that
+    one. Extra columns are ignored. No rows give no archives.
+
+    Pages move only if more than ``broadcast_rows`` of them are revisits.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
-            keys, marks, sizes = [], [], []
+            found = []
             for _, file in _legacy(batch):
-                for _, content in arc_records(file):
+                for header, content in arc_records(file):
                     fields, payload = http_parts(content)
-                    keys.append(int(fields["x-page-id"]) if fields["x-page-id"] else None)
-                    marks.append(hashlib.sha256(payload).digest())
-                    sizes.append(len(payload))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64())], ["id", "digest", "size"])
-
-    seen = stored(rows.mapInArrow(digests, "id long, digest binary, size long"), "warc-digests").filter(F.col("size") >= REVISIT_LEAST)
-    first = seen.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
-    revisits = seen.join(first, "digest").filter("id <> refers_to").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers_to").distinct()
+                    found.append((int(fields["x-page-id"]) if fields["x-page-id"] else None, hashlib.sha256(payload).digest(), len(payload), *record_identity(header, content)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], k) for c, k in enumerate(kinds)], ["id", "digest", "size", "record", "uri", "date"])
+
+    seen = stored(rows.mapInArrow(digests, "id long, digest binary, size long, record string, uri string, date string"), "warc-digests").filter(F.col("size") >= REVISIT_LEAST)
+    first = seen.groupBy("digest").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "record", "uri", "date"))).alias("original"), F.count("*").alias("n")).filter("n > 1")
+    revisits = seen.select("id", "digest").join(first, "digest").filter(F.col("id") != F.col("original.id"))
+    revisits = stored(revisits.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "original").distinct(), "warc-revisits")
+    if small_enough(revisits, broadcast_rows):
+        revisits = F.broadcast(revisits)
     # an id may be repeated with another payload: the reference holds for the payload it was found for
     digest = F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256))
     joined = rows.join(revisits, (F.col("id") == F.col("_id")) & (digest == F.col("_digest")), "left").drop("_id", "_digest")
@@ -177,16 +205,16 @@ def converted_archives(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            refers = batch.column(3).to_pylist()
+            originals = [x and (x["id"], x["record"], x["uri"], x["date"]) for x in batch.column(3).to_pylist()]
             for members, file in _legacy(batch):
-                out = [gzip_member(warc_record(h, c, refers[i])) for i, (h, c) in zip(members, arc_records(file), strict=True)]
+                out = [gzip_member(warc_record(h, c, originals[i])) for i, (h, c) in zip(members, arc_records(file), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{number:06d}.warc.gz"]), pa.array([b"".join(out)], pa.large_binary()).cast(pa.binary())], ["name", "content"])
                 number += 1
 
     return joined.mapInArrow(convert, "name string, content binary")
 
 
-READ_SCHEMA = "page_id long, record_id string, date string, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+READ_SCHEMA = "page_id long, record_id string, date string, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, refers_to_record string, payload binary"
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -194,7 +222,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     bounded_batches(archives.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("date", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("date", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("refers_to_record", pa.string()), ("payload", pa.binary())])
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
@@ -203,7 +231,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                     digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
                     if payload is not None and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(h["X-Payload-Length"])):
                         raise ValueError(f"payload differs from its digest in {h['WARC-Record-ID']}")
-                    rows.append((int(h["X-Page-Id"]) if h["X-Page-Id"] else None, h["WARC-Record-ID"], h["WARC-Date"], h["WARC-Target-URI"], h["WARC-Type"], int(h["X-Payload-Length"]), digest, int(h["X-Refers-To-Page"]) if "X-Refers-To-Page" in h else None, payload if with_payload else None))
+                    rows.append((int(h["X-Page-Id"]) if h["X-Page-Id"] else None, h["WARC-Record-ID"], h["WARC-Date"], h["WARC-Target-URI"], h["WARC-Type"], int(h["X-Payload-Length"]), digest, int(h["X-Refers-To-Page"]) if "X-Refers-To-Page" in h else None, h.get("WARC-Refers-To"), payload if with_payload else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
 
     return archives.mapInArrow(run, READ_SCHEMA)

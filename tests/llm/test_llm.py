@@ -339,3 +339,28 @@ def test_stages_take_columns_of_any_name(spark):
         assert stage(docs.limit(0)).count() == 0
     assert toxicity.toxicity_scores(docs, labels).columns[-1] == "_score_"
     assert len(stages[0](docs).collect()) == len(rows)
+
+
+def test_revisits_name_their_original(spark):
+    text = "x" * 200
+    pages = spark.createDataFrame([(1, "http://h/é?a=1 2", text), (5, "u", text), (5, "u", "y" * 200), (None, "n", text)], "page_id long, url string, html string")
+    archives = warc.converted_archives(pages)
+    for most in (0, 10):
+        again = warc.converted_archives(pages, broadcast_rows=most)
+        assert sorted(r[0] for r in warc.read_archives(again).select("record_id").collect()) == sorted(r[0] for r in warc.read_archives(archives).select("record_id").collect())
+    records = [(h, b) for r in archives.collect() for h, b in warc.warc_records(bytes(r.content))]
+    one = next(h for h, _ in records if h["X-Page-Id"] == "1")
+    assert one["WARC-Target-URI"] == "http://h/%C3%A9?a=1%202"
+    revisit = [h for h, _ in records if h["WARC-Type"] == "revisit"]
+    assert len(revisit) == 1 and revisit[0]["X-Page-Id"] == "5"
+    assert (revisit[0]["WARC-Refers-To"], revisit[0]["WARC-Refers-To-Target-URI"], revisit[0]["WARC-Refers-To-Date"]) == (one["WARC-Record-ID"], one["WARC-Target-URI"], one["WARC-Date"])
+    with pytest.raises(ValueError):
+        list(warc.gzip_members(warc.gzip_member(b"a" * 1000)[:-5]))
+
+
+def test_warc_of_a_very_long_page(spark):
+    rng = np.random.RandomState(3)
+    long = bytes(rng.randint(32, 127, 3_000_000).astype(np.uint8)).decode()
+    pages = spark.createDataFrame([(1, "u", long), (2, "v", long), (3, "w", "")], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert got == {1: (3_000_000, "response", None), 2: (3_000_000, "revisit", 1), 3: (0, "response", None)}

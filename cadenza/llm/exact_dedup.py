@@ -2,17 +2,20 @@
 
 1. One pass over the texts writes an entry for each document: 64-bit hash, length and SHA-256 of
    the normalised text. Texts do not move.
-2. Entries with equal key are combined before any shuffle, so a text with a third of all rows
-   reaches its owner as one row for each task.
-3. Directory: starting from one bucket, an overfull bucket splits by one more leading bit of the
+2. Directory: starting from one bucket, an overfull bucket splits by one more leading bit of the
    hash; when its depth is the directory's depth, the directory doubles. The driver sees only
-   counts for at most ``2**max_depth`` hash prefixes. A bucket that is still overfull at that depth
-   keeps its overflow, nothing is cut.
-4. Owner tasks take ranges of buckets; within a bucket, entries with one hash lie next to each
-   other as a chain and are told apart by length and SHA-256. The index goes to the shared folder.
-5. Bytes are compared for every class of more than one document: smallest and largest text of the
-   class (combined before the shuffle) must be the same bytes. A class that fails, which takes a
-   collision of the digest, is grouped again by the text itself.
+   counts for at most ``2**max_depth`` hash prefixes. ``capacity`` grows with the entries, so that the
+   directory stays within that; a bucket that is still overfull, as that of a hot text, keeps its
+   overflow, nothing is cut.
+3. Entries go to buckets by way of the directory. Entries of one text are first combined under a
+   salt, in part before they move, so a text with a third of all rows comes to its owner as a few.
+4. Owner tasks take ranges of buckets. Within a bucket, entries of one hash lie next to each other
+   as a chain, are told apart by length and SHA-256 and make the groups. The index goes to the
+   shared folder.
+5. Bytes are compared for every group of more than one document, under its bucket: smallest and
+   largest text of the group (combined before the shuffle) must be the same bytes. A group that
+   fails, which takes a collision of the digest, is grouped again by the text itself.
+6. Every document is looked up in the index by bucket and key.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import folded, free_name, small_enough, stored
 
 KEY = ["_h", "_len", "_sha"]
+#: Rows that one text may have left when it comes to its owner, and owner tasks at most.
+SALTS, OWNERS = 32, 4096
 
 
 def split_directory(counts: dict[int, int], capacity: int, max_depth: int) -> tuple[int, list[int]]:
@@ -74,24 +79,25 @@ def exact_dedup(
     text = folded(F.col(f"`{text_col}`"))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_norm"))
     entries = stored(rows.select("_id", F.xxhash64("_norm").alias("_h"), F.octet_length("_norm").cast("long").alias("_len"), digest(F.col("_norm")).alias("_sha"), F.sha2("_norm", 256).alias("_out")), "dedup-entries")
-    groups = entries.groupBy(*KEY).agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
     prefix = F.shiftrightunsigned(F.col("_h"), 64 - max_depth).cast("int")
-    groups = stored(groups, "dedup-groups")
-    counts = {r[0]: r[1] for r in groups.groupBy(prefix).count().collect()}
+    counts = {r[0]: r[1] for r in entries.groupBy(prefix).count().collect()}
+    capacity = max(capacity, sum(counts.values()) >> (max_depth - 2))
     depth, cells = split_directory(counts, capacity, max_depth)
     spark = docs.sparkSession
-    directory = spark.createDataFrame(list(enumerate(cells)), "_cell int, _bucket int")
-    cell = F.shiftrightunsigned(F.col("_h"), 64 - depth).cast("int") if depth else F.lit(0)
-    index = stored(
-        groups.withColumn("_cell", cell)
-        .join(F.broadcast(directory), "_cell")
-        .drop("_cell")
-        .repartitionByRange(max(cells) + 1, "_bucket")
-        .sortWithinPartitions("_bucket", *KEY),
-        "dedup-index",
-    )
-    bad = stored(_unequal(rows, index, broadcast_rows, digest), "dedup-collisions")
-    result = entries.join(index.select(*KEY, "keep_id", "group_size"), KEY)
+    directory = stored(spark.createDataFrame(list(enumerate(cells)), "_cell int, _bucket int").coalesce(1), "dedup-directory")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        cell = F.shiftrightunsigned(F.col("_h"), 64 - depth).cast("int") if depth else F.lit(0)
+        return df.withColumn("_cell", cell).join(F.broadcast(directory), "_cell").drop("_cell")
+
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS))
+    parts = dealt(entries).groupBy("_bucket", *KEY, salt.alias("_salt")).agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # the owners' grouping needs no exchange of its own: buckets are whole in a range
+    owned = parts.repartitionByRange(max(1, min(max(cells) + 1, OWNERS)), "_bucket")
+    index = owned.groupBy("_bucket", *KEY).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    index = stored(index.sortWithinPartitions("_bucket", *KEY), "dedup-index")
+    bad = stored(_unequal(rows, index, broadcast_rows, digest, dealt), "dedup-collisions")
+    result = dealt(entries).join(index, ["_bucket", *KEY]).drop("_bucket")
     if not bad.isEmpty():
         result = _split_by_text(rows, result, bad, digest)
     return result.select(
@@ -103,14 +109,14 @@ def exact_dedup(
     )
 
 
-def _unequal(rows: DataFrame, index: DataFrame, broadcast_rows: int, digest) -> DataFrame:
+def _unequal(rows: DataFrame, index: DataFrame, broadcast_rows: int, digest, dealt) -> DataFrame:
     """Keys of classes whose texts are not all the same bytes."""
     hashes = index.filter("group_size > 1").select("_h").distinct()
     if small_enough(hashes, broadcast_rows):
         hashes = F.broadcast(hashes)
     texts = rows.withColumn("_h", F.xxhash64("_norm")).join(hashes, "_h", "left_semi")
     texts = texts.select("_h", F.octet_length("_norm").cast("long").alias("_len"), digest(F.col("_norm")).alias("_sha"), "_norm")
-    return texts.groupBy(*KEY).agg(F.min("_norm").alias("lo"), F.max("_norm").alias("hi")).filter("lo <> hi").select(*KEY)
+    return dealt(texts).groupBy("_bucket", *KEY).agg(F.min("_norm").alias("lo"), F.max("_norm").alias("hi")).filter("lo <> hi").select(*KEY)
 
 
 def _split_by_text(rows: DataFrame, result: DataFrame, bad: DataFrame, digest) -> DataFrame:

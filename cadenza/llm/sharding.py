@@ -4,8 +4,10 @@ Nodes are split at distributed weighted medians along the widest metadata dimens
 leaf is one shard, i.e. holds the target bytes. A node of m shards is cut where its bytes divide as
 floor(m/2) : ceil(m/2). All nodes of a level are cut together, by radix descent on an
 order-preserving 60-bit key: each round sums bytes per node and next 12 bits, so that the driver
-sees at most nodes x 4096 sums. Copies of a text share their coordinates and stay together, unless
-they exceed ``together`` of a shard's bytes; such a group is dealt out by row.
+sees at most nodes x 4096 sums, and a node is done when the digit that holds its cut has less than
+``tolerance`` of a shard's bytes. Below the value, a key has hashed bits of the text and then of text and
+id: rows of one text and one place lie next to each other and are parted only by a cut that falls
+between them. Rows are read as often as there are rounds, four numbers each, and never move.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Bits of a dimension's value, and of the tie-breaking hash below it, in a sort key.
-VALUE_BITS, TIE_BITS, DIGIT = 24, 36, 12
+#: Bits of a dimension's value in a sort key, and below it those of the text's and of the row's hash.
+VALUE_BITS, TEXT_BITS, ROW_BITS, DIGIT = 24, 24, 12, 12
+TIE_BITS = TEXT_BITS + ROW_BITS
 
 
 def kd_shards(
@@ -27,7 +30,7 @@ def kd_shards(
     text_col: str = "text",
     dimensions: dict[str, Column] | None = None,
     overhead: int = 8,
-    together: float = 1 / 16,
+    tolerance: float = 1e-3,
     slot_rows: int = 20_000,
 ) -> DataFrame:
     """``id_col, size, text_crc32, shard, slot`` for every row of ``docs``.
@@ -35,8 +38,8 @@ def kd_shards(
     ``size`` is the UTF-8 bytes of the text (null: none) plus ``overhead``. ``dimensions`` are numeric
     columns or expressions of ``docs`` (default: length, hashed source, hashed language); null and
     non-finite values lie at the lower end. Slots count from 0 in each shard, by the hash of text
-    and id; rows alike in both are dealt in any order. Fewer rows than
-    shards leave shards empty. No rows give no rows. Extra columns are ignored.
+    and id; rows alike in both share a shard and are dealt slots in any order. Ids may be null or
+    repeat. Fewer rows than shards leave shards empty. No rows give no rows. Extra columns are ignored.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     if dimensions is None:
@@ -51,29 +54,14 @@ def kd_shards(
         *[d.cast("double").alias(n) for n, d in zip(names, dimensions.values(), strict=True)],
     )
     rows = stored(rows, "shard-rows")
-    # a group of copies takes the coordinates of one of its rows
-    groups = rows.groupBy("_text").agg(F.sum("size").alias("_bytes"), *[F.min(n).alias(n) for n in names])
     box = [r for n in names for r in (F.min(_finite(n)).alias(f"{n}_lo"), F.max(_finite(n)).alias(f"{n}_hi"))]
-    groups = stored(groups, "shard-groups")
-    bounds = groups.agg(F.sum("_bytes").alias("all"), *box).first()
-    limit = (bounds["all"] or 0) / shards * together
-    spread = groups.filter(F.col("_bytes") > limit).select(F.col("_text").alias("_big"))
-    keys = {n: _key(n, bounds[f"{n}_lo"], bounds[f"{n}_hi"]) for n in names}
-    shared = groups.filter(F.col("_bytes") <= limit).select(F.col("_text"), "_bytes", F.shiftrightunsigned("_text", 64 - TIE_BITS).alias("_tie"), *[k.alias(n) for n, k in keys.items()])
-    loose = rows.join(spread, F.col("_text") == F.col("_big"), "left_semi")
-    loose = loose.select("_text", "_id", F.col("size").alias("_bytes"), F.shiftrightunsigned(F.xxhash64("_text", "_id"), 64 - TIE_BITS).alias("_tie"), *[k.alias(n) for n, k in keys.items()])
-    items = shared.select("_text", F.lit(None).cast(rows.schema["_id"].dataType).alias("_id"), F.lit(True).alias("_shared"), "_bytes", "_tie", *names)
-    items = stored(items.unionByName(loose.withColumn("_shared", F.lit(False)).select(*items.columns)), "shard-items")
-
-    tree = grow(items, names, shards)
-    items = items.select("_text", "_id", "_shared", tree.alias("shard"))
-    whole = items.filter("_shared").select("_text", "shard")
-    by_row = items.filter("not _shared").select("_text", "_id", "shard").distinct()
-    spread = by_row.select("_text").distinct()
-    placed = rows.join(whole, "_text").select("_id", "size", "text_crc32", "_text", "shard")
-    rest = rows.join(spread, "_text", "left_semi").alias("r").join(by_row.alias("b"), (F.col("r._text") == F.col("b._text")) & F.col("r._id").eqNullSafe(F.col("b._id")))
-    placed = placed.unionByName(rest.select("r._id", "r.size", "r.text_crc32", "r._text", "b.shard"))
-    return _slots(placed, slot_rows).select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")
+    bounds = rows.agg(F.count("*").alias("rows"), F.sum("size").alias("all"), *box).first()
+    tie = F.shiftleft(F.shiftrightunsigned("_text", 64 - TEXT_BITS), ROW_BITS) + F.shiftrightunsigned(F.xxhash64("_text", "_id"), 64 - ROW_BITS)
+    keys = [_key(n, bounds[f"{n}_lo"], bounds[f"{n}_hi"]).alias(n) for n in names]
+    items = rows.select("_id", "size", "text_crc32", "_text", tie.alias("_tie"), *keys)
+    tree = grow(items.select(F.col("size").alias("_bytes"), "_tie", *names), names, shards, (bounds["all"] or 0) / shards * tolerance)
+    placed = items.select("_id", "size", "text_crc32", "_text", tree.alias("shard"))
+    return _slots(placed, bounds["rows"], slot_rows).select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")
 
 
 def _finite(name: str) -> Column:
@@ -89,59 +77,89 @@ def _key(name: str, lo: float | None, hi: float | None) -> Column:
     return F.coalesce(F.floor((_finite(name) - lo) * step), F.lit(0)).cast("long")
 
 
-def grow(items: DataFrame, names: list[str], shards: int) -> Column:
-    """The tree over ``items(_bytes, _tie, names...)`` as an expression for the shard."""
-    leaf: dict[int, int] = {0: shards}  # first shard of a node -> number of its shards
-    cuts: dict[tuple[int, int], tuple[str, int]] = {}  # (first shard, shards) -> dimension, key of the cut
-    wide = lambda n: (F.col(n) * (1 << TIE_BITS)) + F.col("_tie")
-
-    def node(first: int = 0, count: int = shards) -> Column:
-        if (first, count) not in cuts:
-            return F.lit(first)
-        name, key = cuts[first, count]
-        return F.when(wide(name) >= key, node(first + count // 2, count - count // 2)).otherwise(node(first, count // 2))
-
-    while any(m > 1 for m in leaf.values()):
-        open_ = {a: m for a, m in leaf.items() if m > 1}
-        base = stored(items.withColumn("_node", node()).filter(F.col("_node").isin(list(open_))), "shard-level")
-        stats = base.groupBy("_node").agg(F.sum("_bytes").alias("bytes"), *[(F.max(n) - F.min(n)).alias(n) for n in names]).collect()
-        widest = {r["_node"]: max(names, key=lambda n: (r[n], -names.index(n))) for r in stats}  # noqa: B023
-        goal = {r["_node"]: r["bytes"] * (open_[r["_node"]] // 2) / open_[r["_node"]] for r in stats}
-        key = F.lit(0).cast("long")
-        for a, n in widest.items():
-            key = F.when(F.col("_node") == a, wide(n)).otherwise(key)
+def grow(items: DataFrame, names: list[str], shards: int, tolerance: float = 0) -> Column:
+    """The tree over ``items(_bytes, _tie, names...)`` as an expression for the shard.
+
+    A cut may miss its place by less than ``tolerance`` bytes.
+    """
+    # nodes by number: first shard and shards, then dimension, key of the cut, left and right child once cut
+    nodes: list[list] = [[0, shards, None, None, None, None]]
+    frontier = [0] if shards > 1 else []
+    while frontier:
+        base = items.withColumn("_node", _walk(nodes, names)).filter(_of(nodes, frontier, lambda i: True, "boolean"))
+        stats = {r["_node"]: r for r in base.groupBy("_node").agg(F.sum("_bytes").alias("bytes"), *[(F.max(n) - F.min(n)).alias(n) for n in names]).collect()}
+        widest = {i: max(range(len(names)), key=lambda c: (r[names[c]], -c)) for i, r in stats.items()}  # noqa: B023
+        goal = {i: r["bytes"] * (nodes[i][1] // 2) / nodes[i][1] for i, r in stats.items()}
+        key = F.element_at(F.array(*[_wide(n) for n in names]), _of(nodes, widest, lambda i: widest[i] + 1, "int"))  # noqa: B023
         keyed = base.select("_node", "_bytes", key.alias("_key"))
-        found = {a: [0, 0] for a in widest}  # prefix of the cut so far, bytes below it
+        found = dict.fromkeys(stats, (0, 0))  # digits of the cut so far, bytes below it
+        cut: dict[int, int] = {}
         for done in range(DIGIT, VALUE_BITS + TIE_BITS + 1, DIGIT):
             left = VALUE_BITS + TIE_BITS - done
-            within: Column = F.lit(False)
-            for a, (prefix, _) in found.items():
-                within = F.when(F.col("_node") == a, F.shiftright("_key", left + DIGIT) == prefix).otherwise(within)
+            open_ = [i for i in found if i not in cut]
+            within = F.shiftright("_key", left + DIGIT) == _of(nodes, open_, lambda i: found[i][0], "long")  # noqa: B023
             digit = F.shiftright("_key", left).bitwiseAND((1 << DIGIT) - 1)
             sums: dict[int, list[tuple[int, int]]] = {}
             for r in keyed.filter(within).groupBy("_node", digit.alias("digit")).agg(F.sum("_bytes").alias("b")).collect():
                 sums.setdefault(r["_node"], []).append((r["digit"], r["b"]))
-            for a, (prefix, below) in found.items():
-                last = 0
-                for d, b in sorted(sums.get(a, [])):
-                    last = d
-                    if below + b > goal[a]:
+            for i, parts in sums.items():
+                prefix, below = found[i]
+                for d, b in sorted(parts):
+                    if below + b > goal[i]:
                         break
                     below += b
-                else:
-                    last += 1 if sums.get(a) else 0
-                found[a] = [(prefix << DIGIT) + last, below]
-        for a, m in open_.items():
-            left = m // 2
-            leaf[a], leaf[a + left] = left, m - left
-            if a in found:
-                cuts[a, m] = widest[a], found[a][0]
-    return node().cast("int")
-
-
-def _slots(placed: DataFrame, slot_rows: int) -> DataFrame:
+                else:  # all of it lies below the cut
+                    d, b = d + 1, 0
+                found[i] = ((prefix << DIGIT) + d, below)
+                if b <= tolerance or not left:
+                    # a digit that is not taken apart goes to the side that it leaves nearer to the goal
+                    after = left and b and below + b - goal[i] < goal[i] - below
+                    cut[i] = found[i][0] + int(bool(after)) << left
+            if len(cut) == len(found):
+                break
+        before, frontier = frontier, []
+        for i in before:
+            first, count = nodes[i][:2]
+            half = count // 2
+            children = [len(nodes), len(nodes) + 1]
+            nodes += [[first, half, None, None, None, None], [first + half, count - half, None, None, None, None]]
+            # a node without rows may be cut anywhere
+            nodes[i][2:] = [widest.get(i, 0), cut.get(i, 0), *children]
+            frontier += [c for c in children if nodes[c][1] > 1]
+    leaf = _walk(nodes, names)
+    return F.element_at(F.array(*[F.lit(n[0]) for n in nodes]), leaf + 1).cast("int")
+
+
+def _wide(name: str) -> Column:
+    """Sort key of a row along a dimension."""
+    return F.col(name) * (1 << TIE_BITS) + F.col("_tie")
+
+
+def _of(nodes: list[list], some, value, kind: str) -> Column:
+    """``value`` of a row's node if it is one of ``some``, else null; by one lookup, whatever the tree's size."""
+    known = set(some)
+    return F.element_at(F.array(*[F.lit(value(i) if i in known else None).cast(kind) for i in range(len(nodes))]), F.col("_node") + 1)
+
+
+def _walk(nodes: list[list], names: list[str]) -> Column:
+    """Number of the node that a row comes to, a step a level; small for any tree, as nodes are looked up."""
+    depth, level = 0, [0]
+    while level := [c for i in level for c in nodes[i][4:] if c is not None]:
+        depth += 1
+    if not depth:
+        return F.lit(0)
+    table = [F.array(*[F.lit(n[c] if n[c] is not None else d).cast("long") for n in nodes]) for c, d in ((2, 0), (3, 0), (4, -1), (5, -1))]
+    keys = F.array(*[_wide(n) for n in names])
+
+    def step(at: Column, _: Column) -> Column:
+        dim, cut, left, right = (F.element_at(x, at + 1) for x in table)
+        return F.when(left < 0, at).when(F.element_at(keys, (dim + 1).cast("int")) >= cut, right.cast("int")).otherwise(left.cast("int"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step)
+
+
+def _slots(placed: DataFrame, total: int, slot_rows: int) -> DataFrame:
     """Numbers from 0 within each shard, by bins of a hash and a prefix sum over bins."""
-    total = placed.count()
     bins = max(1, -(-total // slot_rows))
     hashed = F.xxhash64("_text", "_id")
     binned = placed.withColumn("_hash", hashed).withColumn("_bin", F.shiftrightunsigned(F.shiftrightunsigned("_hash", 32) * bins, 32))

@@ -364,3 +364,30 @@ def test_warc_of_a_very_long_page(spark):
     pages = spark.createDataFrame([(1, "u", long), (2, "v", long), (3, "w", "")], "page_id long, url string, html string")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
     assert got == {1: (3_000_000, "response", None), 2: (3_000_000, "revisit", 1), 3: (0, "response", None)}
+
+
+def brute_tree(items, first, count):
+    """Shard of each of ``items`` (number, bytes, tie, values): sorted whole at every node."""
+    if count == 1 or not items:
+        return {i[0]: first for i in items}
+    wide = max(range(len(items[0][3])), key=lambda c: (max(i[3][c] for i in items) - min(i[3][c] for i in items), -c))
+    key = lambda i: (i[3][wide] << sharding.TIE_BITS) + i[2]
+    goal, below, cut = sum(i[1] for i in items) * (count // 2) / count, 0, None
+    for k in sorted({key(i) for i in items}):
+        here = sum(i[1] for i in items if key(i) == k)
+        if below + here > goal:
+            cut = k
+            break
+        below += here
+    left = [i for i in items if cut is None or key(i) < cut]
+    right = [i for i in items if cut is not None and key(i) >= cut]
+    return brute_tree(left, first, count // 2) | brute_tree(right, first + count // 2, count - count // 2)
+
+
+def test_tree_is_that_of_whole_sorts(spark):
+    rng = np.random.RandomState(2)
+    items = [(i, int(rng.randint(1, 100)), int(rng.randint(1 << 36)), (int(rng.randint(1 << 24)), int(rng.randint(3)) << 20)) for i in range(120)]
+    items += [(120 + i, 50, 7, (5, 1 << 20)) for i in range(30)]  # alike, so in one shard
+    df = spark.createDataFrame([(i, b, t, *v) for i, b, t, v in items], "id long, _bytes long, _tie long, a long, b long")
+    tree = sharding.grow(df.select("_bytes", "_tie", "a", "b"), ["a", "b"], 6)
+    assert {r.id: r.shard for r in df.select("id", tree.alias("shard")).collect()} == brute_tree(items, 0, 6)

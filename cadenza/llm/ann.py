@@ -4,9 +4,9 @@ Vectors that are equal fold into one node first, so a vector with a third of all
 The graph starts from blocks: nodes in the order of a random sign code, cut into blocks of bounded
 size, several times over; within a block all distances are computed. Each round then joins every
 node with its neighbours and reverse neighbours, and the local join of a node proposes them to each
-other: neighbours of neighbours. A round costs nodes x members vectors of shuffle. Search keeps a
+other: neighbours of neighbours, until a round changes few. A round costs nodes x members vectors of shuffle. Search keeps a
 beam for each query, starts at the query's own node and expands its nearest unexpanded nodes by
-joining with the graph and the vectors, until no beam changes.
+joining with the graph and the vectors, until all of every beam is expanded.
 """
 
 from __future__ import annotations
@@ -21,25 +21,26 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
 
-EDGE = "id long, other long, d float"
+EDGE = "id long, other long, d double"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of an Arrow list or binary column of equal-sized float32 vectors."""
-    if pa.types.is_binary(column.type):
-        return np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in column])
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
+    """Rows of an Arrow list column of equal-sized vectors, in the type they have."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Squared distances; x (..., m, d), y (..., n, d)."""
-    d = (x * x).sum(-1)[..., :, None] + (y * y).sum(-1)[..., None, :] - 2 * (x @ np.swapaxes(y, -1, -2))
-    return np.maximum(d, 0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = (x * x).sum(-1)[..., :, None] + (y * y).sum(-1)[..., None, :] - 2 * (x @ np.swapaxes(y, -1, -2))
+    return np.nan_to_num(np.maximum(d, 0), nan=np.inf, posinf=np.inf)
 
 
 def usable_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``vec_id, v`` without null, zero, or non-finite vectors and null ids."""
-    v = F.col(f"`{vec_col}`").cast("array<float>")
+    """``vec_id, v`` without null, zero, or non-finite vectors and null ids; floats stay floats, the rest is doubles."""
+    v = F.col(f"`{vec_col}`")
+    if table.select(v).schema[0].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return rows.filter(fine)
@@ -82,9 +83,9 @@ def start_graph(nodes: DataFrame, k: int, tables: int, block: int, seed: int) ->
                 np.fill_diagonal(d, np.inf)
                 m = min(k, len(i) - 1)
                 best = np.argpartition(d, m - 1, axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, m)), pa.array(i[best].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel().astype(np.float32))], ["id", "other", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, m)), pa.array(i[best].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel().astype(np.float64))], ["id", "other", "d"])
 
-        coded = nodes.mapInArrow(code, "code long, id long, v array<float>")
+        coded = nodes.mapInArrow(code, f"code long, id long, v {nodes.schema['v'].dataType.simpleString()}")
         found = coded.repartitionByRange("code", "id").sortWithinPartitions("code", "id").mapInArrow(near, EDGE)
         out = found if out is None else out.unionByName(found)
     return out
@@ -103,8 +104,8 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, members: int, proposals:
     back = edges.select(F.col("other").alias("centre"), F.col("id").alias("member"), F.xxhash64(F.lit(turn), "id", "other").alias("h"))
     back = back.withColumn("_r", F.row_number().over(W.partitionBy("centre").orderBy("h", "member"))).filter(F.col("_r") <= members).select("centre", "member")
     who = forward.union(back).distinct()
-    worst = graph.select(F.col("id").alias("node"), F.when(F.size("near") >= k, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-    carried = nodes.join(worst, F.col("id") == F.col("node"), "left").select(F.col("id").alias("member"), "v", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
+    worst = graph.select(F.col("id").alias("node"), F.when(F.size("near") >= k, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf"))).alias("worst"))
+    carried = nodes.join(worst, F.col("id") == F.col("node"), "left").select(F.col("id").alias("member"), "v", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
     rows = who.join(carried, "member").select("centre", "member", "worst", "v").repartition("centre").sortWithinPartitions("centre", "member")
 
     def introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,41 +140,51 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, members: int, proposals:
             two.append(ids[lo + best[a, b]])
             dist.append(near[a, b])
         if one:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), pa.array(np.concatenate(dist).astype(np.float32))], ["id", "other", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), pa.array(np.concatenate(dist).astype(np.float64))], ["id", "other", "d"])
 
     new = rows.mapInArrow(introduce, EDGE)
     return best_edges(edges.unionByName(new), k)
 
 
-def build_graph(nodes: DataFrame, k: int = 24, tables: int = 6, block: int = 512, rounds: int = 3, members: int = 24, proposals: int = 8, seed: int = 11) -> DataFrame:
-    """``id, near`` for ``nodes(id, v)``: the ``k`` nearest others found for each node."""
-    graph = stored(best_edges(start_graph(nodes, k, tables, block, seed), k), "ann-graph")
-    for turn in range(rounds):
-        graph = stored(descend(graph, nodes, k, members, proposals, turn), "ann-graph")
-    return graph
-
+def build_graph(nodes: DataFrame, k: int = 32, tables: int = 6, block: int = 512, least_change: float = 0.02, members: int = 32, proposals: int = 12, seed: int = 11) -> DataFrame:
+    """``id, near`` for ``nodes(id, v)``: the ``k`` nearest others found for each node.
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int, expand: int, rounds: int) -> DataFrame:
+    Rounds of descent go on until one changes less than ``least_change`` of the neighbours; distances
+    only shrink, so that ends.
+    """
+    graph = stored(best_edges(start_graph(nodes, k, tables, block, seed), k), "ann-graph")
+    turn = 0
+    while True:
+        better = stored(descend(graph, nodes, k, members, proposals, turn), "ann-graph")
+        was = graph.select(F.col("id").alias("_id"), F.col("near.other").alias("_was"))
+        fresh = F.size(F.array_except("near.other", F.coalesce("_was", F.array().cast("array<bigint>"))))
+        counts = better.join(was, F.col("id") == F.col("_id"), "left").agg(F.sum(fresh).alias("fresh"), F.sum(F.size("near")).alias("all")).first()
+        graph, turn = better, turn + 1
+        if (counts["fresh"] or 0) <= least_change * (counts["all"] or 0):
+            return graph
+
+
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int, expand: int) -> DataFrame:
     """``qid, id, d`` - the beam of every query ``(qid, q)``, whose own node is ``qid``.
 
-    Links count both ways. Each round expands the ``expand`` nearest nodes not yet expanded.
+    Links count both ways. Each round expands the ``expand`` nearest nodes not yet expanded, until all
+    of every beam are; nodes enter a beam by being nearer than those that leave, so that ends.
     """
     edges = graph.select("id", F.explode("near.other").alias("other"))
     links = stored(edges.union(edges.select("other", "id")).distinct(), "ann-links")
     seen = stored(queries.select("qid", F.col("qid").alias("id"), F.lit(0.0).alias("d"), F.lit(False).alias("done")), "ann-beam")
     q = queries.select("qid", "q")
     order = W.partitionBy("qid").orderBy("d", "id")
-    for _ in range(rounds):
+    while True:
         open_ = seen.filter(~F.col("done")).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= expand).select("qid", "id")
         open_ = stored(open_, "ann-open")
         if open_.isEmpty():
-            break
+            return seen.select("qid", "id", "d")
         found = open_.join(links, "id").select("qid", F.col("other").alias("id")).distinct().join(seen.select("qid", "id"), ["qid", "id"], "left_anti")
         near = found.join(nodes, "id").join(q, "qid").select("qid", "id", _exact("q", "v").alias("d"), F.lit(False).alias("done"))
         was = seen.join(open_.withColumn("_now", F.lit(True)), ["qid", "id"], "left").select("qid", "id", "d", (F.col("done") | F.coalesce("_now", F.lit(False))).alias("done"))
         merged = was.unionByName(near).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= beam).drop("_r")
         seen = stored(merged, "ann-beam")
-    return seen.select("qid", "id", "d")
 
 
 def _exact(a: str, b: str):
@@ -188,9 +199,8 @@ def nearest(
     top: int = 10,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    beam: int = 128,
-    expand: int = 24,
-    rounds: int = 8,
+    beam: int = 256,
+    expand: int = 48,
     **graph_options,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` nearest other rows found for each query row.
@@ -207,7 +217,7 @@ def nearest(
     graph = build_graph(nodes, **graph_options)
     asking = named.filter(is_query)
     queries = stored(asking.select(F.col("id").alias("qid")).distinct().join(nodes, F.col("qid") == F.col("id")).select("qid", F.col("v").alias("q")), "ann-queries")
-    found = search(graph, nodes, queries, max(beam, top + 1), expand, rounds)
+    found = search(graph, nodes, queries, max(beam, top + 1), expand)
     # of equal vectors, the smallest ids come first; one more than asked for, as a query is not its own answer
     first = W.partitionBy("id").orderBy("vec_id")
     few = named.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= top + 1).drop("_r")

@@ -391,3 +391,35 @@ def test_tree_is_that_of_whole_sorts(spark):
     df = spark.createDataFrame([(i, b, t, *v) for i, b, t, v in items], "id long, _bytes long, _tie long, a long, b long")
     tree = sharding.grow(df.select("_bytes", "_tie", "a", "b"), ["a", "b"], 6)
     assert {r.id: r.shard for r in df.select("id", tree.alias("shard")).collect()} == brute_tree(items, 0, 6)
+
+
+def recall(got, x, queries, top=10):
+    hits = 0
+    for q in queries:
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(got.get(q, ())) & set(np.argsort(d, kind="stable")[:top]))
+    return hits / (top * len(queries))
+
+
+def test_nearest_over_many_blocks(spark):
+    rng = np.random.RandomState(4)
+    x = rng.randn(2400, 16).astype(np.float32)
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(table, F.col("vec_id") % 60 == 0, tables=2, block=64, k=16, beam=48).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert recall(got, x, range(0, 2400, 60)) >= 0.9
+    # what the start blocks alone would give: far less, so graph and search do the work
+    nodes = table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    start = {r.id: [e.other for e in r.near][:10] for r in ann.best_edges(ann.start_graph(nodes, 16, 2, 64, 11), 16).collect()}
+    assert recall(start, x, range(0, 2400, 60)) < 0.6
+
+
+def test_nearest_of_doubles(spark):
+    rows = [(i, [1.0 + i * 1e-12, 1e-3]) for i in range(1, 40)] + [(50, [1e300, 1.0]), (51, [1e300, 3.0]), (None, [1.0, 1.0]), (3, [1.0 + 3e-12, 1e-3])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(table, F.col("vec_id") == 50, top=3).collect()]
+    assert sorted(got)[0] == (50, 1, 51) and len(got) == 3
+    got = {r["rank"]: r.vec_id for r in ann.nearest(table, F.col("vec_id") == 20, top=2).collect()}
+    assert set(got.values()) == {19, 21}

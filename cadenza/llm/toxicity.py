@@ -44,7 +44,7 @@ class SubwordModel:
         return out + self.shift
 
 
-def fit_subword_model(texts, toxic: np.ndarray, buckets: int = 1 << 18, dim: int = 8, sizes: tuple[int, ...] = (3, 4, 5), epochs: int = 6, rate: float = 0.3, batch: int = 64, seed: int = 7, least_docs: int = 3, decay: float = 8e-4) -> SubwordModel:
+def fit_subword_model(texts, toxic: np.ndarray, buckets: int = 1 << 18, dim: int = 8, sizes: tuple[int, ...] = (3, 4, 5), epochs: int = 10, rate: float = 0.3, batch: int = 64, seed: int = 7, least_docs: int = 3, decay: float = 8e-4) -> SubwordModel:
     """Train embeddings and softmax together by Adagrad on class-balanced cross-entropy.
 
     Features of fewer than ``least_docs`` texts are left out and touched embeddings decay, both
@@ -162,7 +162,8 @@ def _bags(texts, sizes, mask) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit_sample(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int, max_bytes: int, id_col: str, text_col: str, label_col: str) -> pa.Table:
     """At most ``max_docs`` labelled texts of at most ``max_bytes`` bytes, the first by hashed id.
 
-    Labels of one id that disagree count as toxic; null ids and null labels are not used. Only the
+    Labels of one id that disagree count as toxic; null ids and null labels are not used, and a label
+    whose id has several texts counts for each of them. Only the
     sample reaches the driver: ``max_docs * max_bytes`` bytes at most, whole texts.
     """
     chosen = labels.filter(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))

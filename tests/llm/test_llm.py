@@ -423,3 +423,57 @@ def test_nearest_of_doubles(spark):
     assert sorted(got)[0] == (50, 1, 51) and len(got) == 3
     got = {r["rank"]: r.vec_id for r in ann.nearest(table, F.col("vec_id") == 20, top=2).collect()}
     assert set(got.values()) == {19, 21}
+
+
+def test_scores_are_means_over_subwords():
+    """The vectorised score of a text against one that lists its features one by one."""
+    from cadenza.llm.textkernels import subword_features, utf8
+
+    rng = np.random.RandomState(6)
+    model = toxicity.SubwordModel(rng.randn(1 << 10).astype(np.float32), 0.25, (3, 4))
+    texts = ["One two, one", "", "é ab", "x" * 50_000 + " end", None, "a"]
+    got = model.logits(pa.array(texts))
+    for text, logit in zip(texts, got, strict=True):
+        one = pa.array([text])
+        weights = [model.weight[b] for _, buckets in subword_features(*utf8(one), (3, 4), 1023) for b in buckets]
+        words = re.findall(r"[a-z0-9\x80-\xff]+", (text or "").lower().encode().decode("latin-1"))
+        grams = sum(max(0, len(w) + 2 - size + 1) for w in words for size in (3, 4))
+        assert len(weights) == grams + len(words)
+        assert logit == pytest.approx(0.25 + (np.mean(weights) if weights else 0.0), rel=1e-5)
+
+
+def test_toxicity_with_null_and_repeated_ids(spark):
+    rows = [(1, "bad bad words here"), (1, "good words"), (None, "bad bad words here"), (None, None), (2, ""), (3, "long " * 40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r._score <= 1 for r in got)
+    assert len({r._score for r in got if r.text == "bad bad words here"}) == 1
+
+
+def test_operators_with_null_and_repeated_ids(spark):
+    import public_tokenizers
+
+    rows = [(r[0], r[1], "en", r[2]) for r in REPEATS] + [(None, "word " * 30_000, "en", "x"), (9, "é" * 70_000, "de", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    folded = [" ".join(re.split(r"[\x20\x09-\x0D]+", t or "")) for _, t, _, _ in rows]
+    found = exact_dedup.exact_dedup(docs, capacity=2).collect()
+    want = []
+    for (d, _, _, _), f in zip(rows, folded, strict=True):
+        ids = [e for (e, *_), g in zip(rows, folded, strict=True) if g == f]
+        keep = min((e for e in ids if e is not None), default=None)
+        want.append((d, keep, len(ids), keep is None or d == keep))
+    order = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found), key=order) == sorted(want, key=order)
+    least, sizes = brute_components([(d, t) for d, t, _, _ in rows], 5, 80, 100)
+    got = ngram_join.ngram_components(docs).collect()
+    assert sorted((tuple(r) for r in got), key=order) == sorted(((d, n, c) for (d, *_), n, c in zip(rows, sizes, least, strict=True)), key=order)
+    mixed = mixing.mix_sources(docs, bin_rows=2).collect()
+    assert sorted(r["size"] for r in mixed) == sorted(len((t or "").split()) for _, t, _, _ in rows)
+    assert all(r.taken <= 2 * r["size"] for r in mixed)
+    shards = sharding.kd_shards(docs, 3).collect()
+    assert len(shards) == len(rows) and all(sorted(r.slot for r in shards if r.shard == s) == list(range(sum(r.shard == s for r in shards))) for s in range(3))
+    pieces = packing.packed_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=512).collect()
+    assert sum(r.start == 0 for r in pieces) == len(rows)
+    ends = [r for r in pieces if r.start + r.length == r.doc_tokens]
+    assert len(ends) == len(rows) and sum(r.length for r in pieces) == sum(r.doc_tokens for r in ends)

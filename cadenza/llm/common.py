@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import functools
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,25 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def lean(run):
+    """``run`` over Arrow batches, handing back what the worker's allocators hold once it is done.
+
+    Workers outlive a task and run all kinds of stages; freed pages that they keep count against the
+    executor all the same.
+    """
+
+    @functools.wraps(run)
+    def through(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return through
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (in any case of letters)."""
     taken = {c.lower() for c in df.columns}

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, small_enough, stored
+from .common import bounded_batches, free_name, lean, small_enough, stored
 from .components import connected_components, extended_components
 from .textkernels import mix, shingle_sets
 
@@ -326,10 +326,10 @@ def classes(
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    counted = rows.select("text").mapInArrow(_count_rows(k, 64, min(100, -(-150 * (den - num) // den))), "gram long, n long")
+    counted = rows.select("text").mapInArrow(lean(_count_rows(k, 64, min(100, -(-150 * (den - num) // den)))), "gram long, n long")
     frequent = counted.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent_least).orderBy(F.desc("n"), "gram").limit(frequent_max).toArrow()
     order = spark.sparkContext.broadcast((frequent.column("gram").to_numpy().view(np.uint64), frequent.column("n").to_numpy()))
-    signed = rows.mapInArrow(_signature_rows(k, num, den, cost, least, longest, order), "id long, n long, sum_a long, sum_b long, prefix array<long>, ell int")
+    signed = rows.mapInArrow(lean(_signature_rows(k, num, den, cost, least, longest, order)), "id long, n long, sum_a long, sum_b long, prefix array<long>, ell int")
     signed = stored(signed, "ngram-signatures")
 
     # the prefix follows from the set, so any row's will do
@@ -354,15 +354,15 @@ def classes(
         part = F.col("rep") if parts is None else F.coalesce("component", "rep")
         members = members.select("gram", "x", "y", "rep", "grams", "places", "ell", "n", "place", "side", part.alias("part"))
         members = members.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y", "rep")
-        groups = stored(members.mapInArrow(_group_rows(num, den), "members array<long>").distinct(), "ngram-groups")
+        groups = stored(members.mapInArrow(lean(_group_rows(num, den)), "members array<long>").distinct(), "ngram-groups")
         near = stored(groups.select(F.explode("members").alias("rep")).distinct().join(kinds.select("rep", "first_id", "sum_a", "sum_b"), "rep"), "ngram-candidates")
         wanted = F.broadcast(near) if small_enough(near, broadcast_rows) else near
         texts = rows.join(wanted, F.col("id") == F.col("first_id")).select("rep", "sum_a", "sum_b", "text")
         # dealt by rep alone, which serves the dropping of repeats and the join: whole sets move once less
-        sets = texts.mapInArrow(_set_rows(k), "rep long, grams binary").repartition("rep").dropDuplicates(["rep", "grams"])
+        sets = texts.mapInArrow(lean(_set_rows(k)), "rep long, grams binary").repartition("rep").dropDuplicates(["rep", "grams"])
         grouped = groups.select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep")).join(sets, "rep")
         grouped = grouped.select("list", "rep", "grams").repartition("list").sortWithinPartitions("list", "rep")
-        return stored(grouped.mapInArrow(_link_rows(num, den), "a long, b long"), "ngram-links")
+        return stored(grouped.mapInArrow(lean(_link_rows(num, den)), "a long, b long"), "ngram-links")
 
     # the largest partner that what is left of a set allows; a list without one so small has none for it
     most = F.floor((F.col("n") - F.col("place")) * (num + den) / num) - F.col("n")
@@ -472,7 +472,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return plain
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(id_.cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), row.alias("row")).join(again, "id", "left_semi")
-    rows = rows.mapInArrow(_told_rows(k), rows.select("id", "row").schema.add("n", "long").add("sum_a", "long").add("sum_b", "long"))
+    rows = rows.mapInArrow(lean(_told_rows(k)), rows.select("id", "row").schema.add("n", "long").add("sum_a", "long").add("sum_b", "long"))
     empty = rows.filter("n = 0").select("row.*")
     # repeats are combined before the shuffle, so that a group of them is one row for each task
     one = rows.filter("n > 0").groupBy("id", *SAME).agg(F.min_by("row", F.to_json("row")).alias("row"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double"
 #: Sequences of one task are numbered from the task's number times this.
@@ -42,7 +42,7 @@ class WordTokenizer:
     the younger one.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 200_000):
+    def __init__(self, path: str, end_id: int, most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -185,4 +185,4 @@ def packed_pieces(
             yield flush()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(lean(run), SCHEMA)

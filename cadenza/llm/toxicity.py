@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name
+from .common import bounded_batches, free_name, lean
 from .textkernels import pieces, subword_features, utf8
 
 
@@ -209,7 +209,7 @@ def toxicity_scores(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, score_col])
 
     schema = docs.withColumn(score_col, F.lit(0.0)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, small_enough, stored
+from .common import bounded_batches, lean, small_enough, stored
 
 V1 = b"URL IP-address Archive-date Content-type Archive-length"
 V2 = b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
@@ -192,7 +192,7 @@ def converted_archives(pages: DataFrame, id_col: str = "page_id", url_col: str =
                     found.append((int(fields["x-page-id"]) if fields["x-page-id"] else None, hashlib.sha256(payload).digest(), len(payload), *record_identity(header, content)))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], k) for c, k in enumerate(kinds)], ["id", "digest", "size", "record", "uri", "date"])
 
-    seen = stored(rows.mapInArrow(digests, "id long, digest binary, size long, record string, uri string, date string"), "warc-digests").filter(F.col("size") >= REVISIT_LEAST)
+    seen = stored(rows.mapInArrow(lean(digests), "id long, digest binary, size long, record string, uri string, date string"), "warc-digests").filter(F.col("size") >= REVISIT_LEAST)
     first = seen.groupBy("digest").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "record", "uri", "date"))).alias("original"), F.count("*").alias("n")).filter("n > 1")
     revisits = seen.select("id", "digest").join(first, "digest").filter(F.col("id") != F.col("original.id"))
     revisits = stored(revisits.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "original").distinct(), "warc-revisits")
@@ -211,7 +211,7 @@ def converted_archives(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{number:06d}.warc.gz"]), pa.array([b"".join(out)], pa.large_binary()).cast(pa.binary())], ["name", "content"])
                 number += 1
 
-    return joined.mapInArrow(convert, "name string, content binary")
+    return joined.mapInArrow(lean(convert), "name string, content binary")
 
 
 READ_SCHEMA = "page_id long, record_id string, date string, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, refers_to_record string, payload binary"
@@ -234,7 +234,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                     rows.append((int(h["X-Page-Id"]) if h["X-Page-Id"] else None, h["WARC-Record-ID"], h["WARC-Date"], h["WARC-Target-URI"], h["WARC-Type"], int(h["X-Payload-Length"]), digest, int(h["X-Refers-To-Page"]) if "X-Refers-To-Page" in h else None, h.get("WARC-Refers-To"), payload if with_payload else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
 
-    return archives.mapInArrow(run, READ_SCHEMA)
+    return archives.mapInArrow(lean(run), READ_SCHEMA)
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:

@@ -32,10 +32,15 @@ def quantise(x: Column, levels: int) -> Column:
 
 
 def rhythm_features(grid: DataFrame, bands: int = 2, slow: int = 7, post: int = 3, q: float = 0.98, levels: int = 5) -> DataFrame:
-    """``item, band, frame, value`` from ``item, mel, frame, e``; steps as in the module's title."""
+    """``item, band, frame, value`` from ``item, mel, frame, e``; steps as in the module's title.
+
+    Every band has all frames of its item; one without bins has zeros.
+    """
     grid = grid.withColumn("e", F.round(log_compress(F.col("e")), 9))
-    cut = F.broadcast(band_of(grid, bands))  # items x bins rows, a few thousand
-    summed = grid.join(cut, ["item", "mel"]).groupBy("item", "band", "frame").agg(F.sum(F.col("e").cast("decimal(38,9)")).cast("double").alias("x"))
+    split = grid.join(band_of(grid, bands), ["item", "mel"])
+    # one sum a band, so that a band without bins has zeros
+    sums = [F.coalesce(F.sum(F.when(F.col("band") == k, F.col("e").cast("decimal(38,9)"))).cast("double"), F.lit(0.0)) for k in range(bands)]
+    summed = split.groupBy("item", "frame").agg(F.array(*sums).alias("s")).select("item", "frame", F.posexplode("s").alias("band", "x"))
     rows = moving_average(summed, slow, ["item", "band"], "frame").withColumn("x", F.greatest(F.round(F.col("x") - F.col("ma"), 9), F.lit(0.0))).drop("ma")
     rows = moving_average(rows, post, ["item", "band"], "frame").select("item", "band", "frame", F.round("ma", 9).alias("x"))
     top = rows.groupBy("item", "band").agg(F.greatest(F.percentile("x", F.lit(q)), F.lit(1e-8)).alias("q"))

@@ -15,7 +15,7 @@ def hz_quantised(hz: Column, step: float) -> Column:
     return hz if step <= 0 else F.rint(hz / step) * step
 
 
-def sinc_taps(cutoff: float, zeros: float = 8.0) -> list[float]:
+def sinc_taps(cutoff: float, zeros: float = 51) -> list[float]:
     """Low-pass taps: a sinc with ``zeros`` zero crossings under a Hann window, with sum 1."""
     half = int(zeros / cutoff / 2)
     at = [2 * math.pi * cutoff * k for k in range(-half, half + 1)]
@@ -23,7 +23,7 @@ def sinc_taps(cutoff: float, zeros: float = 8.0) -> list[float]:
     return [w / sum(taps) for w in taps]
 
 
-def low_passed(df: DataFrame, keys: list[str], cutoff: float, x: str = "x") -> DataFrame:
+def low_passed(df: DataFrame, keys: list[str], cutoff: float, x: str = "x", zeros: float = 51) -> DataFrame:
     """Signal without what lies above ``cutoff``, held to [0, 1/2]; 0 leaves nothing. Ends are held.
 
     ``t`` counts from 0 without gaps. One window of as many rows as taps: one shuffle, by ``keys``.
@@ -31,7 +31,7 @@ def low_passed(df: DataFrame, keys: list[str], cutoff: float, x: str = "x") -> D
     cutoff = min(max(cutoff, 0.0), 0.5)
     if cutoff == 0:
         return df.withColumn(x, F.lit(0.0))
-    taps = sinc_taps(cutoff)
+    taps = sinc_taps(cutoff, zeros)
     half = len(taps) // 2
     each, near = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("t").rowsBetween(-half, half)
     rows = df.withColumn("_l", F.collect_list(x).over(near)).withColumn("_a", F.min_by(x, "t").over(each)).withColumn("_b", F.max_by(x, "t").over(each))
@@ -43,16 +43,16 @@ def low_passed(df: DataFrame, keys: list[str], cutoff: float, x: str = "x") -> D
     return rows.withColumn(x, sums).drop("_l", "_a", "_b")
 
 
-def high_passed(df: DataFrame, keys: list[str], cutoff: float, x: str = "x") -> DataFrame:
+def high_passed(df: DataFrame, keys: list[str], cutoff: float, x: str = "x", zeros: float = 51) -> DataFrame:
     """Signal less its low pass."""
-    return low_passed(df.withColumn("_x", F.col(x)), keys, cutoff, x).withColumn(x, F.col("_x") - F.col(x)).drop("_x")
+    return low_passed(df.withColumn("_x", F.col(x)), keys, cutoff, x, zeros).withColumn(x, F.col("_x") - F.col(x)).drop("_x")
 
 
-def band_passed(df: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
+def band_passed(df: DataFrame, keys: list[str], low: float, high: float, zeros: float = 51) -> DataFrame:
     """High pass at ``low``, low pass at ``high``, then the peak limit."""
     if low >= high:
         raise ValueError("low must be below high")
-    return peak_limited(low_passed(high_passed(df, keys, low), keys, high), keys)
+    return peak_limited(low_passed(high_passed(df, keys, low, zeros=zeros), keys, high, zeros=zeros), keys)
 
 
 def rate_changed(df: DataFrame, keys: list[str], old: int, new: int, zeros: int = 24, rolloff: float = 0.945) -> DataFrame:

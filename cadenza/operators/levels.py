@@ -19,9 +19,9 @@ def peak_limited(df: DataFrame, keys: list[str], most: float = 1.0) -> DataFrame
 
 
 def volume_normalised(df: DataFrame, keys: list[str], target_db: float, eps: float = 1e-8) -> DataFrame:
-    """Gain to a root mean square of ``target_db``, then the peak limit."""
-    rms = F.sqrt(F.avg(F.col("x") * F.col("x")).over(W.partitionBy(*keys)) + eps)
-    return peak_limited(df.withColumn("x", F.col("x") * 10.0 ** (target_db / 20) / F.greatest(rms, F.lit(eps))), keys)
+    """Gain to a root mean square of ``target_db`` (mean squares count as ``eps`` at least), then the peak limit."""
+    rms = F.sqrt(F.greatest(F.avg(F.col("x") * F.col("x")).over(W.partitionBy(*keys)), F.lit(eps)))
+    return peak_limited(df.withColumn("x", F.col("x") * 10.0 ** (target_db / 20) / rms), keys)
 
 
 def snr_mixed(signal: DataFrame, noise: DataFrame, keys: list[str], snr: float) -> DataFrame:

@@ -33,13 +33,21 @@ def distill_kl(student: DataFrame, teacher: DataFrame, temperature: float) -> Da
     return both.groupBy("pos").agg((F.sum(F.exp("t") * (F.col("t") - F.col("s"))) * temperature**2).alias("kl"))
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """``df`` to be broadcast; raises ValueError if it has more than ``most`` rows, of which it reads one beyond."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows, too many to send to every executor")
+    return F.broadcast(df)
+
+
 def nearest_code(frames: DataFrame, codes: DataFrame) -> DataFrame:
     """``frame, code, dot``: the code of largest cosine, the first on ties.
 
-    ``frames(frame, v)``, ``codes(code, v)``; codes are a codebook (at most 1024 rows) and are sent
-    along with the plan as a broadcast of that size.
+    ``frames(frame, v)``, ``codes(code, v)``; codes are a codebook, of 65,536 rows at most, which is
+    checked before it is broadcast as one row.
     """
     unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
+    bounded(codes, 65_536)
     book = codes.select("code", unit(F.col("v")).alias("c")).agg(F.array_sort(F.collect_list(F.struct("code", "c"))).alias("book"))
     dot = lambda b: F.round(F.aggregate(F.zip_with("u", b["c"], lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 9)
     rows = frames.select("frame", unit(F.col("v")).alias("u")).join(F.broadcast(book))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decode import unmask_by_confidence
+from .metrics import bounded
 
 
 def position_table(spark, length: int, channels: int) -> DataFrame:
@@ -55,12 +56,13 @@ def attention(rows: DataFrame) -> DataFrame:
 def residual_codes(frames: DataFrame, books: list[DataFrame]) -> DataFrame:
     """``frame, codes, residual, quantised``: each level takes the code nearest in direction and hands on the rest.
 
-    ``frames(frame, v)``; a book has ``code, c`` and at most a thousand rows or so, which is what its
-    broadcast holds. Ties go to the smaller code. One pass, no shuffle of frames.
+    ``frames(frame, v)``; a book has ``code, c`` and 65,536 rows at most, which is checked before it is
+    broadcast. Ties go to the smaller code. One pass, no shuffle of frames.
     """
     norm = lambda v: F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
     rows = frames.select("frame", F.col("v").alias("r"), F.array().cast("array<bigint>").alias("codes"), F.col("v"))
     for book in books:
+        bounded(book, 65_536)
         one = book.agg(F.array_sort(F.collect_list(F.struct("code", "c"))).alias("book"))
         near = F.array_max(F.transform("book", lambda b: F.struct(F.round(dot(F.col("r"), b["c"]) / (norm(F.col("r")) * norm(b["c"])), 9).alias("s"), (-b["code"]).alias("code"), b["c"].alias("c"))))
         rows = rows.join(F.broadcast(one)).select("frame", "v", "r", "codes", near.alias("b"))
@@ -80,6 +82,7 @@ def fast_ratios(spark, rate: int) -> DataFrame:
 
 def nearest_ratio(items: DataFrame, ratios: DataFrame) -> DataFrame:
     """``num, den`` of the ratio nearest to ``semitones`` in semitones; ties to the smaller ratio."""
+    bounded(ratios, 10_000)
     table = F.broadcast(ratios.agg(F.collect_list(F.struct("num", "den")).alias("_r")))
     far = lambda r: F.round(F.abs(12 * F.log2(r["num"] / r["den"]) - F.col("semitones")), 9)
     best = F.array_min(F.transform("_r", lambda r: F.struct(far(r).alias("far"), (r["num"] / r["den"]).alias("ratio"), r["num"].alias("num"), r["den"].alias("den"))))

@@ -28,6 +28,30 @@ def convolved(x: np.ndarray, impulse: np.ndarray) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(impulse[: len(x)], len(x)), len(x))
 
 
+def linear_convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """Full convolution, ``len(x) + len(taps) - 1`` samples."""
+    n = len(x) + len(taps) - 1
+    size = 1 << max(1, int(np.ceil(np.log2(n))))
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(taps, size), size)[:n]
+
+
+def smoothed(x: np.ndarray, alpha: float) -> np.ndarray:
+    """One-pole smoothing by frequency sampling."""
+    return frequency_sampled(x, np.array([1 - alpha]), np.array([1.0, -alpha]))
+
+
+def per_item(df: DataFrame, params: DataFrame, keys: list[str], kernel) -> DataFrame:
+    """``keys, t, y``: ``kernel`` maps a signal's samples and the parameters of its key to as many samples."""
+    kinds, names = dict(df.dtypes), [c for c in params.columns if c not in keys]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        return rows.assign(y=kernel(rows["x"].to_numpy(float), rows.iloc[0][names].to_dict()))[[*keys, "t", "y"]]
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "t"]) + ", y double"
+    return df.select(*keys, "t", "x").join(params, keys).groupBy(*keys).applyInPandas(run, schema)
+
+
 def per_signal(df: DataFrame, keys: list[str], kernel) -> DataFrame:
     """``keys, t, y`` where ``kernel`` maps the samples of a signal, in order of time, to as many."""
     kinds = dict(df.dtypes)
@@ -42,11 +66,7 @@ def per_signal(df: DataFrame, keys: list[str], kernel) -> DataFrame:
 
 def one_pole(df: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     """Smoothing ``y[t] = (1 - alpha) x[t] + alpha y[t-1]`` by frequency sampling."""
-    return per_signal(df, keys, lambda x: frequency_sampled(x, np.array([1 - alpha]), np.array([1.0, -alpha])))
-
-
-def filtered(df: DataFrame, keys: list[str], sections: list[tuple]) -> DataFrame:
-    return per_signal(df, keys, lambda x: cascade(x, sections))
+    return per_signal(df, keys, lambda x: smoothed(x, alpha))
 
 
 def fft_convolve(df: DataFrame, keys: list[str], taps: list[float]) -> DataFrame:

@@ -36,7 +36,7 @@ def r6(c, name: str):
 
 SIGNALS = "sg AS (SELECT user_id AS signal_id, event_type AS channel, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS t, value AS x FROM events)"
 LOGITS = "lg AS (SELECT vec_id AS pos, label AS target, (vec_id % 9)::INT AS codebook, (i - 1)::INT AS cls, round(embedding[i]::DOUBLE * 8, 6) AS logit FROM embeddings, range(1, 65) r(i))"
-GRID = "gr AS (SELECT c_custkey AS item, k.k::INT AS codebook, f.f::INT AS frame FROM customer, range(9) k(k), range(100) f(f) WHERE c_custkey < 50)"
+GRID = "gr AS (SELECT c_custkey AS item, k.k::INT AS codebook, f.f::INT AS frame FROM customer, range(9) k(k), range(100) f(f))"
 ITEM_GRID = "mg AS (SELECT t.event_type AS item, m.m AS mel, h.h::INT AS frame, coalesce(e, 0.0) AS e FROM (SELECT DISTINCT event_type FROM events) t, (SELECT DISTINCT user_id % 40 AS m FROM events) m, range(720) h(h) LEFT JOIN (SELECT event_type, user_id % 40 AS mel, floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 3600)::INT AS frame, round(sum(value), 6) AS e FROM events GROUP BY ALL) s ON s.event_type = t.event_type AND s.mel = m.m AND s.frame = h.h)"
 
 
@@ -51,8 +51,8 @@ def mel_grid(spark, sf_dir) -> DataFrame:
   m AS (SELECT item, mel, round(avg(e), 6)::DECIMAL(38,6) AS m FROM c GROUP BY ALL),
   u AS (SELECT *, sum(m) OVER (PARTITION BY item ORDER BY mel) - m AS before, sum(m) OVER (PARTITION BY item) AS total FROM m),
   b AS (SELECT item, mel, CASE WHEN before * 2 >= total THEN 1 ELSE 0 END AS band FROM u),
-  x AS (SELECT item, band, frame, sum(e::DECIMAL(38,9))::DOUBLE AS x FROM c JOIN b USING (item, mel) GROUP BY ALL),
-  ref AS (SELECT * FROM x),
+  s AS (SELECT item, band, frame, sum(e::DECIMAL(38,9))::DOUBLE AS x FROM c JOIN b USING (item, mel) GROUP BY ALL),
+  x AS (SELECT g.item, r.r::INT AS band, g.frame, coalesce(s.x, 0.0) AS x FROM (SELECT DISTINCT item, frame FROM c) g CROSS JOIN range(2) r(r) LEFT JOIN s ON s.item = g.item AND s.band = r.r AND s.frame = g.frame),
   a1 AS (SELECT p.item, p.band, p.frame, round(any_value(p.x) - sum(q.x) / 7, 9) AS d FROM x p, range(-3, 4) o(o), x q
      WHERE p.item = q.item AND p.band = q.band AND q.frame = CASE WHEN p.frame + o < 0 THEN -(p.frame + o) WHEN p.frame + o > 719 THEN 1438 - (p.frame + o) ELSE p.frame + o END GROUP BY ALL),
   t AS (SELECT item, band, frame, greatest(d, 0.0) AS x FROM a1),
@@ -105,8 +105,7 @@ def anti_missing(spark, sf_dir):
 def tag_filter(spark, sf_dir):
     part = load(spark, sf_dir, "part").select("p_partkey", "p_name")
     wanted = part.agg(F.substring(F.min("p_name"), 1, 3).alias("wanted"))  # one row
-    name = F.lower("p_name")
-    return part.join(F.broadcast(wanted)).filter(F.exists(F.split(name, " "), lambda t: F.contains(t, F.col("wanted"))) & ~F.exists(F.split(name, " "), lambda t: t.rlike("guitar|vocal|piano"))).select("p_partkey", "p_name")
+    return part.join(F.broadcast(wanted)).filter(manifest.tag_filter(F.col("p_name"), F.col("wanted"), ["guitar", "vocal", "piano"])).select("p_partkey", "p_name")
 
 
 @query("SELECT page_id, regexp_extract(list_last(string_split(url, '/')), '[0-9]+') AS id FROM pages WHERE regexp_matches(list_last(string_split(url, '/')), '[0-9]+')")

@@ -28,18 +28,18 @@ def hz_quantise(spark, sf_dir):
 
 @query(f"WITH {SIGNALS}, {_low_pass_sql('lp', 'sg', 0.25)} SELECT signal_id, t, round(y, 6) AS x FROM lp")
 def low_pass(spark, sf_dir):
-    return filters.low_passed(signals(spark, sf_dir), KEY, 0.25).select("signal_id", "t", r6("x", "x"))
+    return filters.low_passed(signals(spark, sf_dir), KEY, 0.25, zeros=8).select("signal_id", "t", r6("x", "x"))
 
 
 @query(f"WITH {SIGNALS}, {_low_pass_sql('lp', 'sg', 0.1)} SELECT signal_id, t, round(x - y, 6) AS x FROM lp")
 def high_pass(spark, sf_dir):
-    return filters.high_passed(signals(spark, sf_dir), KEY, 0.1).select("signal_id", "t", r6("x", "x"))
+    return filters.high_passed(signals(spark, sf_dir), KEY, 0.1, zeros=8).select("signal_id", "t", r6("x", "x"))
 
 
 @query(f"""WITH {SIGNALS}, {_low_pass_sql('lo', 'sg', 0.1)}, h AS (SELECT signal_id, t, x - y AS x FROM lo), {_low_pass_sql('hi', 'h', 0.4)},
   p AS (SELECT *, max(abs(y)) OVER (PARTITION BY signal_id) AS p FROM hi) SELECT signal_id, t, round(CASE WHEN p > 1 THEN y / p ELSE y END, 6) AS x FROM p""")
 def band_pass(spark, sf_dir):
-    return filters.band_passed(signals(spark, sf_dir), KEY, 0.1, 0.4).select("signal_id", "t", r6("x", "x"))
+    return filters.band_passed(signals(spark, sf_dir), KEY, 0.1, 0.4, zeros=8).select("signal_id", "t", r6("x", "x"))
 
 
 @query(f"""WITH {SIGNALS}, n AS (SELECT signal_id, count(*) AS n FROM sg GROUP BY 1), o AS (SELECT signal_id, n, unnest(range(n * 2 // 3)) AS t FROM n),

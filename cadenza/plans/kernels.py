@@ -22,7 +22,7 @@ def channel_downmix(spark, sf_dir):
     return levels.downmix(c, KEY).select("signal_id", "t", r6("x", "x"))
 
 
-@query(f"""WITH {SIGNALS}, v AS (SELECT signal_id, t, x * 0.15848931924611134::DOUBLE / greatest(sqrt(avg(x * x) OVER (PARTITION BY signal_id) + 1e-8), 1e-8) AS x FROM sg),
+@query(f"""WITH {SIGNALS}, v AS (SELECT signal_id, t, x * 0.15848931924611134::DOUBLE / sqrt(greatest(avg(x * x) OVER (PARTITION BY signal_id), 1e-8)) AS x FROM sg),
   p AS (SELECT *, max(abs(x)) OVER (PARTITION BY signal_id) AS p FROM v) SELECT signal_id, t, round(CASE WHEN p > 1 THEN x / p ELSE x END, 6) AS x FROM p""")
 def volume_norm(spark, sf_dir):
     return levels.volume_normalised(signals(spark, sf_dir), KEY, -16.0).select("signal_id", "t", r6("x", "x"))
@@ -140,7 +140,7 @@ def residual_vq(spark, sf_dir):
     return got.select("frame", F.col("codes")[0].alias("one"), F.col("codes")[1].alias("two"), r6(network.dot(F.col("residual"), F.col("residual")), "error"))
 
 
-@query(f"WITH {VEC} SELECT l_orderkey AS item, l_linenumber AS line, l_partkey % 1024 AS code, round(list_sum(coalesce(v, [0.0::DOUBLE])), 6) AS total FROM lineitem LEFT JOIN ev ON ev.vec_id = l_partkey % 1024 WHERE l_linenumber = 1")
+@query(f"WITH {VEC} SELECT l_orderkey AS item, l_linenumber AS line, l_partkey % 1024 AS code, round(list_sum(coalesce(v, [0.0::DOUBLE])), 6) AS total FROM lineitem LEFT JOIN ev ON ev.vec_id = l_partkey % 1024")
 def code_lookup(spark, sf_dir):
     rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 1024).alias("code"))
     book = _vectors(spark, sf_dir).filter("vec_id < 1024")  # a codebook: 1024 rows at most

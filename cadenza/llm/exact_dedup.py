@@ -83,8 +83,8 @@ def exact_dedup(
     counts = {r[0]: r[1] for r in entries.groupBy(prefix).count().collect()}
     capacity = max(capacity, sum(counts.values()) >> (max_depth - 2))
     depth, cells = split_directory(counts, capacity, max_depth)
-    spark = docs.sparkSession
-    directory = stored(spark.createDataFrame(list(enumerate(cells)), "_cell int, _bucket int").coalesce(1), "dedup-directory")
+    listed = docs.sparkSession.range(1, numPartitions=1).select(F.from_json(F.lit(str(cells)), "array<int>").alias("cells"))
+    directory = stored(listed.select(F.posexplode("cells").alias("_cell", "_bucket")), "dedup-directory")
 
     def dealt(df: DataFrame) -> DataFrame:
         cell = F.shiftrightunsigned(F.col("_h"), 64 - depth).cast("int") if depth else F.lit(0)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, mixing, ngram_join, packing, sharding, toxicity, url_filter, warc
-from .common import table
+from . import ann, chat, exact_dedup, mixing, ngram_join, packing, runs, sharding, toxicity, url_filter, warc
+from .common import WORD, table
 
 
 def held_out() -> Column:
@@ -78,7 +78,36 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"), 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_ngram_jaccard, op5_source_mix, op6_nn_descent, op7_packing, op8_url_filter, op9_preferences, op10_kd_shards)}
+def looped(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)``; in a tenth of them, by crc32 of the id, the words after a place go round with a period that it decides.
+
+    A null id has no crc32 and leaves its text as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def turned(words: Column) -> Column:
+        n = F.size(words)
+        a = F.when(n > 0, g % n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: words[at(i)]), " ")).otherwise("")
+
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
+    return docs.select("doc_id", F.when(h % 10 == 0, F.transform(F.array(words), turned)[0]).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(looped(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+    period = -F.col("best.period")
+    return found.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), period.alias("period"), F.floor(1000 * F.col("best.length") / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_ngram_jaccard, op5_source_mix, op6_nn_descent, op7_packing, op8_url_filter, op9_preferences, op10_kd_shards, op13_periodic_runs)}
 
 ORACLES = {
     "op1_exact_dedup": r"""

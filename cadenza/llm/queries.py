@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, mixing, ngram_join, packing, runs, sharding, toxicity, url_filter, warc
+from . import ann, chat, exact_dedup, minhash, mixing, ngram_join, packing, runs, sharding, toxicity, url_filter, warc
 from .common import WORD, table
 
 
@@ -78,6 +78,10 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"), 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def looped(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)``; in a tenth of them, by crc32 of the id, the words after a place go round with a period that it decides.
 
@@ -107,7 +111,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), period.alias("period"), F.floor(1000 * F.col("best.length") / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_ngram_jaccard, op5_source_mix, op6_nn_descent, op7_packing, op8_url_filter, op9_preferences, op10_kd_shards, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_ngram_jaccard, op5_source_mix, op6_nn_descent, op7_packing, op8_url_filter, op9_preferences, op10_kd_shards, op12_minhash_bayes, op13_periodic_runs)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
@@ -182,3 +186,6 @@ ORACLES = {
           coalesce(string_agg((zb - length(b) + length(role) + 5)::BIGINT || '-' || (zb - 1)::BIGINT, ',' ORDER BY i) FILTER (WHERE tail AND role = 'assistant'), '') AS rejected_spans
         FROM z GROUP BY conv_id""",
 }
+
+# the same rule with another threshold, and whether a row is the one that stays
+ORACLES["op12_minhash_bayes"] = ORACLES["op4_ngram_jaccard"].replace("100 * c >= 90 *", "100 * c >= 85 *").replace("c.component_id FROM", "c.component_id, d.doc_id = c.component_id AS kept FROM")

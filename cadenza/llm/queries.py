@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, minhash, mixing, ngram_join, packing, runs, sharding, toxicity, url_filter, warc
+from . import ann, chat, exact_dedup, minhash, mixing, ngram_join, packing, repair, runs, sharding, toxicity, url_filter, warc
 from .common import WORD, table
 
 
@@ -78,6 +78,25 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"), 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text`` of conversations with faults that crc32 of ``conv_id:turn`` decides."""
+    one_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.concat(one_space("conv_id"), F.lit(":"), one_space("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", one_space("role").alias("role"), one_space("text").alias("text"), h.alias("h")).filter("h <> 0")
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("h") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    conversations, repaired = repair.repairs(damaged(turns))
+    every = turns.select("conv_id").distinct().withColumn("thread", repair.thread_of(F.col("conv_id")))
+    found = every.join(conversations.drop("conv_id"), "thread", "left").join(repair.digests(repaired), "thread", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op12_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
@@ -111,7 +130,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), period.alias("period"), F.floor(1000 * F.col("best.length") / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_ngram_jaccard, op5_source_mix, op6_nn_descent, op7_packing, op8_url_filter, op9_preferences, op10_kd_shards, op12_minhash_bayes, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_toxicity, op4_ngram_jaccard, op5_source_mix, op6_nn_descent, op7_packing, op8_url_filter, op9_preferences, op10_kd_shards, op11_repair, op12_minhash_bayes, op13_periodic_runs)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
@@ -189,3 +208,43 @@ ORACLES = {
 
 # the same rule with another threshold, and whether a row is the one that stays
 ORACLES["op12_minhash_bayes"] = ORACLES["op4_ngram_jaccard"].replace("100 * c >= 90 *", "100 * c >= 85 *").replace("c.component_id FROM", "c.component_id, d.doc_id = c.component_id AS kept FROM")
+
+
+def _repair_sql() -> str:
+    """Forward over the turns of each conversation, with the least (cost, audit, text) of every grammar state."""
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    more = lambda s, cost, letter, line: f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'z': {s}.z || {line}}} END"
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    inserted2 = least("s2", *(more(s, 3, "I", user) for s in ("s0", "s1", "s3")))
+    inserted3 = least("s3", more("s2", 3, "I", assistant), *(more(s, 6, "II", f"{user} || {assistant}") for s in ("s0", "s1")))
+    cut = "CASE WHEN fault = 't' THEN 3 ELSE 0 END"
+    gone = lambda s: more(s, 4, "D", "''")
+    keep = lambda s, letter: f"CASE WHEN fault IN ('', 't') AND initial = '{letter}' THEN {more(s, cut, 'K', "chr(10) || role || ':' || text")} END"
+    turn = lambda s, role: f"CASE WHEN fault IN ('', 't') THEN {more(s, f'3 + {cut}', 'R', f"{role} || text")} END"
+    return rf"""
+        WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(conv_id::VARCHAR, ' ') AS cs, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(turn::VARCHAR, ' ') AS ts FROM conversations),
+        c AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(cs || ':' || ts, ''), lambda x: ord(x)::BIGINT)),
+            lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 20 AS h FROM k),
+        d AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN '-' ELSE '+' || cs END AS thread, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+            CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM c WHERE h <> 0),
+        e AS (SELECT *, left(role, 1) AS initial, regexp_extract(text, '([^ 	-
+])[ 	-
+]*\z', 1) AS fin, length(thread) || ':' || thread || length(role) || ':' || role || text AS said FROM d),
+        r AS (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY turn NULLS FIRST, encode(role), sha256(said), copy) AS i FROM e),
+        m AS (SELECT *, row_number() OVER (PARTITION BY thread, role, text ORDER BY i) AS nth FROM r),
+        f AS (SELECT *, CASE WHEN fin = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN fin NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+            lag(initial) OVER (PARTITION BY thread ORDER BY i) || initial AS pair FROM m),
+        n AS (SELECT thread, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(fault = 'b')::BIGINT AS blank, count_if(fault = 'd')::BIGINT AS duplicate,
+            count_if(fault = 't')::BIGINT AS truncated, count_if(pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(i) AS turns FROM f GROUP BY thread),
+        w AS (SELECT thread, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'z': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, z VARCHAR) AS s1, NULL::STRUCT(c BIGINT, a VARCHAR, z VARCHAR) AS s2, NULL::STRUCT(c BIGINT, a VARCHAR, z VARCHAR) AS s3 FROM n
+            UNION ALL SELECT thread, i, {gone("s0")}, {least(gone("s1"), keep("s0", "s"))},
+                {least(gone("s2"), *(keep(s, "u") for s in ("s0", "s1", "s3")), *(turn(s, "chr(10) || 'user:'") for s in ("s0", "s1", "s3")))},
+                {least(gone("s3"), keep("s2", "a"), turn("s2", "chr(10) || 'assistant:'"))}
+            FROM (SELECT thread, f.i, role, text, initial, fault, s0, s1, {inserted2} AS s2, {inserted3} AS s3 FROM w JOIN f USING (thread) WHERE f.i = w.i + 1)),
+        a AS (SELECT thread, {least("s0", inserted3)} AS x FROM w JOIN n USING (thread) WHERE w.i = n.turns)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+          coalesce(x.c, 0) AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(substr(x.z, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, CASE WHEN conv_id IS NULL THEN '-' ELSE '+' || conv_id END AS thread FROM conversations) o LEFT JOIN n USING (thread) LEFT JOIN a USING (thread)"""
+
+
+ORACLES["op11_repair"] = _repair_sql()

@@ -56,18 +56,30 @@ def band_passed(df: DataFrame, keys: list[str], low: float, high: float, zeros:
 
 
 def rate_changed(df: DataFrame, keys: list[str], old: int, new: int, zeros: int = 24, rolloff: float = 0.945) -> DataFrame:
-    """``keys, t, x`` at rate ``new`` instead of ``old``, by windowed-sinc interpolation; ends are held.
+    """``keys, t, x`` at rate ``new`` instead of ``old``, as in ``rate_changed_by``; equal rates leave the signal."""
+    if old == new:
+        return df.select(*keys, "t", "x")
+    return _resampled(df, df.groupBy(*keys).agg(F.count("*").alias("_n")), keys, F.lit(old), F.lit(new), zeros, rolloff)
+
+
+def rate_changed_by(df: DataFrame, rates: DataFrame, keys: list[str], zeros: int = 24, rolloff: float = 0.945) -> DataFrame:
+    """``keys, t, x`` at rate ``new`` instead of ``old`` of ``rates(keys, old, new)``, by windowed-sinc interpolation; ends are held.
 
     A signal of n samples gets n * new // old. The sinc has ``zeros`` crossings on either side under
     a squared cosine, and its weights add up to 1 at each output. Equal rates leave the signal. Work
     is the outputs times the crossings; rows meet on ``keys, t``, so a long signal spreads.
     """
-    if old == new:
-        return df.select(*keys, "t", "x")
-    band = min(old, new) * rolloff
-    reach = zeros * old / band
-    place = F.col("_t") * F.lit(old) / F.lit(new)
-    slots = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.floor(F.col("_n") * new / old) > 0)
+    both = df.select(*keys, "t", "x").join(rates.select(*keys, "old", "new"), keys)
+    slots = both.filter("old <> new").groupBy(*keys, "old", "new").agg(F.count("*").alias("_n"))
+    moved = _resampled(df, slots, keys, F.col("old"), F.col("new"), zeros, rolloff)
+    return both.filter("old = new").select(*keys, F.col("t").cast("int").alias("t"), "x").unionByName(moved)
+
+
+def _resampled(df: DataFrame, slots: DataFrame, keys: list[str], old: Column, new: Column, zeros: int, rolloff: float) -> DataFrame:
+    """Outputs of signals of ``_n`` samples; ``slots`` has a row for each signal."""
+    band = F.least(old, new) * rolloff
+    place, reach = F.col("_t") * old / new, zeros * old / band
+    slots = slots.filter(F.floor(F.col("_n") * new / old) > 0)
     slots = slots.select("*", F.explode(F.sequence(F.lit(0), (F.floor(F.col("_n") * new / old) - 1).cast("int"))).alias("_t"))
     slots = slots.select("*", F.explode(F.sequence(F.ceil(place - reach).cast("int"), F.floor(place + reach).cast("int"))).alias("_i"))
     a = (F.col("_i") - place) * (math.pi * band / old)

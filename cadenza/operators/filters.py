@@ -1,13 +1,14 @@
 """Windowed-sinc filters of signals in long layout ``keys, t, x``; cutoffs are shares of the sample rate."""
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
 from .levels import peak_limited, snr_mixed
+from .scan import weighted
 
 
 def hz_quantised(hz: Column, step: float) -> Column:
@@ -15,44 +16,67 @@ def hz_quantised(hz: Column, step: float) -> Column:
     return hz if step <= 0 else F.rint(hz / step) * step
 
 
+@functools.lru_cache(64)
 def sinc_taps(cutoff: float, zeros: float = 51) -> list[float]:
     """Low-pass taps: a sinc with ``zeros`` zero crossings under a Hann window, with sum 1."""
-    half = int(zeros / cutoff / 2)
+    half = reach(cutoff, zeros)
     at = [2 * math.pi * cutoff * k for k in range(-half, half + 1)]
     taps = [(math.sin(a) / a if a else 1.0) * (0.5 + 0.5 * math.cos(math.pi * k / half) if half else 1.0) for a, k in zip(at, range(-half, half + 1), strict=True)]
-    return [w / sum(taps) for w in taps]
+    total = sum(taps)
+    return [w / total for w in taps]
 
 
-def low_passed(df: DataFrame, keys: list[str], cutoff: float, x: str = "x", zeros: float = 51) -> DataFrame:
-    """Signal without what lies above ``cutoff``, held to [0, 1/2]; 0 leaves nothing. Ends are held.
+def reach(cutoff: float, zeros: float) -> int:
+    return int(zeros / cutoff / 2)
 
-    ``t`` counts from 0 without gaps. One window of as many rows as taps: one shuffle, by ``keys``.
+
+def low_passed(df: DataFrame, keys: list[str], cutoff: float, zeros: float = 51) -> DataFrame:
+    """``keys, t, x`` without what lies above ``cutoff``, held to [0, 1/2]; 0 leaves nothing. Ends are held.
+
+    ``t`` counts from 0 without gaps. Work goes by blocks of samples, by way of their spectra.
     """
+    return _passed(df, keys, cutoff, zeros).select(*keys, "t", F.col("y").alias("x"))
+
+
+def high_passed(df: DataFrame, keys: list[str], cutoff: float, zeros: float = 51) -> DataFrame:
+    """Signal less its low pass."""
+    return _passed(df, keys, cutoff, zeros).select(*keys, "t", (F.col("x") - F.col("y")).alias("x"))
+
+
+def _passed(df: DataFrame, keys: list[str], cutoff: float, zeros: float) -> DataFrame:
     cutoff = min(max(cutoff, 0.0), 0.5)
     if cutoff == 0:
-        return df.withColumn(x, F.lit(0.0))
-    taps = sinc_taps(cutoff, zeros)
-    half = len(taps) // 2
-    each, near = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("t").rowsBetween(-half, half)
-    rows = df.withColumn("_l", F.collect_list(x).over(near)).withColumn("_a", F.min_by(x, "t").over(each)).withColumn("_b", F.max_by(x, "t").over(each))
-    # what the ends hold: the samples that lack on either side
-    before = F.greatest(half - F.col("t"), F.lit(0)).cast("int")
-    after = F.lit(len(taps)) - before - F.size("_l")
-    full = F.concat(F.array_repeat("_a", before), "_l", F.array_repeat("_b", after))
-    sums = F.aggregate(F.zip_with(full, F.array(*map(F.lit, taps)), lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
-    return rows.withColumn(x, sums).drop("_l", "_a", "_b")
-
-
-def high_passed(df: DataFrame, keys: list[str], cutoff: float, x: str = "x", zeros: float = 51) -> DataFrame:
-    """Signal less its low pass."""
-    return low_passed(df.withColumn("_x", F.col(x)), keys, cutoff, x, zeros).withColumn(x, F.col("_x") - F.col(x)).drop("_x")
+        return df.select(*keys, "t", "x", F.lit(0.0).alias("y"))
+    half = reach(cutoff, zeros)
+    return weighted(df, (half, half), keys, lambda row: sinc_taps(cutoff, zeros))
+
+
+def passed(df: DataFrame, params: DataFrame, keys: list[str], zeros: float = 51) -> DataFrame:
+    """``keys, t, x, y``: the signal and its low pass at ``cutoff`` of each key, as in ``low_passed``."""
+    cutoff = F.least(F.greatest(F.col("cutoff").cast("double"), F.lit(0.0)), F.lit(0.5))
+    half = F.when(F.col("cutoff") > 0, (F.lit(float(zeros)) / F.col("cutoff") / 2).cast("long")).otherwise(0)
+    held = params.select(*keys, cutoff.alias("cutoff")).select(*keys, "cutoff", half.alias("before"), half.alias("after"))
+    return weighted(df, held, keys, lambda row: sinc_taps(row["cutoff"], zeros) if row["cutoff"] else [0.0])
 
 
 def band_passed(df: DataFrame, keys: list[str], low: float, high: float, zeros: float = 51) -> DataFrame:
     """High pass at ``low``, low pass at ``high``, then the peak limit."""
+    in_order(low, high)
+    return peak_limited(low_passed(high_passed(df, keys, low, zeros), keys, high, zeros), keys)
+
+
+def bands_passed(df: DataFrame, params: DataFrame, keys: list[str], zeros: float = 51) -> DataFrame:
+    """``band_passed`` at ``low, high`` of each key; a pair out of order is an error."""
+    wrong = F.raise_error(F.lit("low must be below high")).cast("double")
+    cut = lambda c: params.select(*keys, F.when(F.col("low") < F.col("high"), F.col(c)).otherwise(wrong).alias("cutoff"))
+    high = passed(df, cut("low"), keys, zeros).select(*keys, "t", (F.col("x") - F.col("y")).alias("x"))
+    return peak_limited(passed(high, cut("high"), keys, zeros).select(*keys, "t", F.col("y").alias("x")), keys)
+
+
+def in_order(low: float, high: float) -> None:
+    """A range's ends; ValueError unless the first is the smaller."""
     if low >= high:
         raise ValueError("low must be below high")
-    return peak_limited(low_passed(high_passed(df, keys, low, zeros=zeros), keys, high, zeros=zeros), keys)
 
 
 def rate_changed(df: DataFrame, keys: list[str], old: int, new: int, zeros: int = 24, rolloff: float = 0.945) -> DataFrame:

@@ -3,15 +3,15 @@
 import itertools
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rng import gumbel, uniform
-from . import spectral
+from . import filters
 from .decode import softmax, top_k, top_p
 from .levels import peak_limited
+from .scan import filtered, one_pole_sections, weighted
 
 
 def long_and_fast(rows: DataFrame, seconds: float, rate: int) -> DataFrame:
@@ -355,51 +355,44 @@ def rotary(v: Column, pos: Column, base: float = 10000.0) -> Column:
     return F.transform(v, turned)
 
 
-# dynamics, responses: a signal's samples are one group, as its filters are of its whole length
+# dynamics, filters, responses
 
 
-def compressed(df: DataFrame, params: DataFrame, keys: list[str], rate: float, lookahead: int = 0) -> DataFrame:
-    """``keys, t, y``: a feed-forward compressor of one channel, by parameters of each key.
+def compressor_gains(listen: DataFrame, params: DataFrame, keys: list[str], rate: float, lookahead: int = 0) -> DataFrame:
+    """``keys, t, gain`` of a feed-forward compressor that listens to one channel, by parameters of each key.
 
     ``threshold_db, ratio, attack_ms, release_ms, knee_db, makeup_db``. The level in dB goes through the
     soft-knee curve; its gain is smoothed over the attack time in dB, made up and smoothed over the
     release time in linear scale, of which the smaller counts; the last ``lookahead`` gains are 1.
     """
-
-    def kernel(x: np.ndarray, p: dict) -> np.ndarray:
-        level = 20 * np.log10(np.maximum(np.abs(x), 1e-8))
-        over, knee = level - p["threshold_db"], max(p["knee_db"], 0.0)
-        out = np.where(2 * over > knee, p["threshold_db"] + over / p["ratio"], level)
-        if knee > 0:
-            out = np.where(2 * np.abs(over) <= knee, level + (1 / p["ratio"] - 1) * (over + knee / 2) ** 2 / (2 * knee), out)
-        smooth = lambda g, ms: spectral.smoothed(g, float(np.exp(-np.log(9) / (rate * ms / 1000))))
-        gain = 10 ** ((smooth(out - level, p["attack_ms"]) + p["makeup_db"]) / 20)
-        gain = np.minimum(gain, smooth(gain, p["release_ms"]))
-        if lookahead > 0:
-            gain = np.concatenate([gain[lookahead:], np.ones(min(lookahead, len(gain)))])
-        return x * gain
-
-    return spectral.per_item(df, params, keys, kernel)
+    p = F.col
+    level = 20 * F.log10(F.greatest(F.abs("x"), F.lit(1e-8)))
+    over, knee = p("_l") - p("threshold_db"), F.greatest(p("knee_db"), F.lit(0.0))
+    bent = p("_l") + (1 / p("ratio") - 1) * F.pow(over + knee / 2, 2) / (2 * knee)
+    out = F.when((knee > 0) & (2 * F.abs(over) <= knee), bent).when(2 * over > knee, p("threshold_db") + over / p("ratio")).otherwise(p("_l"))
+    pole = lambda ms: params.select(*keys, one_pole_sections(F.exp(F.lit(-math.log(9)) / (F.lit(float(rate)) * p(ms) / 1000))).alias("sections"))
+    cut = with_params(listen.select(*keys, "t", level.alias("_l")), params, keys).select(*keys, "t", (out - p("_l")).alias("x"))
+    attack = filtered(cut, pole("attack_ms"), keys).join(params.select(*keys, "makeup_db"), keys)
+    gains = attack.select(*keys, "t", F.pow(F.lit(10.0), (p("y") + p("makeup_db")) / 20).alias("x"))
+    released = filtered(gains, pole("release_ms"), keys)
+    return released.select(*keys, (p("t") - lookahead).alias("t"), F.least("x", "y").alias("gain"))
+
+
+def compressed(df: DataFrame, params: DataFrame, keys: list[str], rate: float, lookahead: int = 0, listen: DataFrame | None = None) -> DataFrame:
+    """``y``: signals, of any number of channels, times the gains that ``listen`` gives (``side_chain``, or another signal).
+
+    Without ``listen`` the signal has one channel. Parameters are as in ``compressor_gains``.
+    """
+    gains = compressor_gains(df if listen is None else listen, params, keys, rate, lookahead)
+    return df.join(gains, [*keys, "t"], "left").withColumn("y", F.col("x") * F.coalesce("gain", F.lit(1.0))).drop("gain", "x")
 
 
 def passed(df: DataFrame, params: DataFrame, keys: list[str], kind: str, zeros: int = 51) -> DataFrame:
     """``keys, t, y``: low or high pass at ``cutoff``, a share of the rate held to [0, 1/2], of each key; ends are held."""
     if kind not in ("low", "high"):
         raise ValueError(f"unknown kind {kind}")
-
-    def kernel(x: np.ndarray, p: dict) -> np.ndarray:
-        from .filters import sinc_taps
-
-        cutoff = min(max(p["cutoff"], 0.0), 0.5)
-        if cutoff:
-            taps = np.array(sinc_taps(cutoff, zeros))
-            half = len(taps) // 2
-            low = spectral.linear_convolved(np.pad(x, half, mode="edge"), taps)[2 * half : 2 * half + len(x)]
-        else:
-            low = np.zeros(len(x))
-        return low if kind == "low" else x - low
-
-    return spectral.per_item(df, params, keys, kernel)
+    rows = filters.passed(df, params, keys, zeros)
+    return rows.select(*keys, "t", ("y" if kind == "low" else (F.col("x") - F.col("y")).alias("y")))
 
 
 def equalised(df: DataFrame, params: DataFrame, keys: list[str], rate: float, bands: list[tuple[str, str]]) -> DataFrame:
@@ -411,8 +404,9 @@ def equalised(df: DataFrame, params: DataFrame, keys: list[str], rate: float, ba
     from .network import biquad
 
     hz = lambda c: F.least(F.greatest(F.col(c), F.lit(1.0)), F.lit(0.999 * rate / 2))
-    sections = F.array(*[biquad(kind, F.col(f"{n}_db"), hz(f"{n}_hz"), F.col(f"{n}_q"), rate) for kind, n in bands])
-    return spectral.per_item(df, params.select(*keys, sections.alias("sections")), keys, lambda x, p: spectral.cascade(x, [tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in p["sections"]]))
+    flat = lambda s: F.array(*[s[n] for n in ("b0", "b1", "b2", "a1", "a2")])
+    sections = F.array(*[flat(biquad(kind, F.col(f"{n}_db"), hz(f"{n}_hz"), F.col(f"{n}_q"), rate)) for kind, n in bands])
+    return filtered(df, params.select(*keys, sections.alias("sections")), keys).select(*keys, "t", "y")
 
 
 def responded(df: DataFrame, responses: DataFrame, keys: list[str], from_peak: bool = True, keep_peak: bool = True) -> DataFrame:
@@ -421,17 +415,18 @@ def responded(df: DataFrame, responses: DataFrame, keys: list[str], from_peak: b
     The response is cut or filled to the signal's length and turned so that its peak comes first; the
     circular convolution is divided by the response's peak, and brought to the signal's own if ``keep_peak``.
     """
-
-    def kernel(x: np.ndarray, p: dict) -> np.ndarray:
-        ir = np.zeros(len(x))
-        given = np.asarray(p["ir"], float)[: len(x)]
-        ir[: len(given)] = given
-        if from_peak and len(ir):
-            ir = np.roll(ir, -int(np.argmax(np.abs(ir))))
-        y = spectral.convolved(x, ir) / max(np.abs(ir).max(initial=0.0), 1e-5)
-        return y * max(np.abs(x).max(initial=0.0), 1e-8) / max(np.abs(y).max(initial=0.0), 1e-8) if keep_peak else y
-
-    return spectral.per_item(df, responses, keys, kernel)
+    lengths = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    cut = responses.select(*keys, "ir").join(lengths, keys).select(*keys, F.slice("ir", F.lit(1), F.least(F.col("_n"), F.size("ir").cast("long")).cast("int")).cast("array<double>").alias("ir"))
+    cut = cut.withColumn("ir", F.when(F.size("ir") > 0, F.col("ir")).otherwise(F.array(F.lit(0.0))))
+    loud = F.transform("ir", lambda v: F.abs(v))
+    peak = (F.array_position(loud, F.array_max(loud)) - 1) if from_peak else F.lit(0).cast("long")
+    params = cut.select(*keys, F.reverse("ir").alias("ir"), peak.alias("after"), (F.size("ir") - 1 - peak).alias("before"), F.array_max(loud).alias("_h"))
+    y = weighted(df, params.drop("_h"), keys, lambda row: row["ir"], ends="ring")
+    y = y.join(params.select(*keys, "_h"), keys).withColumn("y", F.col("y") / F.greatest("_h", F.lit(1e-5)))
+    if keep_peak:
+        top = lambda c: F.greatest(F.max(F.abs(c)), F.lit(1e-8))
+        y = y.join(y.groupBy(*keys).agg((top("x") / top("y")).alias("_g")), keys).withColumn("y", F.col("y") * F.col("_g"))
+    return y.select(*keys, "t", "y")
 
 
 def noise_response(params: DataFrame, keys: list[str], rate: float, seed: int) -> DataFrame:
@@ -439,11 +434,9 @@ def noise_response(params: DataFrame, keys: list[str], rate: float, seed: int) -
 
     ``params`` has ``duration, attack, decay`` in seconds and ``wet`` for each key. The dry part is the first sample.
     """
-    from .filters import gaussian
-
     t = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("duration") * rate).cast("int") - 1, F.lit(0)))).alias("t")
     rows = params.select("*", t)
     s = F.col("t") / rate
     envelope = F.when(F.col("attack") > 0, F.least(F.lit(1.0), s / F.col("attack"))).otherwise(1.0) * F.exp(-s / F.col("decay"))
-    x = F.col("wet") * gaussian(seed, *map(F.col, keys), F.col("t")) * envelope + F.when(F.col("t") == 0, 1 - F.col("wet")).otherwise(0.0)
+    x = F.col("wet") * filters.gaussian(seed, *map(F.col, keys), F.col("t")) * envelope + F.when(F.col("t") == 0, 1 - F.col("wet")).otherwise(0.0)
     return rows.select(*keys, "t", x.alias("x")).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda e: e["x"]).alias("ir"))

@@ -1,73 +1,16 @@
-"""Kernels that need a Fourier transform: one group of rows per signal, in NumPy.
+"""Smoothing and circular convolution of signals ``keys, t, x``, all with the same numbers."""
 
-Signals arrive whole (``applyInPandas``), so a task's memory is bounded by the longest signal.
-"""
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-
-def frequency_sampled(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Recursive filter ``b / a`` by its sampled response, zero-padded to a power of two."""
-    n = 1 << max(1, int(np.ceil(np.log2(max(2 * len(x) - 1, 1)))))
-    return np.fft.irfft(np.fft.rfft(x, n) * (np.fft.rfft(b, n) / np.fft.rfft(a, n)), n)[: len(x)]
-
-
-def cascade(x: np.ndarray, sections: list[tuple]) -> np.ndarray:
-    """Product of the responses of second-order sections (b0, b1, b2, a1, a2)."""
-    n = 1 << max(1, int(np.ceil(np.log2(max(2 * len(x) - 1, 1)))))
-    response = np.ones(n // 2 + 1, complex)
-    for b0, b1, b2, a1, a2 in sections:
-        response *= np.fft.rfft([b0, b1, b2], n) / np.fft.rfft([1.0, a1, a2], n)
-    return np.fft.irfft(np.fft.rfft(x, n) * response, n)[: len(x)]
-
-
-def convolved(x: np.ndarray, impulse: np.ndarray) -> np.ndarray:
-    """Circular convolution at the signal's length, the response cut or padded to it."""
-    return np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(impulse[: len(x)], len(x)), len(x))
-
-
-def linear_convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    """Full convolution, ``len(x) + len(taps) - 1`` samples."""
-    n = len(x) + len(taps) - 1
-    size = 1 << max(1, int(np.ceil(np.log2(n))))
-    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(taps, size), size)[:n]
-
-
-def smoothed(x: np.ndarray, alpha: float) -> np.ndarray:
-    """One-pole smoothing by frequency sampling."""
-    return frequency_sampled(x, np.array([1 - alpha]), np.array([1.0, -alpha]))
-
-
-def per_item(df: DataFrame, params: DataFrame, keys: list[str], kernel) -> DataFrame:
-    """``keys, t, y``: ``kernel`` maps a signal's samples and the parameters of its key to as many samples."""
-    kinds, names = dict(df.dtypes), [c for c in params.columns if c not in keys]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        return rows.assign(y=kernel(rows["x"].to_numpy(float), rows.iloc[0][names].to_dict()))[[*keys, "t", "y"]]
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "t"]) + ", y double"
-    return df.select(*keys, "t", "x").join(params, keys).groupBy(*keys).applyInPandas(run, schema)
-
-
-def per_signal(df: DataFrame, keys: list[str], kernel) -> DataFrame:
-    """``keys, t, y`` where ``kernel`` maps the samples of a signal, in order of time, to as many."""
-    kinds = dict(df.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        return rows.assign(y=kernel(rows["x"].to_numpy(float)))[[*keys, "t", "y"]]
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "t"]) + ", y double"
-    return df.select(*keys, "t", "x").groupBy(*keys).applyInPandas(run, schema)
+from .scan import filtered, one_pole_sections, weighted
 
 
 def one_pole(df: DataFrame, keys: list[str], alpha: float) -> DataFrame:
-    """Smoothing ``y[t] = (1 - alpha) x[t] + alpha y[t-1]`` by frequency sampling."""
-    return per_signal(df, keys, lambda x: smoothed(x, alpha))
+    """``keys, t, y``: y[t] = (1 - alpha) x[t] + alpha y[t-1], by its response over a power of two."""
+    return filtered(df, one_pole_sections(F.lit(float(alpha))), keys).select(*keys, "t", "y")
 
 
 def fft_convolve(df: DataFrame, keys: list[str], taps: list[float]) -> DataFrame:
-    return per_signal(df, keys, lambda x: convolved(x, np.asarray(taps, float)))
+    """``keys, t, y``: circular convolution at each signal's length; longer responses go round."""
+    return weighted(df, (len(taps) - 1, 0), keys, lambda row: taps[::-1], ends="ring").select(*keys, "t", "y")

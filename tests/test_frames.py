@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import frames, images
+from cadenza.operators import blocks, frames, images
 
 RNG = np.random.RandomState(0)
 SIGNALS = {1: RNG.randn(400), 2: RNG.randn(23) * 5, 3: np.sin(np.arange(300) / 5), 4: RNG.randn(1), 5: RNG.randn(2)}
@@ -54,7 +54,7 @@ def vocoded(x, num, den, size, hop):
 
 @pytest.fixture(params=[8192, 40])
 def block(request, monkeypatch):
-    monkeypatch.setattr(frames, "BLOCK", request.param)
+    monkeypatch.setattr(blocks, "BLOCK", request.param)
 
 
 @pytest.mark.parametrize("size,hop", [(16, 4), (9, 2)])
@@ -93,7 +93,7 @@ def test_phase_and_pitch(signals, block):
 
 def test_ends(spark):
     df = spark.createDataFrame([(1, t, float(t)) for t in range(3)], "k int, t int, x double").withColumn("n", F.lit(3))
-    row = lambda ends: [x for _, x in sorted((r.t, r.x) for r in frames.extended(df, F.lit(5), F.lit(4), ends).collect())]
+    row = lambda ends: [x for _, x in sorted((r.t, r.x) for r in blocks.extended(df, F.lit(5), F.lit(4), ends).collect())]
     assert row("mirror") == [1, 0, 1, 2, 1, 0, 1, 2, 1, 0, 1, 2]
     assert row("ring") == [1, 2, 0, 1, 2, 0, 1, 2, 0, 1, 2, 0]
     assert row("hold") == [0] * 5 + [0, 1, 2] + [2] * 4

@@ -10,7 +10,9 @@ leave a posterior of Beta(m + 1, n - m + 1) for the similarity, and the pair goe
 it reaches the threshold is below ``miss``. Bytes match more often than hashes do, which only keeps pairs.
 Survivors are verified on their full sets, computed again from whole texts.
 
-Lists are dealt in chunks, and lists of more than one chunk compared across them, as ``ngram_join`` does it.
+The ``first`` bands go before the others, whose lists then need no pairs of one component: most copies have
+met by then. Lists are dealt in chunks, and lists of more than one chunk compared across them, as ``ngram_join``
+does it.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, lean, small_enough, stored
-from .components import connected_components
+from .components import connected_components, extended_components
 from .ngram_join import SAME, _across, _by_list, _dealt, _forest, _link_rows, _set_rows, _signed, _sums
 from .textkernels import mix, shingle_sets
 
@@ -151,6 +153,7 @@ def near_duplicates(
     checks: int = 96,
     batch: int = 16,
     miss: float = 1e-7,
+    first: int = 6,
     block: int = 256,
     deals: int = 8,
     broadcast_rows: int = 500_000,
@@ -199,8 +202,12 @@ def near_duplicates(
         grouped = grouped.select("list", "rep", "grams").repartition("list").sortWithinPartitions("list", "rep")
         return stored(grouped.mapInArrow(lean(_link_rows(num, den)), "a long, b long"), "minhash-links")
 
-    edges = links(_dealt(listed, 0, block), None)
+    edges = links(_dealt(listed.filter(F.col("place") < first), 0, block), None)
     parts = connected_components(edges)
+    # of the other bands, what the first ones have not brought together
+    rest = listed.filter(F.col("place") >= first).join(parts, F.col("rep") == F.col("id"), "left").select(*listed.columns, F.coalesce("component", "rep").alias("part"))
+    found = links(_dealt(rest, 0, block, "part"), parts)
+    parts, edges = extended_components(parts, found), edges.unionByName(found)
     hot = listed.filter(F.col("m") > block)
     if not hot.isEmpty():
         parts = _across(stored(hot, "minhash-hot"), edges, parts, links, block, deals)

@@ -231,26 +231,54 @@ def impulse_response(spark, sf_dir):
     return it.responded(signals(spark, sf_dir), irs, KEY).select("signal_id", "t", r6("y", "y"))
 
 
-@query()
+@query(f"""WITH {SIGNALS}, sn AS (SELECT signal_id, count(*) AS n, max(abs(x)) AS px FROM sg GROUP BY 1), k AS (SELECT signal_id, n, px, unnest(range(least(n, 10 + 10 * (signal_id % 3)))) AS t FROM sn),
+  ir AS (SELECT signal_id, n, px, t AS k, 0.3::DOUBLE * sqrt(-2 * ln(greatest({uniform_sql(31, 'signal_id', 't')}, 1e-9))) * cos(2 * pi() * {uniform_sql(32, 'signal_id', 't')}) * least(1.0, t / 20.0::DOUBLE / 0.05::DOUBLE) * exp(-t / 20.0::DOUBLE / 0.2::DOUBLE) + CASE WHEN t = 0 THEN 0.7::DOUBLE ELSE 0 END AS h FROM k),
+  y AS (SELECT ir.signal_id, (sg.t + k) % n AS t, sum(h * x) AS y, any_value(px) AS px FROM ir JOIN sg USING (signal_id) GROUP BY ALL)
+  SELECT signal_id, t::INT AS t, round(y * px / max(abs(y)) OVER (PARTITION BY signal_id), 6) + 0.0 AS y FROM y""")
 def noise_reverb(spark, sf_dir):
-    """Seeded noise responses; beyond SQL are only the square root's and cosine's last digits, so a test compares."""
     i = F.col("signal_id")
     p = _ids(spark, sf_dir).select("signal_id", (0.5 + (i % 3) / 2).alias("duration"), F.lit(0.05).alias("attack"), F.lit(0.2).alias("decay"), F.lit(0.3).alias("wet"))
-    return it.responded(signals(spark, sf_dir), it.noise_response(p, KEY, 20.0, 31), KEY, from_peak=False).select("signal_id", "t", r6("y", "y"))
+    return it.responded(signals(spark, sf_dir), it.noise_response(p, KEY, 20.0, 31), KEY, from_peak=False).select("signal_id", "t", (F.round("y", 6) + 0.0).alias("y"))
 
 
-@query()
+@query(f"""WITH {SIGNALS}, sn AS (SELECT signal_id, max(t) AS last, 0.1::DOUBLE + 0.1::DOUBLE * (signal_id % 4) AS c FROM sg GROUP BY 1), cs AS (SELECT DISTINCT c, trunc(51.0::DOUBLE / c / 2)::INT AS half FROM sn),
+  ks AS (SELECT *, unnest(range(-half, half + 1)) AS k FROM cs), tp AS (SELECT *, CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE sin(2 * pi() * c * k) / (2 * pi() * c * k) END * (0.5::DOUBLE + 0.5::DOUBLE * cos(pi() * k / half)) AS w FROM ks),
+  lp AS (SELECT s.signal_id, s.t, any_value(s.x) AS x, sum(w * v.x) / sum(w) AS y FROM sg s JOIN sn USING (signal_id) JOIN tp USING (c) JOIN sg v ON v.signal_id = s.signal_id AND v.t = least(greatest(s.t + k, 0), last) GROUP BY s.signal_id, s.t)
+  SELECT signal_id, t, round(x - y, 6) + 0.0 AS y FROM lp""")
 def passes_by_item(spark, sf_dir):
     p = _ids(spark, sf_dir).select("signal_id", (0.1 + 0.1 * (F.col("signal_id") % 4)).alias("cutoff"))
-    return it.passed(signals(spark, sf_dir), p, KEY, "high").select("signal_id", "t", r6("y", "y"))
+    return it.passed(signals(spark, sf_dir), p, KEY, "high").select("signal_id", "t", (F.round("y", 6) + 0.0).alias("y"))
 
 
-@query()
+def _section_sql(kind: str, k: int) -> str:
+    """Numbers of a section of gain ``g`` dB at 20 * 2**k Hz of 1000, quality 0.7."""
+    a, w = "power(10.0::DOUBLE, g / 40.0::DOUBLE)", f"(2 * pi() * least({20 * 2**k}.0::DOUBLE, 499.5::DOUBLE) / 1000)"
+    al, co = f"(sin({w}) / 1.4::DOUBLE)", f"cos({w})"
+    if kind == "peaking":
+        b, d = [f"1 + {al} * {a}", f"-2 * {co}", f"1 - {al} * {a}"], [f"1 + {al} / {a}", f"-2 * {co}", f"1 - {al} / {a}"]
+    else:
+        s, e = (-1, 1) if kind == "low_shelf" else (1, -1)
+        r = f"2 * sqrt({a}) * {al}"
+        b = [f"{a} * (({a} + 1) + {s} * ({a} - 1) * {co} + {r})", f"{2 * e} * {a} * (({a} - 1) + {s} * ({a} + 1) * {co})", f"{a} * (({a} + 1) + {s} * ({a} - 1) * {co} - {r})"]
+        d = [f"({a} + 1) + {e} * ({a} - 1) * {co} + {r}", f"{2 * s} * (({a} - 1) + {e} * ({a} + 1) * {co})", f"({a} + 1) + {e} * ({a} - 1) * {co} - {r}"]
+    return ", ".join(f"({x}) / ({d[0]}) AS {n}" for x, n in zip([*b, *d[1:]], ("b0", "b1", "b2", "a1", "a2"), strict=True))
+
+
+BANDS = ["low_shelf", "peaking", "peaking", "peaking", "peaking", "high_shelf"]
+
+
+@query(f"""WITH {SIGNALS}, c AS ({' UNION ALL '.join(f'SELECT g, {_section_sql(kind, k)} FROM range(-3, 4) r(g)' for k, kind in enumerate(BANDS))}),
+  sn AS (SELECT signal_id, signal_id % 7 - 3 AS g, power(2, greatest(1, ceil(log2(greatest(2 * count(*) - 1, 1)))))::BIGINT AS m FROM sg GROUP BY 1),
+  ws AS (SELECT g, m, j, 2 * pi() * j / m AS w FROM (SELECT DISTINCT g, m FROM sn), range(1025) r(j) WHERE 2 * j <= m),
+  ri AS (SELECT ws.g, m, j, b0 + b1 * cos(w) + b2 * cos(2 * w) AS nr, -b1 * sin(w) - b2 * sin(2 * w) AS ni, 1 + a1 * cos(w) + a2 * cos(2 * w) AS dr, -a1 * sin(w) - a2 * sin(2 * w) AS di FROM ws JOIN c USING (g)),
+  fr AS (SELECT g, m, j, exp(sum(ln(nr * nr + ni * ni) - ln(dr * dr + di * di)) / 2) AS r, sum(atan2(ni, nr) - atan2(di, dr)) AS p FROM ri GROUP BY ALL),
+  al AS (SELECT g, m, k, sum(CASE WHEN j = 0 OR 2 * j = m THEN 1 ELSE 2 END * r * cos(p + 2 * pi() * (j * k % m) / m) / m) AS h FROM fr JOIN range(2048) r(k) ON k < m GROUP BY ALL)
+  SELECT p.signal_id, p.t, round(sum(h * q.x), 4) + 0.0 AS y FROM sg p JOIN sn USING (signal_id) JOIN sg q ON q.signal_id = p.signal_id JOIN al ON al.g = sn.g AND al.m = sn.m AND al.k = (p.t - q.t + sn.m) % sn.m GROUP BY ALL""")
 def parametric_equaliser(spark, sf_dir):
     i = F.col("signal_id")
     bands = [("low_shelf", "a"), *[("peaking", n) for n in "bcde"], ("high_shelf", "f")]
     cols = [c for k, (_, n) in enumerate(bands) for c in ((i % 7 - 3).cast("double").alias(f"{n}_db"), F.lit(20.0 * 2**k).alias(f"{n}_hz"), F.lit(0.7).alias(f"{n}_q"))]
-    return it.equalised(signals(spark, sf_dir), _ids(spark, sf_dir).select("signal_id", *cols), KEY, 1000.0, bands).select("signal_id", "t", r6("y", "y"))
+    return it.equalised(signals(spark, sf_dir), _ids(spark, sf_dir).select("signal_id", *cols), KEY, 1000.0, bands).select("signal_id", "t", (F.round("y", 4) + 0.0).alias("y"))
 
 
 def weights(width: int, hidden: int) -> dict[str, list[list[float]]]:

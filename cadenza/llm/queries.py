@@ -138,12 +138,9 @@ ORACLES = {
         g AS (SELECT n, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM t JOIN g USING (n)""",
     "op2_warc": r"""
-        WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
-        g AS (SELECT h, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY h)
-        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, sha256(p.h) AS payload_digest,
-          CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-          CASE WHEN first < page_id THEN first END AS refers_to
-        FROM p LEFT JOIN g ON p.h = g.h""",
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, url FROM pages),
+        r AS (SELECT *, payload_bytes >= 100 AND row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, encode(url) NULLS FIRST) > 1 AS again, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, payload_bytes, sha256(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r""",
     "op4_ngram_jaccard": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),

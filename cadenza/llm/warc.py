@@ -104,11 +104,13 @@ def record_identity(header: dict[str, str], content: bytes) -> tuple[str, str, s
     return f"<urn:uuid:{uuid.UUID(bytes=digest[:16], version=5)}>", header["URL"], when
 
 
-def warc_record(header: dict[str, str], content: bytes, original: tuple[int, str, str, str] | None) -> bytes:
+def warc_record(header: dict[str, str], content: bytes, original: tuple[int | None, str, str, str] | None) -> bytes:
     """The WARC record that an ARC record becomes; ``original`` (page, record id, URI, date) makes it a revisit."""
     fields, payload = http_parts(content)
     identity, uri, when = record_identity(header, content)
     block = content if original is None else content[: len(content) - len(payload)]
+    if original is not None and original[1] == identity:  # a row equal to the response's has an id of its own
+        identity = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, identity)}>"
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {identity}", f"WARC-Date: {when}",
         f"WARC-Target-URI: {uri}", f"WARC-IP-Address: {header['IP-address']}", f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}",
@@ -116,7 +118,7 @@ def warc_record(header: dict[str, str], content: bytes, original: tuple[int, str
     ]
     if original is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {original[1]}"]
-        head += [f"WARC-Refers-To-Target-URI: {original[2]}", f"WARC-Refers-To-Date: {original[3]}", f"X-Refers-To-Page: {original[0]}"]
+        head += [f"WARC-Refers-To-Target-URI: {original[2]}", f"WARC-Refers-To-Date: {original[3]}", f"X-Refers-To-Page: {'' if original[0] is None else original[0]}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -171,12 +173,11 @@ def converted_archives(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """``name, content``: WARC files with a record for each row of ``pages``, by way of ARC files.
 
     Of records with equal payloads of at least 100 bytes, the one with the smallest id is a response
-    and the others revisit it; records of null ids are responses, and the one referred to never is one of them. Null
-    html is an empty payload, a null URL becomes ``urn:none``. Rows that repeat the id of the
-    response with its payload are responses themselves; with another payload they stand by that
-    one. Extra columns are ignored. No rows give no archives.
+    and the others revisit it. A null id is larger than any; of rows of one id, the one with the smallest URL (null
+    first) counts, and of equal rows one. Null html is an empty payload, a null URL becomes ``urn:none``. Rows that
+    repeat an id with another payload stand by that one. Extra columns are ignored. No rows give no archives.
 
-    Pages move only if more than ``broadcast_rows`` of them are revisits.
+    Pages move only if more than ``broadcast_rows`` of them are revisits, or if they repeat a response's id and payload.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
@@ -190,17 +191,29 @@ def converted_archives(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 for header, content in arc_records(file):
                     fields, payload = http_parts(content)
                     found.append((int(fields["x-page-id"]) if fields["x-page-id"] else None, hashlib.sha256(payload).digest(), len(payload), *record_identity(header, content)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], k) for c, k in enumerate(kinds)], ["id", "digest", "size", "record", "uri", "date"])
-
-    seen = stored(rows.mapInArrow(lean(digests), "id long, digest binary, size long, record string, uri string, date string"), "warc-digests").filter(F.col("size") >= REVISIT_LEAST)
-    first = seen.groupBy("digest").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "record", "uri", "date"))).alias("original"), F.count("*").alias("n")).filter("n > 1")
-    revisits = seen.select("id", "digest").join(first, "digest").filter(F.col("id") != F.col("original.id"))
-    revisits = stored(revisits.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "original").distinct(), "warc-revisits")
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in found], k) for c, k in enumerate(kinds)), batch.column(1)], ["id", "digest", "size", "record", "uri", "date", "url"])
+
+    seen = stored(rows.mapInArrow(lean(digests), "id long, digest binary, size long, record string, uri string, date string, url string"), "warc-digests").filter(F.col("size") >= REVISIT_LEAST)
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url", "record", "uri", "date"))
+    first = seen.groupBy("digest").agg(least.alias("original"), F.count("*").alias("n")).filter("n > 1")
+    again = seen.select("id", "digest").join(first, "digest").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "original")
+    own = F.col("_id").eqNullSafe(F.col("original.id"))
+    revisits = stored(again.filter(~own).distinct(), "warc-revisits")
     if small_enough(revisits, broadcast_rows):
         revisits = F.broadcast(revisits)
     # an id may be repeated with another payload: the reference holds for the payload it was found for
     digest = F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256))
-    joined = rows.join(revisits, (F.col("id") == F.col("_id")) & (digest == F.col("_digest")), "left").drop("_id", "_digest")
+    at = F.col("id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    repeats = stored(again.filter(own).groupBy("_id", "_digest", "original").agg(F.count("*").alias("m")).filter("m > 1").drop("m"), "warc-repeats")
+    if repeats.isEmpty():
+        joined = rows.join(revisits, at, "left").drop("_id", "_digest")
+    else:
+        joined = rows.join(repeats, at, "left_anti").join(revisits, at, "left").drop("_id", "_digest")
+        # equal rows are counted before they are shuffled; one that has the response's URL is the response
+        copies = rows.join(repeats, at).groupBy("id", "url", "_digest").agg(F.count("*").alias("n"), F.first("html").alias("html"), F.first("original").alias("of"))
+        chosen = F.col("url").eqNullSafe(F.col("of.url"))
+        copies = copies.select("id", "url", "html", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda i: F.struct(F.when(~chosen | (i > 1), F.col("of")).alias("original")))).alias("c"))
+        joined = joined.unionByName(copies.select("id", "url", "html", "c.original"))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -231,7 +244,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                     digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
                     if payload is not None and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(h["X-Payload-Length"])):
                         raise ValueError(f"payload differs from its digest in {h['WARC-Record-ID']}")
-                    rows.append((int(h["X-Page-Id"]) if h["X-Page-Id"] else None, h["WARC-Record-ID"], h["WARC-Date"], h["WARC-Target-URI"], h["WARC-Type"], int(h["X-Payload-Length"]), digest, int(h["X-Refers-To-Page"]) if "X-Refers-To-Page" in h else None, h.get("WARC-Refers-To"), payload if with_payload else None))
+                    rows.append((int(h["X-Page-Id"]) if h["X-Page-Id"] else None, h["WARC-Record-ID"], h["WARC-Date"], h["WARC-Target-URI"], h["WARC-Type"], int(h["X-Payload-Length"]), digest, int(h["X-Refers-To-Page"]) if h.get("X-Refers-To-Page") else None, h.get("WARC-Refers-To"), payload if with_payload else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
 
     return archives.mapInArrow(lean(run), READ_SCHEMA)

@@ -1,7 +1,8 @@
 """K-d tree partitioning of documents into shards of near equal bytes. DataFrame operations only.
 
 Nodes are split at distributed weighted medians along the widest metadata dimension until every
-leaf is one shard, i.e. holds the target bytes. A node of m shards is cut where its bytes divide as
+leaf is one shard, i.e. holds the target bytes. Where single rows are so large that a cut misses the median by
+more than ``MISS``, the next widest dimensions are tried and the nearest cut counts. A node of m shards is cut where its bytes divide as
 floor(m/2) : ceil(m/2). All nodes of a level are cut together, by radix descent on an
 order-preserving 60-bit key: each round sums bytes per node and next 12 bits, so that the driver
 sees at most nodes x 4096 sums, and a node is done when the digit that holds its cut has less than
@@ -21,6 +22,8 @@ from .common import stored
 #: Bits of a dimension's value in a sort key, and below it those of the text's and of the row's hash.
 VALUE_BITS, TEXT_BITS, ROW_BITS, DIGIT = 24, 24, 12, 12
 TIE_BITS = TEXT_BITS + ROW_BITS
+#: A cut that misses its goal by a larger share is tried along the other dimensions, too.
+MISS = 0.002
 
 
 def kd_shards(
@@ -88,35 +91,17 @@ def grow(items: DataFrame, names: list[str], shards: int, tolerance: float = 0)
     while frontier:
         base = items.withColumn("_node", _walk(nodes, names)).filter(_of(nodes, frontier, lambda i: True, "boolean"))
         stats = {r["_node"]: r for r in base.groupBy("_node").agg(F.sum("_bytes").alias("bytes"), *[(F.max(n) - F.min(n)).alias(n) for n in names]).collect()}
-        widest = {i: max(range(len(names)), key=lambda c: (r[names[c]], -c)) for i, r in stats.items()}  # noqa: B023
+        order = {i: sorted(range(len(names)), key=lambda c: (-r[names[c]], c)) for i, r in stats.items()}  # noqa: B023
         goal = {i: r["bytes"] * (nodes[i][1] // 2) / nodes[i][1] for i, r in stats.items()}
-        key = F.element_at(F.array(*[_wide(n) for n in names]), _of(nodes, widest, lambda i: widest[i] + 1, "int"))  # noqa: B023
-        keyed = base.select("_node", "_bytes", key.alias("_key"))
-        found = dict.fromkeys(stats, (0, 0))  # digits of the cut so far, bytes below it
-        cut: dict[int, int] = {}
-        for done in range(DIGIT, VALUE_BITS + TIE_BITS + 1, DIGIT):
-            left = VALUE_BITS + TIE_BITS - done
-            open_ = [i for i in found if i not in cut]
-            within = F.shiftright("_key", left + DIGIT) == _of(nodes, open_, lambda i: found[i][0], "long")  # noqa: B023
-            digit = F.shiftright("_key", left).bitwiseAND((1 << DIGIT) - 1)
-            sums: dict[int, list[tuple[int, int]]] = {}
-            for r in keyed.filter(within).groupBy("_node", digit.alias("digit")).agg(F.sum("_bytes").alias("b")).collect():
-                sums.setdefault(r["_node"], []).append((r["digit"], r["b"]))
-            for i, parts in sums.items():
-                prefix, below = found[i]
-                for d, b in sorted(parts):
-                    if below + b > goal[i]:
-                        break
-                    below += b
-                else:  # all of it lies below the cut
-                    d, b = d + 1, 0
-                found[i] = ((prefix << DIGIT) + d, below)
-                if b <= tolerance or not left:
-                    # a digit that is not taken apart goes to the side that it leaves nearer to the goal
-                    after = left and b and below + b - goal[i] < goal[i] - below
-                    cut[i] = found[i][0] + int(bool(after)) << left
-            if len(cut) == len(found):
+        best: dict[int, tuple[float, int, int]] = {}  # miss, dimension, key of the cut
+        for place in range(len(names)):
+            # the next dimension only where single rows are too large for a cut along the ones before
+            wanted = {i: order[i][place] for i in stats if i not in best or best[i][0] > MISS * goal[i]}
+            if not wanted:
                 break
+            for i, (cut, miss) in _cuts(base, nodes, names, wanted, goal, tolerance).items():
+                if i not in best or miss < best[i][0]:
+                    best[i] = miss, wanted[i], cut
         before, frontier = frontier, []
         for i in before:
             first, count = nodes[i][:2]
@@ -124,12 +109,44 @@ def grow(items: DataFrame, names: list[str], shards: int, tolerance: float = 0)
             children = [len(nodes), len(nodes) + 1]
             nodes += [[first, half, None, None, None, None], [first + half, count - half, None, None, None, None]]
             # a node without rows may be cut anywhere
-            nodes[i][2:] = [widest.get(i, 0), cut.get(i, 0), *children]
+            nodes[i][2:] = [*best.get(i, (0, 0, 0))[1:], *children]
             frontier += [c for c in children if nodes[c][1] > 1]
     leaf = _walk(nodes, names)
     return F.element_at(F.array(*[F.lit(n[0]) for n in nodes]), leaf + 1).cast("int")
 
 
+def _cuts(base: DataFrame, nodes: list[list], names: list[str], along: dict[int, int], goal: dict[int, float], tolerance: float) -> dict[int, tuple[int, float]]:
+    """Key of the cut of each node along a dimension, and the bytes by which it misses the goal."""
+    key = F.element_at(F.array(*[_wide(n) for n in names]), _of(nodes, along, lambda i: along[i] + 1, "int"))
+    keyed = base.select("_node", "_bytes", key.alias("_key"))
+    found = dict.fromkeys(along, (0, 0))  # digits of the cut so far, bytes below it
+    cut: dict[int, tuple[int, float]] = {}
+    for done in range(DIGIT, VALUE_BITS + TIE_BITS + 1, DIGIT):
+        left = VALUE_BITS + TIE_BITS - done
+        open_ = [i for i in found if i not in cut]
+        within = F.shiftright("_key", left + DIGIT) == _of(nodes, open_, lambda i: found[i][0], "long")
+        digit = F.shiftright("_key", left).bitwiseAND((1 << DIGIT) - 1)
+        sums: dict[int, list[tuple[int, int]]] = {}
+        for r in keyed.filter(within).groupBy("_node", digit.alias("digit")).agg(F.sum("_bytes").alias("b")).collect():
+            sums.setdefault(r["_node"], []).append((r["digit"], r["b"]))
+        for i, parts in sums.items():
+            prefix, below = found[i]
+            for d, b in sorted(parts):
+                if below + b > goal[i]:
+                    break
+                below += b
+            else:  # all of it lies below the cut
+                d, b = d + 1, 0
+            found[i] = ((prefix << DIGIT) + d, below)
+            if b <= tolerance or not left:
+                # a digit that is not taken apart goes to the side that it leaves nearer to the goal
+                after = b > 0 and below + b - goal[i] < goal[i] - below
+                cut[i] = found[i][0] + int(after) << left, abs(below + b * after - goal[i])
+        if len(cut) == len(found):
+            break
+    return cut
+
+
 def _wide(name: str) -> Column:
     """Sort key of a row along a dimension."""
     return F.col(name) * (1 << TIE_BITS) + F.col("_tie")

@@ -202,15 +202,18 @@ def near_duplicates(
         grouped = grouped.select("list", "rep", "grams").repartition("list").sortWithinPartitions("list", "rep")
         return stored(grouped.mapInArrow(lean(_link_rows(num, den)), "a long, b long"), "minhash-links")
 
-    edges = links(_dealt(listed.filter(F.col("place") < first), 0, block), None)
+    early, hot = F.col("place") < first, stored(listed.filter(F.col("m") > block), "minhash-hot")
+    any_hot = not hot.isEmpty()
+    edges = links(_dealt(listed.filter(early), 0, block), None)
     parts = connected_components(edges)
+    if any_hot:
+        parts = _across(hot.filter(early), edges, parts, links, block, deals)
     # of the other bands, what the first ones have not brought together
-    rest = listed.filter(F.col("place") >= first).join(parts, F.col("rep") == F.col("id"), "left").select(*listed.columns, F.coalesce("component", "rep").alias("part"))
+    rest = listed.filter(~early).join(parts, F.col("rep") == F.col("id"), "left").select(*listed.columns, F.coalesce("component", "rep").alias("part"))
     found = links(_dealt(rest, 0, block, "part"), parts)
     parts, edges = extended_components(parts, found), edges.unionByName(found)
-    hot = listed.filter(F.col("m") > block)
-    if not hot.isEmpty():
-        parts = _across(stored(hot, "minhash-hot"), edges, parts, links, block, deals)
+    if any_hot:
+        parts = _across(hot, edges, parts, links, block, deals)
 
     at = kinds.select(*SAME, "rep", "first_id").join(parts, F.col("rep") == F.col("id"), "left").select(*SAME, "first_id", F.coalesce("component", "rep").alias("component"))
     at = stored(at, "minhash-components")

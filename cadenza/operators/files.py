@@ -1,15 +1,13 @@
 """Files and manifests: scans, paths, provenance, metadata, splits and their CSV sink."""
 
 import os
-import wave
-from collections.abc import Iterator
 from functools import reduce
-from io import BytesIO
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import audio
+
 SPLITS = ("train", "val", "test")
 
 
@@ -30,37 +28,13 @@ def with_suffix(files: DataFrame, ext: str) -> DataFrame:
 
 
 def wav_info(files: DataFrame) -> DataFrame:
-    """``path, duration, sample_rate`` from the headers of ``files(path, content)``; unreadable ones have nulls."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seconds, rates = [], []
-            for content in batch.column(1):
-                try:
-                    with wave.open(BytesIO(content.as_py())) as w:
-                        seconds.append(w.getnframes() / w.getframerate())
-                        rates.append(w.getframerate())
-                except (wave.Error, EOFError, ZeroDivisionError, TypeError):
-                    seconds.append(None)
-                    rates.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seconds, pa.float64()), pa.array(rates, pa.int32())], ["path", "duration", "sample_rate"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, duration double, sample_rate int")
+    """``path, duration, sample_rate`` from the headers of ``files(path)``, of which no more is read; unreadable ones have nulls."""
+    return audio.headers(files).select("path", "duration", "sample_rate")
 
 
 def wav_samples(files: DataFrame) -> DataFrame:
-    """``path, channel, t, x`` of 16-bit WAV files ``(path, content)``, whole; samples lie in [-1, 1)."""
-    import numpy as np
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with wave.open(BytesIO(content.as_py())) as w:
-                    x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()) / 32768
-                t, channel = np.divmod(np.arange(x.size), x.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([path] * x.size), pa.array(channel.astype(np.int32)), pa.array(t.astype(np.int64)), pa.array(x.ravel())], ["path", "channel", "t", "x"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, channel int, t long, x double")
+    """``path, channel, t, x`` of WAV files ``(path)``, as in ``audio.samples``: whole, or by ``offset`` and ``duration``."""
+    return audio.samples(files)
 
 
 def read_manifests(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
@@ -112,8 +86,10 @@ def existing(rows: DataFrame, files: DataFrame, columns: dict[str, str], strict:
     """Rows by files that exist, with ``min_duration``; ``columns`` maps path columns to none other than themselves or names.
 
     ``files(path, duration)``: null for a file that cannot be read. Strict: every path must exist and
-    every duration be known. Lenient: one will do, and unknown durations do not count.
+    every duration be known. Lenient: one will do, and unknown durations do not count. Of a path that ``files``
+    repeats the smallest known duration counts.
     """
+    files = files.groupBy("path").agg(F.min("duration").alias("duration"))
     for c in columns:
         there = files.select(F.col("path").alias(c), F.lit(True).alias(f"_{c}_file"), F.col("duration").alias(f"_{c}_s"))
         rows = rows.join(there, c, "left")
@@ -138,11 +114,15 @@ def drum_class(name: Column) -> Column:
 def write_split(rows: DataFrame, path: str, attributes: dict[str, Column], valid: Column | None = None) -> None:
     """A folder of CSV with a header for each split; attributes are expressions over ``rows``.
 
-    Rows whose ``valid`` is not true are left out, after the split was made.
+    Rows whose ``valid`` is not true are left out, after the split was made. ``rows`` are worked out once, into a
+    table beside the folders, and each split is read from it.
     """
-    kept = rows if valid is None else rows.filter(valid)
+    kept = (rows if valid is None else rows.filter(valid)).filter(F.col("split").isin(*SPLITS))
+    made = kept.select("split", *[c.alias(f"_{i}") for i, c in enumerate(attributes.values())])
+    made.write.mode("overwrite").partitionBy("split").parquet(f"{path}/.rows")
+    back = rows.sparkSession.read.schema(made.schema).parquet(f"{path}/.rows")
     for s in SPLITS:
-        kept.filter(F.col("split") == s).select(*[c.alias(n) for n, c in attributes.items()]).write.mode("overwrite").option("header", True).csv(f"{path}/{s}.csv")
+        back.filter(F.col("split") == s).select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(attributes)]).write.mode("overwrite").option("header", True).csv(f"{path}/{s}.csv")
 
 
 def repeated(rows: DataFrame, times: int, name: str = "epoch") -> DataFrame:

@@ -300,15 +300,19 @@ def features_dropped(items: DataFrame, share: float, seed: int) -> DataFrame:
     return items.withColumn("dropped", uniform(seed, F.col("item")) <= share)
 
 
-def summed_embeddings(tokens: DataFrame, table: DataFrame, mask_vector: Column, size: int = 1024) -> DataFrame:
+def summed_embeddings(tokens: DataFrame, table: DataFrame, mask_vector: Column, size: int = 1024, width: int = 64) -> DataFrame:
     """``item, frame, v``: vectors of a frame's tokens, summed over codebooks.
 
-    ``tokens(item, codebook, frame, token, keep, current)``; ``table(id, v)`` has token + codebook * size. Tokens
-    that are not kept count nothing, but the mask's vector in the codebook that is current.
+    ``tokens(item, codebook, frame, token, keep, current)``; ``table(id, v)`` has token + codebook * size and vectors of
+    ``width``. Tokens that are not kept count nothing, but the mask's vector in the codebook that is current. A kept token
+    that the table lacks is an error. Sums are made before frames move, a row for each.
     """
-    looked = tokens.withColumn("id", F.col("token") + F.col("codebook") * size).join(table, "id")
-    cells = F.posexplode(F.when(F.col("keep"), F.col("v")).when(F.col("current"), mask_vector).otherwise(F.transform("v", lambda x: F.lit(0.0)))).alias("dim", "x")
-    return looked.select("item", "frame", cells).groupBy("item", "frame", "dim").agg(F.sum("x").alias("x"))
+    looked = tokens.withColumn("id", F.col("token") + F.col("codebook") * size).join(table.select("id", "v"), "id", "left")
+    missing = F.raise_error(F.concat(F.lit("no vector for "), F.col("id").cast("string"))).cast("array<double>")
+    cell = F.when(F.col("keep"), F.coalesce("v", missing)).when(F.col("current"), mask_vector).otherwise(F.array_repeat(F.lit(0.0), width))
+    sums = [F.sum(F.get("_c", F.lit(i))).alias(f"_{i}") for i in range(width)]
+    added = looked.select("item", "frame", cell.alias("_c")).groupBy("item", "frame").agg(*sums)
+    return added.select("item", "frame", F.array(*[f"_{i}" for i in range(width)]).alias("v"))
 
 
 def joined_in_time(first: DataFrame, second: DataFrame, frames: int) -> DataFrame:

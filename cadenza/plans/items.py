@@ -173,7 +173,7 @@ def token_embedding(spark, sf_dir):
     tokens = tokens.withColumn("current", it.current_codebook(F.col("codebook"), F.col("item") % 9))
     table = _vectors(spark, sf_dir).filter("vec_id < 270").withColumnRenamed("vec_id", "id")
     vector = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda x: x / 64.0)
-    return it.summed_embeddings(tokens, table, vector, 30).select("item", "dim", F.round("x", 5).alias("x"))
+    return it.summed_embeddings(tokens, table, vector, 30).select("item", F.posexplode("v").alias("dim", "x")).select("item", "dim", F.round("x", 5).alias("x"))
 
 
 @query(f"""WITH {GRID}, t AS (SELECT item, frame, codebook FROM gr WHERE codebook = 0 AND frame < 30 UNION ALL SELECT item, frame + 30, codebook FROM gr WHERE codebook = 0 AND frame < 10)

@@ -1 +1,62 @@
 """Registered queries of the residual quantiser with projections and of batches in splits, beside their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import quantise
+from ..sources.tables import load
+from .catalogue import query, r6
+from .kernels import VEC, _vectors
+
+LEVELS, WIDTH, CODES = 3, 8, 16
+
+
+def _tables(v):
+    """Projections and codebooks of the first vectors: rows 16 to 63 are codes of three levels, 64 to 87 projections, forth and back."""
+    i = F.col("vec_id")
+    books = v.filter(i.between(16, 15 + LEVELS * CODES)).select(F.floor((i - 16) / CODES).cast("int").alias("level"), i.alias("code"), F.slice("v", 1, WIDTH).alias("c"))
+    rows = v.filter(i.between(64, 63 + LEVELS * WIDTH)).groupBy(F.floor((i - 64) / WIDTH).cast("int").alias("level")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("r"))
+    inward = F.transform("r", lambda x: F.transform(x["v"], lambda y: y / WIDTH))
+    back = F.transform(F.sequence(F.lit(0), F.size(F.col("r")[0]["v"]) - 1), lambda d: F.transform("r", lambda x: F.get(x["v"], d)))
+    levels = rows.select("level", inward.alias("inward"), F.array_repeat(F.lit(0.01), WIDTH).alias("inward_bias"), back.alias("outward"), F.array_repeat(F.lit(-0.01), F.size(F.col("r")[0]["v"])).alias("outward_bias"))
+    return levels, books
+
+
+def _levels_sql() -> str:
+    """CTEs that end in ``l3(frame, v, r, k0, k1, k2)``."""
+    norm = lambda x: f"greatest(sqrt(list_dot_product({x}, {x})), 1e-12)"
+    parts = [f"{VEC}, l0 AS (SELECT vec_id AS frame, v, v AS r FROM ev), ow AS (SELECT vec_id AS code, v[1:{WIDTH}] AS c, (vec_id - 16) // {CODES} AS level FROM ev WHERE vec_id BETWEEN 16 AND {15 + LEVELS * CODES})",
+             f"pj AS (SELECT (vec_id - 64) // {WIDTH} AS level, list(v ORDER BY vec_id) AS m FROM ev WHERE vec_id BETWEEN 64 AND {63 + LEVELS * WIDTH} GROUP BY 1)",
+             "oo AS (SELECT level, code, c, list_transform(range(1, 65), lambda d: list_dot_product(c, list_transform(m, lambda w: w[d])) - 0.01::DOUBLE) AS o FROM ow JOIN pj USING (level))"]
+    for i in range(LEVELS):
+        had = "".join(f", k{j}" for j in range(i))
+        parts += [f"z{i} AS (SELECT frame, v, r{had}, list_transform(m, lambda w: list_dot_product(r, w) / {WIDTH} + 0.01::DOUBLE) AS z FROM l{i}, pj WHERE level = {i})",
+                  f"b{i} AS (SELECT frame, arg_max(code, [round(list_dot_product(z, c) / ({norm('z')} * {norm('c')}), 9), -code]) AS k{i} FROM z{i}, ow WHERE level = {i} GROUP BY frame)",
+                  f"l{i + 1} AS (SELECT frame, v, list_transform(list_zip(r, o), lambda x: x[1] - x[2]) AS r{had}, k{i} FROM z{i} JOIN b{i} USING (frame) JOIN oo ON code = k{i} AND level = {i})"]
+    return ", ".join(parts)
+
+
+@query(f"WITH {_levels_sql()} SELECT frame, k0 || ',' || k1 || ',' || k2 AS codes, round(list_dot_product(r, r), 6) AS error FROM l3")
+def residual_encode(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    got = quantise.encoded(v.select(F.col("vec_id").alias("frame"), "v"), *_tables(v))
+    return got.select("frame", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), r6(F.aggregate("residual", F.lit(0.0), lambda a, x: a + x * x), "error"))
+
+
+@query(f"WITH {_levels_sql()} SELECT frame, (i - 1)::INT AS dim, round(v[i] - r[i], 6) + 0.0 AS x FROM l3, range(1, 65) d(i)")
+def residual_decode(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    levels, books = _tables(v)
+    codes = quantise.encoded(v.select(F.col("vec_id").alias("frame"), "v"), levels, books).select("frame", "codes")
+    return quantise.decoded(codes, levels, books).select("frame", F.posexplode("quantised").alias("dim", "x")).select("frame", "dim", (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query("""WITH c AS (SELECT conv_id // 8 AS batch, conv_id AS item, list(length(text)::DOUBLE ORDER BY turn) AS v FROM conversations GROUP BY 1, 2),
+  n AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY item) - 1 AS i, count(*) OVER (PARTITION BY batch) AS n, 1 + batch % 4 AS s FROM c), p AS (SELECT *, (i // ((n + s - 1) // s))::INT AS part FROM n)
+  SELECT batch, part, item, len(v)::INT AS length, array_to_string(list_transform(list_resize(v, max(len(v)) OVER (PARTITION BY batch, part), 0.0::DOUBLE), lambda x: x::BIGINT), ',') AS v FROM p""")
+def collate_splits(spark, sf_dir):
+    """Lengths of turns, eight conversations a batch, in one to four parts by batch."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("double").alias("n")))), lambda s: s["n"])
+    rows = load(spark, sf_dir, "conversations").groupBy(F.floor(F.col("conv_id") / 8).alias("batch"), F.col("conv_id").alias("item")).agg(turns.alias("v"))
+    return quantise.collated(rows, 1 + F.col("batch") % 4).withColumn("v", F.array_join(F.col("v").cast("array<bigint>").cast("array<string>"), ","))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, lean, small_enough, stored
 from .components import connected_components, extended_components
-from .ngram_join import SAME, _across, _by_list, _dealt, _forest, _link_rows, _set_rows, _signed, _sums
+from .ngram_join import SAME, _blocks, _by_list, _dealt, _forest, _link_rows, _most_linked, _set_rows, _signed, _sums
 from .textkernels import mix, shingle_sets
 
 #: Shingles hashed at once, which bounds temporaries.
@@ -150,11 +150,11 @@ def near_duplicates(
     den: int = 100,
     bands: int = 24,
     rows: int = 5,
-    checks: int = 96,
+    checks: int = 192,
     batch: int = 16,
     miss: float = 1e-7,
     first: int = 6,
-    block: int = 256,
+    block: int = 512,
     deals: int = 8,
     broadcast_rows: int = 500_000,
 ) -> DataFrame:
@@ -208,12 +208,11 @@ def near_duplicates(
     parts = connected_components(edges)
     if any_hot:
         parts = _across(hot.filter(early), edges, parts, links, block, deals)
-    # of the other bands, what the first ones have not brought together
-    rest = listed.filter(~early).join(parts, F.col("rep") == F.col("id"), "left").select(*listed.columns, F.coalesce("component", "rep").alias("part"))
-    found = links(_dealt(rest, 0, block, "part"), parts)
-    parts, edges = extended_components(parts, found), edges.unionByName(found)
+    # of the other bands, what the first ones have not brought together; long lists go straight to pairs of blocks
+    rest = listed.filter(~early & (F.col("m") <= block)).join(parts, F.col("rep") == F.col("id"), "left").select(*listed.columns, F.coalesce("component", "rep").alias("part"))
+    parts = extended_components(parts, links(_dealt(rest, 0, block, "part"), parts))
     if any_hot:
-        parts = _across(hot, edges, parts, links, block, deals)
+        parts = _across(hot.filter(~early), None, parts, links, block, 0)
 
     at = kinds.select(*SAME, "rep", "first_id").join(parts, F.col("rep") == F.col("id"), "left").select(*SAME, "first_id", F.coalesce("component", "rep").alias("component"))
     at = stored(at, "minhash-components")
@@ -223,3 +222,26 @@ def near_duplicates(
     # rows without a class go past the join: there may be many of them, all of one key
     named = rows_.filter(classed).join(found, SAME).select("id", "n", "least_id").unionByName(rows_.filter(~classed).select("id", "n", F.col("id").alias("least_id")))
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least_id").alias("component_id"), F.col("id").eqNullSafe(F.col("least_id")).alias("kept"))
+
+
+def _across(hot: DataFrame, edges: DataFrame | None, parts: DataFrame, links, block: int, deals: int) -> DataFrame:
+    """Components once lists of more than one chunk, rows ``rep, n, place, gram, m, most`` of ``hot``, are compared whole.
+
+    As in ``ngram_join``, but lists that are done stay so and each deal's rows are stored.
+    """
+    turn, before = 0, None
+    while True:
+        turn += 1
+        named = hot.join(parts, F.col("rep") == F.col("id"), "left").select(*hot.columns, F.coalesce("component", "rep").alias("part"))
+        named = stored(named, "minhash-named")
+        each = named.groupBy("gram", "part").agg(F.count("*").alias("c"))
+        lists = each.groupBy("gram").agg(F.max(F.struct("c", "part")).alias("main"), F.sum("c").alias("all"))
+        lists = stored(lists.select("gram", F.col("main.part").alias("main"), (F.col("all") - F.col("main.c")).alias("outside")).filter("outside > 0"), "minhash-open")
+        left = lists.agg(F.sum("outside")).first()[0] or 0
+        if not left:
+            return parts
+        if turn > deals or (before is not None and 2 * left > before):
+            return extended_components(parts, links(_blocks(named.join(lists, "gram"), block), parts))
+        before, open_ = left, named.join(lists.select("gram"), "gram", "left_semi")
+        found = links(_dealt(open_, turn, block, "part", _most_linked(open_, edges, block // 4)), parts)
+        parts, edges, hot = extended_components(parts, found), edges.unionByName(found), open_.drop("part")

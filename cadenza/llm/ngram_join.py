@@ -405,7 +405,6 @@ def _across(hot: DataFrame, edges: DataFrame, parts: DataFrame, links, block: in
     while True:
         turn += 1
         named = hot.join(parts, F.col("rep") == F.col("id"), "left").select(*hot.columns, F.coalesce("component", "rep").alias("part"))
-        named = stored(named, "ngram-named")
         each = named.groupBy("gram", "part").agg(F.count("*").alias("c"))
         lists = each.groupBy("gram").agg(F.max(F.struct("c", "part")).alias("main"), F.sum("c").alias("all"))
         lists = stored(lists.select("gram", F.col("main.part").alias("main"), (F.col("all") - F.col("main.c")).alias("outside")).filter("outside > 0"), "ngram-open")
@@ -418,7 +417,6 @@ def _across(hot: DataFrame, edges: DataFrame, parts: DataFrame, links, block: in
         open_ = named.join(lists.select("gram"), "gram", "left_semi")
         found = links(_dealt(open_, turn, block, "part", _most_linked(open_, edges, block // 4)), parts)
         parts, edges = extended_components(parts, found), edges.unionByName(found)
-        hot = open_.drop("part")  # lists that are done stay so
 
 
 def _most_linked(named: DataFrame, edges: DataFrame, most: int) -> DataFrame:

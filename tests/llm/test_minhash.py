@@ -25,7 +25,7 @@ def test_edge_cases_and_clashing_names(spark):
     assert found(spark, rows, k=3, num=85) == expected(rows, 3, 85)
 
 
-@pytest.mark.parametrize("block,deals", [(256, 8), (16, 8), (16, 0)])
+@pytest.mark.parametrize("block,deals", [(16, 8), (16, 0)])
 def test_components_of_near_copies_equal_brute_force(spark, block, deals):
     rng = np.random.RandomState(block + deals)
     texts = near_copies(rng, 120) + near_copies(rng, 40, words=60, edits=2) + [t for _ in range(30) for t in near_copies(rng, 2, edits=5, styles=False)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import quantise, transformer
+from ..operators import generation, quantise, transformer
 from ..sources.tables import load
 from .catalogue import query, r6
 from .kernels import VEC, _vectors
@@ -117,3 +117,18 @@ def transformer_layer(spark, sf_dir):
     context = v.select(F.floor(i / 20).alias("item"), (i % 20).alias("pos"), F.col("v").alias("x"), (i % 5 != 1).alias("valid"))
     out = transformer.stack(rows, transformer.Weights(_weights(spark)), HEADS, context)
     return out.select("item", "pos", F.posexplode("x").alias("dim", "x")).select("item", "pos", "dim", (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query()
+def generated_tokens(spark, sf_dir):
+    """Two codebooks of 16 classes, all of two rounds each with guidance, on ten frames an item; the first three frames are given."""
+    v, i = _vectors(spark, sf_dir), F.col("vec_id")
+    at = [F.floor(i / 10).alias("item"), (i % 10).cast("int").alias("frame")]
+    tokens = v.select(*at, F.explode(F.array(F.lit(0), F.lit(1))).alias("codebook"), i).select("item", "codebook", "frame", ((i * 7 + F.col("codebook")) % 16).cast("int").alias("token"), (F.col("frame") < 3).alias("keep"))
+    cells = spark.range(33).select((F.col("id") - 1).alias("id"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: ((F.col("id") * 13 + j * 29) % 31 - 15) / 15.0).alias("v"))
+    more = spark.createDataFrame([(n, *m) for n, m in enumerate([("features", 64, 64), ("head0", 16, 64), ("head1", 16, 64)], 20)], "n int, name string, rows int, columns int")
+    rows = more.select("n", "name", "columns", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
+    extra = rows.select(F.lit(0).alias("layer"), "name", "row", F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: ((F.col("row") * 31 + j * 17 + F.col("n") * 7) % 23 - 11) / 184.0).alias("w"))
+    model = generation.Model(transformer.Weights(_weights(spark).unionByName(extra)), cells, 16, 64, HEADS)
+    how = [generation.Sampling(iterations=2, temperature=0.9, mask_temperature=1.0, k=8, p=0.9, guidance=1.5, causal=0.5)] * 2
+    return generation.generated(model, tokens, v.select(*at, F.col("v").alias("f")), how, 5)

@@ -8,7 +8,7 @@ import __spark_entry__ as registered
 SF_DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["span_mask", "masked_counts"])
+@pytest.mark.parametrize("name", ["span_mask", "masked_counts", "combine_masks"])
 def test_cells_of_a_small_table_are_made_by_many_tasks(spark, name):
     rows = registered.queries()[name](spark, SF_DIR)
     parts = rows.groupBy(F.spark_partition_id()).count().collect()

@@ -8,8 +8,14 @@ import __spark_entry__ as registered
 SF_DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["span_mask", "masked_counts", "combine_masks"])
+@pytest.mark.parametrize("name", ["span_mask", "masked_counts", "combine_masks", "span_by_item", "unmask_loop"])
 def test_cells_of_a_small_table_are_made_by_many_tasks(spark, name):
     rows = registered.queries()[name](spark, SF_DIR)
     parts = rows.groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) > 1 and sum(r["count"] for r in parts) == rows.count()
+
+
+@pytest.mark.parametrize("name", ["span_by_item", "unmask_loop"])
+def test_cells_are_not_broadcast(spark, name):
+    rows = registered.queries()[name](spark, SF_DIR)
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()

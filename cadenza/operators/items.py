@@ -264,16 +264,17 @@ def seeds(seed: Column, items: Column) -> Column:
     return F.coalesce(fits, F.raise_error(F.lit("one seed, or one for each item")).cast("array<bigint>"))
 
 
-def span_masked(grid: DataFrame, params: DataFrame, seed: int) -> DataFrame:
-    """``keep``: false in a random span of each item; ``params`` has ``item, low, high, length``.
+def drawn_spans(params: DataFrame, seed: int) -> DataFrame:
+    """``item, start, end`` of a random span of each item; ``params`` has ``item, low, high, length``.
 
-    A share of 1 or more masks all of the item's length, one of no length nothing.
+    A share of 1 or more spans all of the item's length, one of no length nothing.
     """
-    rows = grid.join(params, "item")
     share = F.col("low") + (F.col("high") - F.col("low")) * uniform(f"{seed}:prop", F.col("item"))
-    span = F.when(F.col("length") <= 0, 0).when(share >= 1, F.col("length")).otherwise((share * F.col("length")).cast("int"))
-    start = F.when(share >= 1, 0).otherwise(F.floor(uniform(f"{seed}:start", F.col("item")) * F.greatest(F.col("length") - span, F.lit(1))).cast("int"))
-    return rows.withColumn("keep", ~((F.col("frame") >= start) & (F.col("frame") < start + span))).drop("low", "high", "length")
+    span = F.when(F.col("length") <= 0, 0).when(F.col("_share") >= 1, F.col("length")).otherwise((F.col("_share") * F.col("length")).cast("int"))
+    left = F.greatest(F.col("length") - F.col("_span"), F.lit(1))
+    start = F.when(F.col("_share") >= 1, 0).otherwise(F.floor(uniform(f"{seed}:start", F.col("item")) * left).cast("int"))
+    rows = params.withColumn("_share", share).withColumn("_span", span).withColumn("start", start)
+    return rows.select("item", "start", (F.col("start") + F.col("_span")).alias("end"))
 
 
 def current_codebook(codebook: Column, current: Column) -> Column:

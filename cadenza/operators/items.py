@@ -291,9 +291,24 @@ def random_mask(share: float | Column, seed: int, *keys: Column) -> Column:
 
 
 def masks_broadcast(grid: DataFrame, by_frame: DataFrame, by_codebook: DataFrame) -> DataFrame:
-    """``grid(item, codebook, frame, keep)`` and-ed with masks ``(item, frame, keep)`` and ``(item, codebook, keep)``."""
-    rows = grid.join(by_frame.withColumnRenamed("keep", "_f"), ["item", "frame"]).join(by_codebook.withColumnRenamed("keep", "_c"), ["item", "codebook"])
-    return rows.withColumn("keep", F.col("keep") & F.col("_f") & F.col("_c")).drop("_f", "_c")
+    """``grid(item, codebook, frame, keep)`` and-ed with masks ``(item, frame, keep)`` and ``(item, codebook, keep)``.
+
+    Masks meet cells by item, as an array for each, so that cells partitioned by item do not move. Places count from 0;
+    cells without both masks are left out.
+    """
+    masks = _by_place(by_frame, "frame", "_f").join(_by_place(by_codebook, "codebook", "_c").hint("shuffle_hash"), "item")
+    rows = grid.join(masks.hint("shuffle_hash"), "item").withColumn("_f", F.get("_f", F.col("frame"))).withColumn("_c", F.get("_c", F.col("codebook")))
+    held = lambda c: F.when(F.col(c) >= 0, F.col(c) == 1)
+    return rows.filter("_f is not null and _c is not null").withColumn("keep", F.col("keep") & held("_f") & held("_c")).drop("_f", "_c")
+
+
+def _by_place(masks: DataFrame, at: str, name: str) -> DataFrame:
+    """``item`` and an array by place: 1 where a mask keeps, 0 where it does not, -1 where it is null; null without one."""
+    pair = F.struct(F.col(at).alias("at"), F.coalesce(F.col("keep").cast("tinyint"), F.lit(-1).cast("tinyint")).alias("m"))
+    rows = masks.filter(F.col(at) >= 0).groupBy("item").agg(F.array_sort(F.collect_list(pair)).alias("_l"))
+    last = F.element_at("_l", -1)["at"]
+    found = F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda i: F.get(F.filter("_l", lambda p: p["at"] == i), F.lit(0))["m"])
+    return rows.select("item", F.when(last + 1 == F.size("_l"), F.transform("_l", lambda p: p["m"])).otherwise(found).alias(name))
 
 
 def features_dropped(items: DataFrame, share: float, seed: int) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
+from cadenza.operators import items as it
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -15,7 +16,17 @@ def test_cells_of_a_small_table_are_made_by_many_tasks(spark, name):
     assert len(parts) > 1 and sum(r["count"] for r in parts) == rows.count()
 
 
-@pytest.mark.parametrize("name", ["span_by_item", "unmask_loop"])
+@pytest.mark.parametrize("name", ["span_by_item", "unmask_loop", "masks_broadcast"])
 def test_cells_are_not_broadcast(spark, name):
     rows = registered.queries()[name](spark, SF_DIR)
     assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_masks_meet_cells_by_place(spark):
+    cells = spark.createDataFrame([(1, k, f, True) for k in range(2) for f in range(5)] + [(2, 0, 0, True)], "item long, codebook int, frame int, keep boolean")
+    by_frame = spark.createDataFrame([(1, 0, True), (1, 3, False), (1, 4, None), (2, 0, True)], "item long, frame int, keep boolean")
+    by_codebook = spark.createDataFrame([(1, 1, True), (2, 0, False)], "item long, codebook int, keep boolean")
+    rows = it.masks_broadcast(cells, by_frame, by_codebook)
+    got = {(r.item, r.codebook, r.frame): r.keep for r in rows.collect()}
+    assert got == {(1, 1, 0): True, (1, 1, 3): False, (1, 1, 4): None, (2, 0, 0): False}
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()

@@ -28,6 +28,11 @@ def rms_db(x: Column, eps: float = 1e-12) -> Column:
     return 20 * F.log10(F.greatest(F.sqrt(F.avg(x * x) + eps), F.lit(eps)))
 
 
+def decibels(x: Column) -> Column:
+    """Level of a magnitude in dB; that of silence is minus infinity, where the engine's logarithm is null."""
+    return F.when(x == 0, float("-inf")).otherwise(20 * F.log10(x))
+
+
 def energy(x: Column) -> Column:
     return F.avg(x * x) + 1e-8
 

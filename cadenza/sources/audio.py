@@ -21,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a file that a header probe reads first; chunks beyond cost eight bytes each.
 HEAD = 2048
+#: Partitions of a folder that the data source plans at most.
+TASKS = 1024
 #: Frames of a range that one row of work stands for.
 RANGE = 1 << 20
 HEADERS = "path string, duration double, sample_rate int, channels int, bits int, encoding string, frames long"
@@ -177,16 +179,19 @@ class WavReader(DataSourceReader):
         self.split = int(options.get("splitBytes", 32 << 20))
 
     def partitions(self) -> list[InputPartition]:
-        """Ranges of about ``splitBytes``, small files together; by one listing, no file is opened."""
+        """Ranges of about ``splitBytes``, longer where there would be more than ``TASKS``, small files together; by one listing, no file is opened."""
         store, root = opened(self.path)
         info = store.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
+        found = sorted((f for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".wav")), key=lambda f: (f.path.lower(), f.path))
+        # a partition but the last has as much as this, so there are no more than TASKS
+        split = max(self.split, -(-sum(f.size if self.mode == "samples" else HEAD for f in found) // TASKS))
         out, held, size = [], [], 0
-        for f in sorted((f for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".wav")), key=lambda f: (f.path.lower(), f.path)):
-            for at in range(0, max(1, f.size), self.split) if self.mode == "samples" else (0,):
-                held.append((f.path, at, min(f.size, at + self.split)))
+        for f in found:
+            for at in range(0, max(1, f.size), split) if self.mode == "samples" else (0,):
+                held.append((f.path, at, min(f.size, at + split)))
                 size += held[-1][2] - at if self.mode == "samples" else HEAD
-                if size >= self.split:
+                if size >= split:
                     out.append(Files(held))
                     held, size = [], 0
         return [*out, Files(held)] if held or not out else out

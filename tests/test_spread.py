@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from cadenza.operators import items as it
+from cadenza.sources import audio
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -30,3 +31,14 @@ def test_masks_meet_cells_by_place(spark):
     got = {(r.item, r.codebook, r.frame): r.keep for r in rows.collect()}
     assert got == {(1, 1, 0): True, (1, 1, 3): False, (1, 1, 4): None, (2, 0, 0): False}
     assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_are_longer_where_there_would_be_too_many(monkeypatch, tmp_path):
+    for i in range(50):
+        (tmp_path / f"{i}.wav").write_bytes(b"x" * (10 * i))
+    monkeypatch.setattr(audio, "TASKS", 20)
+    for mode in ("samples", "headers"):
+        parts = audio.WavReader({"path": str(tmp_path), "splitBytes": "4", "mode": mode}).partitions()
+        ranges = [r for p in parts for r in p.ranges]
+        assert len(parts) <= 21 and len({p for p, _, _ in ranges}) == 50
+        assert mode == "headers" or sum(high - low for _, low, high in ranges) == sum(10 * i for i in range(50))

@@ -3,10 +3,13 @@
 import functools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
+from . import blocks
+from .blocks import chunked, each_chunk, filled, with_length
 from .levels import peak_limited, snr_mixed
 from .scan import weighted
 
@@ -83,33 +86,52 @@ def rate_changed(df: DataFrame, keys: list[str], old: int, new: int, zeros: int
     """``keys, t, x`` at rate ``new`` instead of ``old``, as in ``rate_changed_by``; equal rates leave the signal."""
     if old == new:
         return df.select(*keys, "t", "x")
-    return _resampled(df, df.groupBy(*keys).agg(F.count("*").alias("_n")), keys, F.lit(old), F.lit(new), zeros, rolloff)
+    return _resampled(with_length(df.select(*keys, "t", "x"), keys).withColumns({"old": F.lit(old).cast("long"), "new": F.lit(new).cast("long")}), keys, zeros, rolloff)
 
 
-def rate_changed_by(df: DataFrame, rates: DataFrame, keys: list[str], zeros: int = 24, rolloff: float = 0.945) -> DataFrame:
+def rate_changed_by(df: DataFrame, rates: DataFrame, keys: list[str], zeros: int = 24, rolloff: float = 0.945, lengths: DataFrame | None = None) -> DataFrame:
     """``keys, t, x`` at rate ``new`` instead of ``old`` of ``rates(keys, old, new)``, by windowed-sinc interpolation; ends are held.
 
     A signal of n samples gets n * new // old. The sinc has ``zeros`` crossings on either side under
-    a squared cosine, and its weights add up to 1 at each output. Equal rates leave the signal. Work
-    is the outputs times the crossings; rows meet on ``keys, t``, so a long signal spreads.
+    a squared cosine, and its weights add up to 1 at each output. Equal rates leave the signal. ``t`` counts from 0 without
+    gaps. Work is the outputs times the crossings, by blocks of samples, so a long signal spreads and only its samples
+    move. ``lengths(keys, n)`` spares a pass over signals of known lengths.
     """
-    both = df.select(*keys, "t", "x").join(rates.select(*keys, "old", "new"), keys)
-    slots = both.filter("old <> new").groupBy(*keys, "old", "new").agg(F.count("*").alias("_n"))
-    moved = _resampled(df, slots, keys, F.col("old"), F.col("new"), zeros, rolloff)
-    return both.filter("old = new").select(*keys, F.col("t").cast("int").alias("t"), "x").unionByName(moved)
-
-
-def _resampled(df: DataFrame, slots: DataFrame, keys: list[str], old: Column, new: Column, zeros: int, rolloff: float) -> DataFrame:
-    """Outputs of signals of ``_n`` samples; ``slots`` has a row for each signal."""
-    band = F.least(old, new) * rolloff
-    place, reach = F.col("_t") * old / new, zeros * old / band
-    slots = slots.filter(F.floor(F.col("_n") * new / old) > 0)
-    slots = slots.select("*", F.explode(F.sequence(F.lit(0), (F.floor(F.col("_n") * new / old) - 1).cast("int"))).alias("_t"))
-    slots = slots.select("*", F.explode(F.sequence(F.ceil(place - reach).cast("int"), F.floor(place + reach).cast("int"))).alias("_i"))
-    a = (F.col("_i") - place) * (math.pi * band / old)
-    weight = F.when(a == 0, 1.0).otherwise(F.sin(a) / a) * F.pow(F.cos(a / (2 * zeros)), 2)
-    slots = slots.select(*keys, "_t", F.least(F.greatest("_i", F.lit(0)), F.col("_n") - 1).cast("int").alias("t"), weight.alias("_w"))
-    return slots.join(df.select(*keys, "t", "x"), [*keys, "t"]).groupBy(*keys, F.col("_t").alias("t")).agg((F.sum(F.col("_w") * F.col("x")) / F.sum("_w")).alias("x"))
+    rows = df.select(*keys, "t", "x")
+    rows = with_length(rows, keys) if lengths is None else rows.join(lengths.select(*keys, F.col("n").cast("long").alias("n")), keys)
+    both = rows.join(rates.select(*keys, F.col("old").cast("long").alias("old"), F.col("new").cast("long").alias("new")), keys)
+    return _resampled(both, keys, zeros, rolloff)
+
+
+def _resampled(rows: DataFrame, keys: list[str], zeros: int, rolloff: float) -> DataFrame:
+    """Outputs of signals ``keys, t, x, n, old, new`` by blocks."""
+    reach = F.ceil(F.col("old") * float(zeros) / (F.least("old", "new") * rolloff)) + 1
+    rows = rows.select(*keys, F.col("t").cast("long").alias("t"), F.col("x").cast("double").alias("x"), "n", "old", "new", reach.alias("reach"))
+    rows = rows.withColumn("width", F.greatest(F.lit(blocks.BLOCK), 2 * F.col("reach")))
+    cut = chunked(rows, [*keys, "n", "old", "new", "reach", "width"], F.col("width"), F.col("reach"), F.col("reach"), F.floor((F.col("n") - 1) / F.col("width")))
+
+    def kernel(row: dict) -> dict:
+        n, old, new, start, reach = row["n"], row["old"], row["new"], row["chunk"] * row["width"], row["reach"]
+        x = filled(row["ts"], row["xs"], start - reach, row["width"] + 2 * reach)
+        # outputs whose place lies in the block
+        t = np.arange(-(-start * new // old), min(-(-(start + row["width"]) * new // old), n * new // old))
+        if old == new:
+            return {"t": t, "x": x[t - start + reach]}
+        band = min(old, new) * rolloff
+        most = zeros * old / band
+        taps = np.arange(int(2 * most) + 2)
+        y = np.empty(len(t))
+        per = max(1, (1 << 18) // len(taps))
+        for a in range(0, len(t), per):
+            place = t[a : a + per] * old / new
+            i = np.ceil(place - most).astype(int)[:, None] + taps
+            off = i - place[:, None]
+            angle = off * (band / old)
+            w = np.where(abs(off) <= most, np.sinc(angle) * np.cos(angle * (np.pi / (2 * zeros))) ** 2, 0.0)
+            y[a : a + per] = (w * x[np.clip(i, 0, n - 1) - start + reach]).sum(1) / w.sum(1)
+        return {"t": t, "x": y}
+
+    return each_chunk(cut, keys, kernel, "t long, x double").withColumn("t", F.col("t").cast("int"))
 
 
 def gaussian(seed: int, *keys: Column) -> Column:

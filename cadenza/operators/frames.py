@@ -152,6 +152,7 @@ def pitch_shifted(df: DataFrame, ratios: DataFrame, keys: list[str], rate: int)
     size = max(2, rate // 64)
     long = stretched(df, ratios, keys, size, max(1, size // 32))
     rates = ratios.select(*keys, F.lit(rate).alias("old"), F.greatest(F.lit(1), F.rint(rate * F.col("den") / F.col("num")).cast("int")).alias("new"))
-    back = rate_changed_by(long, rates, keys)
+    lengths = df.groupBy(*keys).agg(F.count("*").alias("n")).join(ratios.select(*keys, "num", "den"), keys)
+    back = rate_changed_by(long, rates, keys, lengths=lengths.select(*keys, F.floor(F.col("n") * F.col("num") / F.col("den")).alias("n")))
     whole = df.select(*keys, F.col("t").cast("int").alias("t")).join(back, [*keys, "t"], "left").fillna(0.0, ["x"])
     return peak_limited(whole, keys)

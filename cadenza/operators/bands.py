@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .filters import gaussian
 from .items import mixed_at, responded
 from .levels import peak_limited
@@ -129,8 +130,9 @@ def octave_responses(params: DataFrame, keys: list[str], rate: float, seed: int,
     bands = octave_bands(rate)
     length = F.greatest(F.lit(1), F.ceil(F.greatest("duration", F.lit(0.0)) * rate).cast("int"))
     each = params.select(*keys, length.alias("_n"), F.posexplode(F.arrays_zip("gains", "decays", "attacks")).alias("band", "p")).filter(F.col("band") < len(bands))
-    each = each.select(*keys, "_n", "band", "p.*")
     own = [*keys, "band"]
+    # dealt before a band becomes samples; what follows by key and band stays where it is
+    each = spread(each.select(*keys, "_n", "band", "p.*"), *own)
     noise = each.select(*own, F.explode(F.sequence(F.lit(0), F.col("_n") + taps - 2)).alias("t"))
     noise = noise.select(*own, "t", gaussian(seed, *map(F.col, own), F.col("t")).alias("x"))
     filtered = weighted(noise, (0, taps - 1), own, lambda row: windowed_band(*bands[row["band"]], taps), "zero")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
+from cadenza.operators import bands
 from cadenza.operators import items as it
 from cadenza.sources import audio
 
@@ -42,3 +43,9 @@ def test_ranges_are_longer_where_there_would_be_too_many(monkeypatch, tmp_path):
         ranges = [r for p in parts for r in p.ranges]
         assert len(parts) <= 21 and len({p for p, _, _ in ranges}) == 50
         assert mode == "headers" or sum(high - low for _, low, high in ranges) == sum(10 * i for i in range(50))
+
+
+def test_noise_of_few_rooms_is_made_by_many_tasks(spark):
+    params = spark.range(4).coalesce(1).select(F.col("id").alias("k"), F.lit(0.001).alias("duration"), *[F.array_repeat(F.lit(0.5), 12).alias(c) for c in ("gains", "decays", "attacks")])
+    plan = bands.octave_responses(params, ["k"], 44100.0, 1, 31)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [k" in plan[plan.index("Generate explode") :]

@@ -42,3 +42,10 @@ def test_no_row_is_made_for_a_tap(spark):
     df = spark.range(10).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 2).cast("int").alias("t"), F.lit(1.0).alias("x"))
     plan = filters.rate_changed(df, ["k"], 3, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1  # samples dealt to blocks
+
+
+def test_no_row_is_made_for_a_tap_at_rates_by_key(spark):
+    df = spark.range(10).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 2).cast("int").alias("t"), F.lit(1.0).alias("x"))
+    rates = spark.createDataFrame([(0, 1, 2), (1, 3, 3)], "k long, old int, new int")
+    plan = filters.rate_changed_by(df, rates, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Union" not in plan

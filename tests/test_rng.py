@@ -17,3 +17,8 @@ def test_above_is_the_comparison_of_the_draw(spark, share):
 def test_cells_are_drawn_without_conversion(spark):
     plan = registered.queries()["masked_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "conv(" not in plan
+
+
+def test_mask_cells_are_drawn_last_and_without_conversion(spark):
+    plan = registered.queries()["combine_masks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan and 0 < plan.index("< 20)") < plan.index("md5(")

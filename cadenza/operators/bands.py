@@ -47,10 +47,10 @@ def band_taps(rate: float, gains: tuple[float, ...], zeros: float) -> np.ndarray
     return taps
 
 
-def band_equalised(df: DataFrame, params: DataFrame, keys: list[str], rate: float, zeros: float = 8) -> DataFrame:
+def band_equalised(df: DataFrame, params: DataFrame, keys: list[str], rate: float, zeros: float = 8, lengths: DataFrame | None = None) -> DataFrame:
     """``keys, t, x, y``: mel-spaced bands at ``gains`` (array of dB, as many as bands) of ``params`` by key. Ends are held.
 
-    One finite filter stands for all bands; zero gains leave the signal.
+    One finite filter stands for all bands; zero gains leave the signal. ``lengths(keys, n)`` as in ``weighted``.
     """
     bands = F.size("gains")
     lowest = 700 * (F.pow(F.lit(10.0), F.lit(math.log10(1 + rate / 1400)) / bands) - 1) / rate
@@ -63,7 +63,7 @@ def band_equalised(df: DataFrame, params: DataFrame, keys: list[str], rate: floa
         off = row["before"] - len(found) // 2  # the reach by the engine's logarithm may differ by one
         return np.pad(found, off) if off >= 0 else found[-off:off]
 
-    return weighted(df, held, keys, taps)
+    return weighted(df, held, keys, taps, lengths=lengths)
 
 
 def equalised_noise_added(df: DataFrame, params: DataFrame, keys: list[str], rate: float, seed: int) -> DataFrame:

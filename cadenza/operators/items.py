@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rng import gumbel, uniform
+from ..sources.tables import spread
 from . import filters
 from .decode import softmax, top_k, top_p
 from .levels import peak_limited
@@ -126,15 +127,19 @@ def mixed_at(signal: DataFrame, noise: DataFrame, snrs: DataFrame, keys: list[st
     """``keys, channel, t, y``: noise added to all channels at ``snr`` dB of each key, then the peak limit.
 
     Energies are those of the channels' mean. Noise of one channel goes to all of them; it is cut, or
-    filled with zeros, to the signal's length.
+    filled with zeros, to the signal's length. Signals and noise are dealt by key together, once, over as many tasks
+    as ``spread`` gives, and all that follows stays there.
     """
-    n = noise.select(*keys, "t", F.col("x").alias("_n"))
-    both = signal.join(n, [*keys, "t"], "left").fillna(0.0, ["_n"])
-    means = both.groupBy(*keys, "t").agg(F.avg("x").alias("_m"), F.first("_n").alias("_n"))
-    level = lambda c: 10 * F.log10(F.avg(F.col(c) * F.col(c)) + 1e-8)
-    levels = means.groupBy(*keys).agg((level("_m") - level("_n")).alias("_d"))
-    gains = levels.join(snrs, keys).select(*keys, F.sqrt(F.pow(F.lit(10.0), (F.col("_d") - F.col("snr")) / 10)).alias("_g"))
-    mixed = both.join(gains, keys).select(*keys, "channel", "t", (F.col("x") + F.col("_g") * F.col("_n")).alias("x"))
+    kinds = {f.name: f.dataType for f in signal.schema}
+    dry = signal.select(*keys, "channel", "t", "x", F.lit(None).cast("double").alias("_n"), F.lit(True).alias("_dry"))
+    wet = noise.select(*[F.col(c).cast(kinds[c]).alias(c) for c in keys], F.lit(None).cast(kinds["channel"]).alias("channel"), F.col("t").cast(kinds["t"]).alias("t"), F.lit(None).cast(kinds["x"]).alias("x"), F.col("x").cast("double").alias("_n"), F.lit(False).alias("_dry"))
+    place, whole = W.partitionBy(*keys, "t"), W.partitionBy(*keys)
+    rows = spread(dry.unionByName(wet), *keys).withColumn("_first", F.row_number().over(place.orderBy(F.desc("_dry"))) == 1)
+    rows = rows.withColumns({"_n": F.max("_n").over(place), "_m": F.avg("x").over(place)})
+    level = lambda c: 10 * F.log10(F.avg(F.when(F.col("_first"), F.col(c) * F.col(c))).over(whole) + 1e-8)
+    both = rows.filter("_dry").fillna(0.0, ["_n"]).withColumn("_d", level("_m") - level("_n")).join(snrs, keys)
+    gain = F.sqrt(F.pow(F.lit(10.0), (F.col("_d") - F.col("snr")) / 10))
+    mixed = both.select(*keys, "channel", "t", (F.col("x") + gain * F.col("_n")).alias("x"))
     return peak_limited(mixed, [*keys, "channel"]).withColumnRenamed("x", "y")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
+from ..sources.tables import spread
 from .bands import band_equalised, equalised_responses, with_direct_ratio
 from .filters import rate_changed_by
 from .items import mixed_at, responded
@@ -22,27 +23,34 @@ BLOCK = 4096
 
 
 def recorded(recordings: DataFrame, draws: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, t, x``: the ``count`` samples from ``first`` on of recording ``rec`` of each draw, or what there is; ``t`` counts from 0."""
+    """``keys, t, x``: the ``count`` samples from ``first`` on of recording ``rec`` of each draw, or what there is; ``t`` counts from 0.
+
+    Few draws become many samples, so these are dealt by key over tasks.
+    """
     blocks = F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("count") - 1) / BLOCK))
     wanted = draws.filter("count > 0").select(*keys, "rec", "first", "count", F.explode(blocks).alias("_b"))
     rows = recordings.select("rec", "t", "x", F.floor(F.col("t") / BLOCK).alias("_b"))
     met = rows.join(wanted, ["rec", "_b"]).filter((F.col("t") >= F.col("first")) & (F.col("t") < F.col("first") + F.col("count")))
-    return met.select(*keys, (F.col("t") - F.col("first")).cast("int").alias("t"), "x")
+    return spread(met.select(*keys, (F.col("t") - F.col("first")).cast("int").alias("t"), "x"), *keys)
 
 
 def background_added(df: DataFrame, draws: DataFrame, recordings: DataFrame, info: DataFrame, keys: list[str], rate: int) -> DataFrame:
     """``keys, channel, t, y``: an excerpt of a recording, as long as the signal, at its rate and through bands, added at an SNR.
 
     ``df(keys, channel, t, x)``; ``draws(keys, rec, offset, snr, gains)``: seconds, dB, and an array of dB by band. Items without a draw,
-    or whose recording is too short for the offset, get no noise.
+    or whose recording is too short for the offset, get no noise. Excerpts' lengths follow from those of signals and recordings, so
+    that no excerpt is made twice; samples are dealt by key over tasks before each step.
     """
     lengths = df.groupBy(*keys).agg((F.max("t") + 1).alias("_n"))
-    asked = draws.join(info, "rec").join(lengths, keys)
+    ends = recordings.groupBy("rec").agg((F.max("t") + 1).alias("_end"))
     first = F.greatest(F.lit(0), F.floor(F.col("offset") * F.col("rate"))).cast("long")
-    cut = recorded(recordings, asked.select(*keys, "rec", first.alias("first"), F.floor(F.col("_n") * F.col("rate") / rate).alias("count")), keys)
+    count = F.least(F.floor(F.col("_n") * F.col("rate") / rate), F.col("_end") - F.col("first"))
+    asked = draws.join(info, "rec").join(ends, "rec").join(lengths, keys).withColumn("first", first).withColumn("count", count)
+    cut = recorded(recordings, asked.select(*keys, "rec", "first", "count"), keys)
     rates = asked.select(*keys, F.col("rate").cast("int").alias("old"), F.lit(rate).alias("new"))
-    level = rate_changed_by(cut, rates, keys)
-    coloured = band_equalised(level, draws.select(*keys, "gains"), keys, rate).select(*keys, "t", F.col("y").alias("x"))
+    level = spread(rate_changed_by(cut, rates, keys, lengths=asked.select(*keys, F.col("count").alias("n"))), *keys)
+    told = asked.select(*keys, F.floor(F.col("count") * rate / F.col("rate").cast("int")).alias("n"))
+    coloured = band_equalised(level, draws.select(*keys, "gains"), keys, rate, lengths=told).select(*keys, "t", F.col("y").alias("x"))
     quiet = lengths.select(*keys).join(draws.select(*keys, "snr"), keys, "left").fillna(0.0, ["snr"])
     return mixed_at(df, coloured, quiet, keys)
 

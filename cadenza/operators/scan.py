@@ -119,14 +119,16 @@ def one_pole_sections(alpha: Column) -> Column:
     return F.array(F.array(1 - alpha, F.lit(0.0), F.lit(0.0), -alpha, F.lit(0.0)))
 
 
-def weighted(df: DataFrame, params: DataFrame | tuple[int, int], keys: list[str], taps: Callable[[dict], np.ndarray], ends: str = "hold") -> DataFrame:
+def weighted(df: DataFrame, params: DataFrame | tuple[int, int], keys: list[str], taps: Callable[[dict], np.ndarray], ends: str = "hold", lengths: DataFrame | None = None) -> DataFrame:
     """``keys, t, x, y``: y[t] adds up x[t - before + j] * taps[j].
 
     ``params(keys, before, after, ...)`` has the reach of the taps by key, or is that of all signals. ``taps`` gets
     a block's row, with the parameters (numbers, texts, arrays of doubles), and gives before + after + 1 numbers. ``ends``
-    are as in ``blocks.extended``. Blocks are as long as the taps reach at least.
+    are as in ``blocks.extended``. Blocks are as long as the taps reach at least. ``lengths(keys, n)`` spares a pass over
+    signals of known lengths.
     """
-    rows = with_length(df.select(*keys, "t", F.col("x").cast("double").alias("x")), keys)
+    rows = df.select(*keys, "t", F.col("x").cast("double").alias("x"))
+    rows = with_length(rows, keys) if lengths is None else rows.join(lengths.select(*keys, F.col("n").cast("long").alias("n")), keys)
     reach = [F.col(c).cast("long").alias(c) for c in ("before", "after")]
     if isinstance(params, tuple):
         more, rows = [], rows.withColumns({c: F.lit(n).cast("long") for c, n in zip(("before", "after"), params, strict=True)})

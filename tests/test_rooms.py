@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import rooms
+from cadenza.operators import items, rooms
 
 RNG = np.random.RandomState(12)
 SIGNALS = {k: RNG.randn(60) / 3 for k in range(4)}
@@ -63,3 +63,27 @@ def test_steps_fire_for_their_share(spark):
     assert shares == pytest.approx([0.2, 0.4, 0.4], abs=0.05) and sum(shares) == pytest.approx(1)
     one = [r.x for r in rooms.chosen(rows, ["k"], [plus(1), plus(2), plus(3)], 4, [1, 2, 1]).collect()]
     assert [sum(x == v for x in one) / 2000 for v in (1, 2, 3)] == pytest.approx([0.25, 0.5, 0.25], abs=0.05)
+
+
+def test_excerpts_are_made_once_and_dealt_by_key(spark, signals, recordings):
+    draws = spark.createDataFrame([(k, 10, 1.0, 6.0, [0.0, 3.0]) for k in range(4)], "k int, rec int, offset double, snr double, gains array<double>")
+    rows = rooms.background_added(signals, draws, *recordings, ["k"], 100)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # rate and bands
+    assert plan.count("RepartitionByExpression [k") == 3  # excerpts, at the new rate, and with the signals
+    assert len({r.p for r in rows.select(F.spark_partition_id().alias("p")).collect()}) > 1
+
+
+def test_noise_is_mixed_with_all_channels(spark):
+    x, n = RNG.randn(2, 30) / 9, RNG.randn(40)
+    signal = spark.createDataFrame([(1, c, t, float(x[c, t])) for c in range(2) for t in range(30)] + [(2, 0, 0, 0.5), (3, 0, 0, 0.5)], "k int, channel int, t int, x double")
+    noise = spark.createDataFrame([(1, t, float(v)) for t, v in enumerate(n) if t % 5], "k long, t long, x double")
+    snrs = spark.createDataFrame([(1, 3.0), (2, 3.0)], "k int, snr double")
+    mixed = items.mixed_at(signal, noise, snrs, ["k"])
+    assert mixed.dtypes == [("k", "int"), ("channel", "int"), ("t", "int"), ("y", "double")]
+    got = {(r.k, r.channel, r.t): r.y for r in mixed.collect()}
+    n = np.where(np.arange(30) % 5, n[:30], 0.0)
+    level = lambda v: 10 * np.log10((v * v).mean() + 1e-8)
+    y = x + np.sqrt(10 ** ((level(x.mean(0)) - level(n) - 3.0) / 10)) * n
+    y = y / np.maximum(1, abs(y).max(1))[:, None]
+    assert got == pytest.approx({(1, c, t): y[c, t] for c in range(2) for t in range(30)} | {(2, 0, 0): 0.5}, abs=1e-9)

@@ -29,8 +29,8 @@ def rms_db(x: Column, eps: float = 1e-12) -> Column:
 
 
 def decibels(x: Column) -> Column:
-    """Level of a magnitude in dB; that of silence is minus infinity, where the engine's logarithm is null."""
-    return F.when(x == 0, float("-inf")).otherwise(20 * F.log10(x))
+    """Level of a magnitude in dB; that of silence is minus infinity and that of a negative number NaN, where the engine's logarithm is null."""
+    return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(20 * F.log10(x))
 
 
 def energy(x: Column) -> Column:
